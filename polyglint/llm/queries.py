@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, source_mixing, token_counts, url_filter, warc
-from .common import ship
+from . import decontamination, exact_dedup, language_id, minhash_dedup, source_mixing, token_counts, toxicity, url_filter, warc
+from .common import held_out, ship
 
 #: (host, path, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -20,6 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("pos")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -51,6 +69,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_language_id": op3_language_id,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc": op7_warc,
@@ -111,6 +132,19 @@ _ENTROPY_SQL = "ln(list_sum(list_transform(shares, lambda x: pow(x, {a})))) - {a
 _REPEATS_SQL = "list_max(list_transform(shares, lambda x: pow(x, {a} - 1))) / list_sum(list_transform(shares, lambda x: pow(x, {a})))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_dedup": f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 75 * (p.n + q.n - common)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_id AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(coalesce(m, w.doc_id), w.doc_id) AS component_id, least(coalesce(m, w.doc_id), w.doc_id) = w.doc_id AS kept
+FROM words w LEFT JOIN sizes ON sizes.doc_id = w.doc_id LEFT JOIN least_id ON least_id.a = w.doc_id
+""",
     "op5_source_mixing": f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, greatest(ceil(strlen(coalesce(text, '')) / 4), 1)::BIGINT AS n_tokens FROM documents),
 t AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),

@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text is the set of its hashed features: words, word beginnings (5 characters), word pairs
+A text is the set of its hashed features: words, word beginnings (4 and 6 bytes), word pairs
 and pairs with a word between. Hashes have 62 bits, so features don't share weights.
 
 Training takes a bounded sample of the labelled rows (``SAMPLE`` expected, drawn by a hash of
@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from .common import materialise, ship
 from .language_id import sample_rates
 
-SAMPLE, SHARDS, EPOCHS, MAX_WEIGHTS = 40_000, 4, 3, 200_000
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.0, 1.0
+SAMPLE, SHARDS, EPOCHS, MAX_WEIGHTS = 40_000, 8, 3, 200_000
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 1.0
+#: Features of fewer rows of a part are left out.
+MIN_ROWS = 5
+#: Bytes of a word that count as its beginning.
+BEGINNINGS = (4, 6)
 _BIAS = np.int64(1)
 # ASCII letters and digits, the apostrophe and all bytes of non-ASCII characters are word bytes.
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c == 39 else 32 for c in range(256))
@@ -49,9 +53,8 @@ def features(text: str | None) -> np.ndarray:
     n = len(words)
     # Two 32-bit hashes of a word make one of 64.
     w = np.fromiter(map(crc32, words), np.uint64, n) << np.uint64(32) | np.fromiter(map(hash_low, words), np.uint64, n)
-    stems = [x.decode("utf-8", "ignore")[:5].encode() if not x.isascii() else x[:5] for x in words]
-    s = np.fromiter(map(crc32, stems), np.uint64, n)
-    parts = [_mix(w, np.uint64(0), 11), _mix(s, np.uint64(0), 12)]
+    parts = [_mix(w, np.uint64(0), 11)]
+    parts += [_mix(np.fromiter(map(crc32, [x[:k] for x in words]), np.uint64, n), np.uint64(0), k) for k in BEGINNINGS]
     if n > 1:
         parts.append(_mix(w[:-1], w[1:], 13))
     if n > 2:
@@ -63,11 +66,19 @@ def hash_low(word: bytes) -> int:
     return crc32(word, 0x5EED)
 
 
+def _positions(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where the members of x that are in the sorted names stand."""
+    at = np.searchsorted(names, x)
+    at[at == len(names)] = 0
+    return at[names[at] == x] if len(names) else at[:0]
+
+
 def learn(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over the rows in turn: (features, weights), zeros left out."""
-    names = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+    names, counts = np.unique(np.concatenate(rows), return_counts=True)
+    names = names[counts >= min(MIN_ROWS, len(rows))]
     z, n = np.zeros(len(names)), np.zeros(len(names))
-    index = [np.searchsorted(names, r) for r in rows]
+    index = [_positions(names, r) for r in rows]
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         zi = z[at]
@@ -102,8 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), x], names=["doc_id", "label", "x"])
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id").take(np.random.default_rng(0).permutation(table.num_rows))
-        names, w = learn([np.array(x) for x in table.column("x").to_pylist()], table.column("label").to_numpy())
+        table = table.combine_chunks()
+        x = table.column("x").combine_chunks()
+        ends, flat = np.cumsum(x.value_lengths().to_numpy()), x.flatten().to_numpy()
+        rows, labels = np.split(flat, ends[:-1]), table.column("label").to_numpy()
+        order = np.random.default_rng(0).permutation(np.argsort(table.column("doc_id").to_numpy(), kind="stable"))
+        names, w = learn([rows[k] for k in order], labels[order])
         return pa.table({"feature": names, "weight": w})
 
     x = rows.mapInArrow(extract, "doc_id long, label int, x array<long>").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)))
@@ -125,10 +140,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
         for batch in batches:
             logits = np.zeros(batch.num_rows)
             for k, text in enumerate(batch.column("text")) if len(names) else ():
-                x = features(text.as_py())
-                at = np.searchsorted(names, x)
-                at[at == len(names)] = 0
-                logits[k] = weights[at[names[at] == x]].sum()
+                logits[k] = weights[_positions(names, features(text.as_py()))].sum()
             p = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 

@@ -4,7 +4,7 @@ A text is the set of its hashed features: words, word beginnings (4 and 6 bytes)
 and pairs with a word between. Hashes have 62 bits, so features don't share weights.
 
 Training takes a bounded sample of the labelled rows (``SAMPLE`` expected, drawn by a hash of
-the id at a rate per label), dealt into ``SHARDS`` parts of bounded size. Each part is learnt
+the id at a rate per label), dealt into parts of about ``PART_ROWS``. Each part is learnt
 by one task with rates per coordinate and an L1 term, and the parts' weights are averaged per
 feature in Spark. L1 leaves few weights; the largest ``MAX_WEIGHTS`` are broadcast.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise, ship
 from .language_id import sample_rates
 
-SAMPLE, SHARDS, EPOCHS, MAX_WEIGHTS = 40_000, 8, 3, 200_000
+SAMPLE, PART_ROWS, EPOCHS, MAX_WEIGHTS = 40_000, 5_000, 3, 200_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 1.0
 #: Features of fewer rows of a part are left out.
 MIN_ROWS = 5
@@ -95,7 +95,7 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> t
     return names[w != 0], w[w != 0]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Weights from docs (doc_id, text) and labels (doc_id, label 0/1): (features, weights), sorted."""
     ship(docs.sparkSession)
     labels = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -105,6 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int
         return np.zeros(0, np.int64), np.zeros(0)
     rate = F.create_map(*[F.lit(x) for k, v in rates.items() for x in (k, float(v))])[F.col("label")]
     drawn = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    shards = max(1, round(drawn.count() / part_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about ``sample`` rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,17 +154,17 @@ class Scorer:
         return self.languages[best], float(1.0 / odds.sum())
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """``docs`` with the columns lang_pred and score added at the end (in place of such columns)."""
+def identify(docs: DataFrame, model: dict, text: str = "text", predicted: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the language and its probability added as last columns (in place of such columns)."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.drop(predicted, score).withColumns({predicted: F.lit(""), score: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
             found = scorer.score(batch.column(text).to_pylist())
-            kept = [n for n in batch.schema.names if n not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*kept, "lang_pred", "score"])
+            kept = [n for n in batch.schema.names if n not in (predicted, score)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*kept, predicted, score])
 
     return docs.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, minhash_dedup, source_mixing, token_counts, toxicity, url_filter, warc
+from . import decontamination, exact_dedup, language_id, minhash_dedup, source_mixing, substring_dedup, token_counts, toxicity, url_filter, warc
 from .common import held_out, ship
 
 #: (host, path, verdict)
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("pos", "match_pos")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
@@ -70,6 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_source_mixing": op5_source_mixing,

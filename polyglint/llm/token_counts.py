@@ -1,6 +1,6 @@
 """Token counts from distinct pre-tokens, without token ids.
 
-1. A table of the most frequent pre-tokens of a bounded sample of documents is counted and
+1. A table of the most frequent pre-tokens of a sample of documents (``SAMPLE_DOCS`` expected) is counted and
    broadcast (at most ``HEAD`` entries). It decides only where a pre-token is looked up.
 2. One pass turns each block of documents into pre-token frequencies. Frequent ones are
    summed at once; each other distinct pre-token of the block becomes one row with its
@@ -37,7 +37,7 @@ HEAD, SAMPLE_DOCS = 50_000, 4_000
 BLOCK_CHARS, BLOCK_DOCS = 24_000_000, 1 << 15
 #: The pre-tokenizer's fixed pattern, with its Unicode white space spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-_SCHEMA = "pretoken string, salt long, block long, uses array<int>, doc_ids array<long>, n_bytes array<long>, head array<long>"
+_SCHEMA = "pretoken string, salt long, block long, uses array<int>, about binary"
 
 
 class Pieces:
@@ -89,7 +89,8 @@ def _head(rows: DataFrame, path: str, head: int, sample_docs: int) -> dict[str,
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pieces(path).count(words))], names=["pretoken", "n"])
 
-    sample = rows.select("text").filter("text <> ''").limit(sample_docs)
+    rate = sample_docs / max(1, rows.count())
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)).select("text")
     top = sample.mapInArrow(split, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "pretoken").limit(head)
     return {r[0]: r[1] for r in top.select("pretoken").mapInArrow(count, "pretoken string, n long").collect()}
 
@@ -110,11 +111,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
         def flush() -> Iterator[pa.RecordBatch]:
             # The documents themselves: one row per block, dealt by block.
-            yield _batch([""], [block], [block], [list(range(len(heads)))], [[x[0] for x in heads]], [[x[1] for x in heads]], [[x[2] for x in heads]])
+            about = np.array([(i or 0, i is None, n, total) for i, n, total in heads], np.int64)
+            yield _batch([""], [block], [block], [[]], [about.tobytes()])
             names, lists = list(uses), list(uses.values())
             for k in range(0, len(names), 20_000):
                 some, n = names[k : k + 20_000], len(names[k : k + 20_000])
-                yield _batch(some, np.zeros(n, np.int64), np.full(n, block), lists[k : k + 20_000], [None] * n, [None] * n, [None] * n)
+                yield _batch(some, np.zeros(n, np.int64), np.full(n, block), lists[k : k + 20_000], [None] * n)
 
         for batch in batches:
             for doc_id, text, n_bytes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "n_bytes"))):
@@ -151,14 +153,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             last, last_pieces = words[-1], int(pieces[-1])
             lists = batch.column("uses")
             lengths, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().astype(np.int64)
-            is_head = np.array([not w for w in words])
-            rid = np.repeat(batch.column("block").to_numpy() << 15, lengths)
-            of_head = np.repeat(is_head, lengths)
-            if of_head.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rid[of_head] | flat[of_head]), pa.array(batch.column("head").drop_null().flatten()), pa.array(batch.column("doc_ids").drop_null().flatten()), pa.array(batch.column("n_bytes").drop_null().flatten())], schema=out)
-            pairs, inverse = np.unique((rid | (flat >> 16))[~of_head], return_inverse=True)
+            blocks = batch.column("block").to_numpy() << 15
+            for k in (k for k, w in enumerate(words) if not w):
+                about = np.frombuffer(batch.column("about")[k].as_py(), np.int64).reshape(-1, 4)
+                ids = pa.array(about[:, 0], mask=about[:, 1] == 1)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[k] | np.arange(len(about))), pa.array(about[:, 3]), ids, pa.array(about[:, 2])], schema=out)
+            pairs, inverse = np.unique(np.repeat(blocks, lengths) | (flat >> 16), return_inverse=True)
             if len(pairs):
-                tokens = np.bincount(inverse, weights=(np.repeat(pieces, lengths) * (flat & 0xFFFF))[~of_head]).astype(np.int64)
+                tokens = np.bincount(inverse, weights=np.repeat(pieces, lengths) * (flat & 0xFFFF)).astype(np.int64)
                 empty = pa.nulls(len(pairs), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(tokens), empty, empty], schema=out)
 
@@ -168,9 +170,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _batch(words, salts, blocks, uses, doc_ids, n_bytes, head) -> pa.RecordBatch:
-    longs = pa.list_(pa.int64())
+def _batch(words, salts, blocks, uses, about) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(words, pa.string()), pa.array(salts, pa.int64()), pa.array(blocks, pa.int64()), pa.array(uses, pa.list_(pa.int32())), pa.array(doc_ids, longs), pa.array(n_bytes, longs), pa.array(head, longs)],
-        names=["pretoken", "salt", "block", "uses", "doc_ids", "n_bytes", "head"],
+        [pa.array(words, pa.string()), pa.array(salts, pa.int64()), pa.array(blocks, pa.int64()), pa.array(uses, pa.list_(pa.int32())), pa.array(about, pa.binary())], names=["pretoken", "salt", "block", "uses", "about"]
     )

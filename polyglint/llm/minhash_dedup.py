@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import materialise, repeated, ship, sized_join
 from .components import connected_components
 
-SHINGLE, TREES, DEPTH, SMALL, BLOCK, NEIGHBOURS = 5, 25, 4, 24, 256, 2
+SHINGLE, TREES, DEPTH, SMALL, BLOCK, NEIGHBOURS = 5, 25, 4, 24, 1024, 2
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Signatures of a link agree on at least so many minima (see above).
@@ -241,8 +241,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(links)
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     apart = scored.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
-    links = links.union(_verify(apart, sets)).union(_rest(large.select("key", "node"), labels, sets))
-    labels = connected_components(materialise(links, "forest-links"))
+    links = materialise(links.union(_verify(apart, sets)), "forest-links")
+    labels = connected_components(links)
+    rest = materialise(_rest(large.select("key", "node"), labels, sets), "forest-rest-links")
+    if not rest.isEmpty():
+        labels = connected_components(links.union(rest))
 
     linked = labels.join(classes.select("node", "doc_id"), "node")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -17,7 +17,6 @@ ignored. Very long texts take memory in proportion to one text.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -26,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import ship
+from .common import materialise, ship, sized_join
 
 N = 13
 #: Words of benchmark items in one broadcast set: about 100 bytes each when held as windows.
@@ -154,23 +154,21 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Cutting keeps the text outside the spans as it is; a document that loses all its words stays, empty.
     """
-    from pyspark.sql.types import StringType
-
     found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     bad = digest(found).filter("contaminated") if whole else found.filter(F.size("spans") > 0)
-    from .common import materialise, sized_join
-
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.withColumn("__pos", F.monotonically_increasing_id())
     if whole:
         return sized_join(rows, materialise(bad.select(F.col("pos").alias("__pos")), "contaminated"), ["__pos"], "left_anti").select(columns)
     cut = F.udf(cut_words, StringType())
     rows = sized_join(rows, materialise(bad.select(F.col("pos").alias("__pos"), F.col("spans").alias("__spans")), "contaminated"), ["__pos"], "left")
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(cut(F.col(f"`{text_col}`"), F.col("__spans")))).select(columns)
+    return rows.withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col("__spans"))).select(columns)
 
 
-def cut_words(text: str, spans: list) -> str:
+def cut_words(text: str | None, spans: list | None) -> str | None:
     """``text`` without the words of the spans (numbers as ``words_of`` counts them) and what lies between these."""
+    if text is None or not spans:
+        return text
     raw = text.encode("utf-8", "surrogatepass")
     folded = raw.translate(_FOLD)
     begins, ends, inside = [], [], False
@@ -185,7 +183,3 @@ def cut_words(text: str, spans: list) -> str:
         out.append(raw[at : begins[span["start"]]])
         at = ends[span["end"] - 1]
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -60,7 +60,7 @@ class Pair:
 @dataclass(frozen=True)
 class Rule:
     name: str
-    hook: str  # header, entry or pair
+    hook: str  # file, header, entry or pair
     default: bool
     check: bool
     safe: bool | None  # whether its edits are safe; None: it has none
@@ -178,6 +178,12 @@ def _(p: Pair) -> Column:
     return found(T.not_blank(p.src) & T.not_blank(p.tgt) & (p.src != p.tgt), "info", "changed translation")
 
 
+@rule("compilation", default=False, hook="file")
+def _(p: Pair) -> Column:
+    """Looks at files, not entries: see operators.compilation."""
+    return T.none(FINDING)
+
+
 @rule("double-quotes")
 def _(p: Pair) -> Column:
     return counted(p, f"[{T.DOUBLE_QUOTES}]", "info", "double quotes")

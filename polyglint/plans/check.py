@@ -82,7 +82,7 @@ def check(entries: DataFrame, options: Options | None = None, dictionaries: Data
     A rule runs over whole texts in the JVM. The plan has no shuffle unless a spelling rule is on.
     """
     options = options or Options()
-    rules = select_rules(options.select, options.ignore)
+    rules = [r for r in select_rules(options.select, options.ignore) if r.hook != "file"]
     if dictionaries is None:
         rules = [r for r in rules if not r.name.startswith("spelling-")]
     rows = barrier(pairs(gate(entries, options, rules)))

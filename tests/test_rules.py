@@ -149,3 +149,12 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert got == [(2, ["v"])]
+
+
+def test_compilation(spark):
+    from polyglint.operators.compilation import compile_files
+
+    files = spark.createDataFrame([("a.po", bytearray(b"x"))], "path string, content binary")
+    (row,) = compile_files(files, "/nowhere/msgfmt").collect()
+    assert row.rule == "compilation" and "can't run" in row.message
+    assert compile_files(files, "/bin/true").count() == 0

@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 #: A side with at most this many (narrow) rows may be broadcast; beyond it the join shuffles both sides.
 MAX_BROADCAST_ROWS = 100_000
 
+#: Rows that a Python worker gets at a time.
+ARROW_ROWS = 2_000
+
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it.
+    """Let Python workers import this package from where the driver found it, and bound their batches.
 
     On a cluster the package is installed or passed with ``--py-files``; this only adds a path.
     """
+    # Documents are long: batches of 10,000 rows, the default, would take most of a worker's memory.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)

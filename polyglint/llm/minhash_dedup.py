@@ -5,7 +5,7 @@
 2. Each tree orders classes by its own rotation of the signature. Classes that agree on the
    first ``DEPTH`` minima form a region; a region of one class ends there.
 3. Depth adapts to the region: up to ``SMALL`` classes, all its pairs are candidates; in a
-   larger one a class is paired with its neighbours of the longest common prefix and with the
+   larger one a class is paired with its neighbour of the longest common prefix and with the
    region's best connected class (the one found in the largest regions over all trees).
 4. Candidates whose signatures agree too little, or whose sizes differ too much, can't be
    links. Of the rest each class first verifies its best partner, then all pairs that are
@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, repeated, ship, sized_join
-from .components import connected_components
+from .components import connected_components, merge_components
 
-SHINGLE, TREES, DEPTH, SMALL, BLOCK, NEIGHBOURS = 5, 25, 4, 24, 1024, 2
+SHINGLE, TREES, DEPTH, SMALL, BLOCK = 5, 25, 4, 24, 1024
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Signatures of a link agree on at least so many minima (see above).
@@ -84,8 +84,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
-    """pos, doc_id, n, node (hash of the shingle set), sig."""
-    schema = pa.schema([("pos", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    """pos, doc_id, n, set (hash of the shingle set), sig."""
+    schema = pa.schema([("pos", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("sig", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +97,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 sigs.append(signature(s).view(np.int32) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("pos"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], schema=schema)
 
-    return rows.mapInArrow(run, "pos long, doc_id long, n long, node binary, sig array<int>")
+    return rows.mapInArrow(run, "pos long, doc_id long, n long, set binary, sig array<int>")
 
 
 def _trees(classes: DataFrame) -> DataFrame:
@@ -116,25 +116,24 @@ def _trees(classes: DataFrame) -> DataFrame:
                     deep = deep << np.uint64(8) | (order[:, k] & np.uint64(255))
                 yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(29))).view(np.int64)), pa.array(deep.view(np.int64)), batch.column("node")], names=["key", "deep", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "key long, deep long, node binary")
+    return classes.select("node", "sig").mapInArrow(run, "key long, deep long, node long")
 
 
 def _neighbours(members: DataFrame) -> DataFrame:
     """Pairs of classes next to each other in a tree's order; regions of any size are dealt over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple[int, bytes]] = []
+        last: tuple[int, int] | None = None
         for batch in batches:
             a, b = [], []
             for key, node in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist()):
-                for other_key, other in last:
-                    if other_key == key:
-                        a.append(min(node, other))
-                        b.append(max(node, other))
-                last = [*last[1 - NEIGHBOURS :], (key, node)] if NEIGHBOURS > 1 else [(key, node)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                if last and last[0] == key:
+                    a.append(min(node, last[1]))
+                    b.append(max(node, last[1]))
+                last = key, node
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return members.select("key", "deep", "node").repartitionByRange("key", "deep", "node").sortWithinPartitions("key", "deep", "node").mapInArrow(run, "a binary, b binary")
+    return members.select("key", "deep", "node").repartitionByRange("key", "deep", "node").sortWithinPartitions("key", "deep", "node").mapInArrow(run, "a long, b long")
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -157,7 +156,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _links_of_block(table: pa.Table) -> pa.Table:
@@ -166,7 +165,7 @@ def _links_of_block(table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
     asks = table.column("asks").to_pylist()
     base = [k for k, q in enumerate(asks) if not q]
-    out: set[tuple[bytes, bytes]] = set()
+    out: set[tuple[int, int]] = set()
     if base:
         owner = np.repeat(base, [len(sets[k]) for k in base])
         values = np.concatenate([sets[k] for k in base])
@@ -177,13 +176,13 @@ def _links_of_block(table: pa.Table) -> pa.Table:
             hits = hi > lo
             spans = np.concatenate([owner[a:b] for a, b in zip(lo[hits], hi[hits])]) if hits.any() else np.zeros(0, int)
             found, common = np.unique(spans, return_counts=True)
-            linked: set[bytes] = set()
+            linked: set[int] = set()
             for k, c in zip(found.tolist(), common.tolist()):
                 if labels[k] != labels[q] and labels[k] not in linked and is_link(sets[q], sets[k], c):
                     linked.add(labels[k])
                     out.add((min(nodes[q], nodes[k]), max(nodes[q], nodes[k])))
     pairs = sorted(out)
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
 def _rest(large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,7 +196,7 @@ def _rest(large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     place = F.xxhash64("node")
     asks = rows.filter("label <> main").select("key", F.pmod(place, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "node", "label", F.lit(True).alias("asks"))
     base = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), F.pmod(place, F.col("blocks")).alias("j"), "node", "label", F.lit(False).alias("asks"))
-    return asks.union(base).join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: _links_of_block(t), "a binary, b binary").distinct()
+    return asks.union(base).join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: _links_of_block(t), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("pos"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(_signatures(rows), "forest-signatures")
-    some = signed.filter("node is not null").groupBy("node").agg(F.min("pos").alias("pos"), F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # A class goes by the position of its first row.
+    some = signed.filter("set is not null").groupBy("set").agg(F.min("pos").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialise(some, "forest-classes")
 
     members = materialise(repeated(_trees(classes), "key", "deep", "node"), "forest-members")
@@ -219,21 +219,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to_hub = large.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = pairs.union(to_hub).union(_neighbours(large)).distinct()
 
-    near = materialise(sized_join(classes, materialise(degree.select("node"), "forest-near"), ["node"], "left_semi").select("node", "pos", "n", "sig"), "forest-candidates")
+    near = materialise(sized_join(classes, materialise(degree.select("node"), "forest-near"), ["node"], "left_semi").select("node", "n", "sig"), "forest-candidates")
     side = lambda x: near.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     scored = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     scored = scored.withColumn("agree", _agreement(F.col("sig_a"), F.col("sig_b"))).filter(F.col("agree") >= AGREE).select("a", "b", "agree")
     scored = materialise(scored, "forest-pairs")
 
     needed = scored.select(F.col("a").alias("node")).union(scored.select("b")).union(large.select("node")).distinct()
-    needed = materialise(near.select("node", "pos").join(needed, "node", "left_semi"), "forest-needed")
+    needed = materialise(needed.select(F.col("node").alias("pos")), "forest-needed")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(words_of(t.as_py()))).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("pos"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    sets = materialise(sized_join(rows.select("pos", "text"), needed, ["pos"], "inner").select("node", "text").mapInArrow(shingles, "node binary, shingles binary"), "forest-sets")
+    sets = materialise(sized_join(rows.select("pos", "text"), needed, ["pos"], "left_semi").mapInArrow(shingles, "node long, shingles binary"), "forest-sets")
 
     ends = scored.select(F.col("a").alias("node"), F.struct("agree", F.col("b").alias("other")).alias("best")).union(scored.select(F.col("b").alias("node"), F.struct("agree", F.col("a").alias("other"))))
     first = ends.groupBy("node").agg(F.max("best").alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
@@ -241,17 +241,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(links)
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     apart = scored.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
-    links = materialise(links.union(_verify(apart, sets)), "forest-links")
-    labels = connected_components(links)
-    rest = materialise(_rest(large.select("key", "node"), labels, sets), "forest-rest-links")
-    if not rest.isEmpty():
-        labels = connected_components(links.union(rest))
+    labels = merge_components(labels, materialise(_verify(apart, sets), "forest-links"))
+    labels = merge_components(labels, materialise(_rest(large.select("key", "node"), labels, sets), "forest-rest-links"))
 
-    linked = labels.join(classes.select("node", "doc_id"), "node")
+    linked = labels.join(classes.select("node", "set", "doc_id"), "node")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    grouped = labels.join(least, "label").select("node", "component_id")
-    alone = classes.filter("size > 1").join(labels, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
-    out = sized_join(signed.select("pos", "doc_id", "n", "node"), materialise(grouped.union(alone), "forest-components"), ["node"], "left")
+    grouped = linked.join(least, "label").select("set", "component_id")
+    alone = classes.filter("size > 1").join(labels, "node", "left_anti").select("set", F.col("doc_id").alias("component_id"))
+    out = sized_join(signed.select("pos", "doc_id", "n", "set"), materialise(grouped.union(alone), "forest-components"), ["set"], "left")
     found = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("pos", "doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 

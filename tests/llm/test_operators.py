@@ -128,6 +128,30 @@ def test_passages(spark, docs, empty):
     assert cut[0] is None and sum(PASSAGE in cut[k] for k in (11, 12, 13)) == 1 and prose(150, 5) in cut[12] and prose(200, 3) in cut[11] and cut[16] == TEXTS[16]
 
 
+def test_passages_around_a_common_line(spark, tmp_path):
+    """A line with over 5,000 surroundings: passages of 50 to 57 words that hold it are found, each with its own copy."""
+    r = random.Random(23)
+    fresh = lambda n: [f"w{r.getrandbits(50):x}" for _ in range(n)]
+    line, texts = fresh(40), []
+    passages = []
+    for k in range(48):
+        n = 10 + k % 8
+        before = r.randint(0, n)
+        passages.append(fresh(before) + line + fresh(n - before))
+    for k in range(5300):
+        middle = passages[(k - 2650) % 48] if 2650 <= k < 2698 or k >= 5252 else line
+        texts.append(fresh(30) + middle + fresh(30))
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    seen, want = {}, set()
+    for k, w in enumerate(texts):
+        for i in range(len(w) - 49):
+            first = seen.setdefault(hash(tuple(w[i : i + 50])), k)
+            if first != k:
+                want.add((k, first))
+    rows = substring_dedup.repeated_passages(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert len(want) == 48 and {(max(x.doc_id, x.match_doc_id), min(x.doc_id, x.match_doc_id)) for x in rows} == want
+
+
 def test_compact_windows():
     """Each window of the width lies in exactly one span whose least value is its own."""
     r = np.random.default_rng(1)

@@ -152,6 +152,53 @@ def test_passages_around_a_common_line(spark, tmp_path):
     assert len(want) == 48 and {(max(x.doc_id, x.match_doc_id), min(x.doc_id, x.match_doc_id)) for x in rows} == want
 
 
+def brute_alike(x, y, width):
+    """Whether any spans of x and y, of width shingles or more, have a Jaccard similarity of 0.75 or more (all members distinct)."""
+    shared = np.array([[a == b for b in y] for a in x])
+    sums = np.pad(shared.astype(int).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    for i in range(len(x) - width + 1):
+        for j in range(i + width, len(x) + 1):
+            row = sums[j] - sums[i]
+            k = row[None, :] - row[:, None]  # [lo, hi]
+            n = np.arange(len(row))[None, :] - np.arange(len(row))[:, None]
+            if ((n >= width) & (4 * k >= 3 * (n + j - i - k))).any():
+                return True
+    return False
+
+
+def test_insertions(spark, tmp_path):
+    """Words inserted in the earlier or in the later row, or the row cut in stretches, against brute force."""
+    r = random.Random(5)
+    cases = []
+    for k in range(60):
+        base, pool = list(range(r.randint(55, 80))), iter(range(1000, 9000))
+        x, y = list(base), list(base)
+        for _ in range(r.randint(1, 4)):
+            at, n = r.randrange(5, len(x) - 5), r.randint(1, 12)
+            x[at:at] = [next(pool) for _ in range(n)]
+        if k % 3 == 0:
+            y[20:20] = [next(pool) for _ in range(r.randint(1, 6))]
+        x, y = [next(pool) for _ in range(k % 7)] + x, y + [next(pool) for _ in range(k % 5)]
+        cases += [(x, y), (y, x)]
+    runs = lambda *v: [z for a, n, gap in v for z in [*range(a, a + n), *range(5000 + 100 * a, 5000 + 100 * a + gap)]]
+    cases += [(runs((0, 10, 13), (10, 30, 14), (40, 20, 0)), list(range(60))), (list(range(76)), runs((0, 36, 19), (36, 40, 0))), (runs((0, 36, 19), (40, 36, 0)), list(range(76)))]
+    outcomes = set()
+    for x, y in cases:
+        found = substring_dedup.matching_stretches(np.array(x, np.uint64), np.array(y, np.uint64), 46)
+        for s, e, lo, hi, similarity in found:
+            p, q = set(x[s:e]), set(y[lo:hi])
+            assert similarity == len(p & q) / len(p | q) >= 0.75 and e - s >= 46 and hi - lo >= 46
+        outcomes.add(bool(found))
+        assert bool(found) == brute_alike(x, y, 46), (x, y)
+    assert outcomes == {True, False}
+    passage = prose(80, 61).split()
+    longer = passage[:40] + prose(15, 62).split() + passage[40:]
+    for name, texts in (("later", [passage, longer]), ("earlier", [longer, passage])):
+        rows = [(k, " ".join([*prose(60, 70 + k).split(), *w, *prose(60, 80 + k).split()])) for k, w in enumerate(texts)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / name))
+        assert substring_dedup.repeated_passages(spark.read.parquet(str(tmp_path / name))).count() == 1, name
+
+
 def test_compact_windows():
     """Each window of the width lies in exactly one span whose least value is its own."""
     r = np.random.default_rng(1)

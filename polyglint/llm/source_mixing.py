@@ -3,7 +3,9 @@
 Weights are the sources' token shares raised to an exponent in [0, 1] and normalised. The
 exponent is bisected inside the plan: the largest whose entropy reaches ``entropy`` times the
 largest possible one, raised if need be until no source repeats more than ``max_repeats``
-times. Weights are then rounded to millionths, so all that follows is integer arithmetic.
+times. Weights are then rounded to millionths, so all that follows is integer arithmetic; a source
+of fewer than ``SMALL_PPM`` gets its part from the weight itself, and one document at least, so
+that no source leaves for being small, and its blocks are counted from a hashed one.
 
 Each source gets its part of the token budget. Its documents, in a hashed order that differs
 by epoch, are laid end to end until the part is spent, and the stream is cut into as many
@@ -32,6 +34,8 @@ from .common import materialise, sized_join
 ENTROPY, MAX_REPEATS, BLOCK_TOKENS, SEED, STEPS = 0.95, 4.0, 1 << 20, "mix", 40
 #: Slices of the hash range per source and epoch.
 SLICES = 1024
+#: Sources of fewer millionths get their part from the exact weight, whose rounding would be more than 0.05 % of it.
+SMALL_PPM = 1000
 
 
 def token_estimate(text: Column) -> Column:
@@ -79,7 +83,7 @@ def source_weights(totals: DataFrame, budget: int | None = None, entropy: float
     joined = totals.join(F.broadcast(one.select("alpha", "z", "total", "budget")))  # one row
     weight = F.pow(F.col("tokens") / F.col("total"), F.col("alpha")) / F.col("z")
     ppm = F.floor(weight * 1_000_000 + 0.5).cast("long")
-    return joined.select("source", "tokens", "alpha", ppm.alias("ppm"), F.expr("budget").alias("whole")).withColumn("budget", F.expr("whole * ppm div 1000000"))
+    return joined.select("source", "tokens", "alpha", ppm.alias("ppm"), F.expr("budget").alias("whole"), F.floor(F.col("budget") * weight + 0.5).cast("long").alias("exact")).withColumn("budget", F.when(F.col("ppm") < SMALL_PPM, F.greatest("exact", F.lit(1).cast("long"))).otherwise(F.expr("whole * ppm div 1000000"))).drop("exact")
 
 
 def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -103,4 +107,6 @@ def mix_sources(docs: DataFrame, budget: int | None = None, entropy: float = ENT
     inside = Window.partitionBy(*keys).orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = uses.join(starts, keys).withColumn("at", F.col("epoch") * F.col("tokens") + F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     placed = placed.filter("at < budget")
-    return placed.select("doc_id", "source", "n_tokens", "epoch", F.expr("cast((cast(at as decimal(20,0)) * blocks) div budget as bigint)").alias("block"), F.col("h").alias("block_order"), F.col("ppm").alias("weight_ppm"))
+    block = F.expr("cast((cast(at as decimal(20,0)) * blocks) div budget as bigint)")
+    block = F.when(F.col("ppm") < SMALL_PPM, (block + F.pmod(F.xxhash64("source"), "blocks")) % F.col("blocks")).otherwise(block)  # else all small sources begin in the first block
+    return placed.select("doc_id", "source", "n_tokens", "epoch", block.alias("block"), F.col("h").alias("block_order"), F.col("ppm").alias("weight_ppm"))

@@ -302,6 +302,19 @@ def test_mixing(spark, docs, empty):
     assert {r.source for r in odd} == {None, "s"}
 
 
+def test_mixing_keeps_small_sources(spark):
+    """Sources under half a millionth stay, at their weight, in blocks of their own."""
+    rows = spark.range(20).select(F.concat(F.lit("big"), "id").alias("source"), F.lit(375_000_000).cast("long").alias("tokens"))
+    tail = spark.createDataFrame([("tiny", 3000), (None, 2500), ("least", 1), ("few", 11_000)], "source string, tokens long")
+    got = {w.source: w for w in source_mixing.source_weights(rows.union(tail), entropy=0.9).collect()}
+    assert got["tiny"].ppm == 0 and {s: got[s].budget for s in ("tiny", None, "least")} == {"tiny": 3000, None: 2500, "least": 1}
+    assert abs(got["few"].budget - 11_000) <= 1 and abs(sum(w.budget for w in got.values()) / 7.5e9 - 1) < 1e-3
+    docs = spark.createDataFrame([(k, "x" * 40_000, "big") for k in range(250)] + [(1000 + k, "y", f"tail{k}") for k in range(40)], "doc_id long, text string, source string")
+    used = source_mixing.mix_sources(docs, entropy=0.0, block_tokens=100_000).collect()
+    assert {r.source for r in used} == {"big", *(f"tail{k}" for k in range(40))}
+    assert len({r.block for r in used if r.source != "big"}) > 5
+
+
 def test_warc(spark, empty, tmp_path):
     rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "http://b/\r\nX", None), (4, "u", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "y"), (6, "u", "x"), (6, "u", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n", F.lit(1)).coalesce(1)

@@ -6,7 +6,9 @@ and pairs with a word between. Hashes have 62 bits, so features don't share weig
 Training takes a bounded sample of the labelled rows (``SAMPLE`` expected, drawn by a hash of
 the id at a rate per label), dealt into parts of about ``PART_ROWS``. Each part is learnt
 by one task with rates per coordinate and an L1 term, and the parts' weights are averaged per
-feature in Spark. L1 leaves few weights; the largest ``MAX_WEIGHTS`` are broadcast.
+feature in Spark. A label drawn at a lower rate than the other is too rare in the sample by
+the ratio of the rates, so its logarithm goes back to the bias: scores mean the same whatever
+the size of the table. L1 leaves few weights; the largest ``MAX_WEIGHTS`` are broadcast.
 
 Cases: a null or empty text has the score of the bias alone; a null label teaches nothing, a
 label of an id that isn't there is ignored, and of several labels of an id the largest holds;
@@ -127,6 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, part_rows: i
     mean = fitted.groupBy("feature").agg((F.sum("weight") / shards).alias("weight"))
     best = mean.orderBy(F.desc(F.abs("weight")), "feature").limit(MAX_WEIGHTS).collect()  # bounded
     names, w = np.array([r[0] for r in best], np.int64), np.array([r[1] for r in best])
+    shift = float(np.log(rates.get(0, 1.0) / rates.get(1, 1.0))) if len(rates) == 2 else 0.0  # log odds that the sample has too few
+    if shift and not (names == _BIAS).any():
+        names, w = np.append(names, _BIAS), np.append(w, 0.0)
+    w[names == _BIAS] += shift
     order = np.argsort(names)
     return names[order], w[order]
 

@@ -240,6 +240,20 @@ def test_toxicity(spark, docs, empty):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_toxicity_share_is_alike_at_any_size(spark):
+    """A table above the sample's bound predicts the share that it predicts below it."""
+    r = random.Random(9)
+    rows = []
+    for k in range(6000):
+        label = int(r.random() < 0.1)
+        marks = sum(r.random() < (0.6 if label else 0.25) for _ in range(4))  # labels overlap
+        rows.append((k, prose(12, k) + " vilemark" * bool(marks > 1) + " worsemark" * bool(marks > 2), label))
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(4).cache()
+    mean = lambda sample: toxicity.score(table, toxicity.train(table, table.select("doc_id", "label"), sample=sample)).agg(F.avg("score"), F.avg("predicted")).first()
+    whole, bounded = mean(40_000), mean(1000)
+    assert abs(whole[0] - bounded[0]) < 0.05 and abs(whole[1] - bounded[1]) < 0.05, (whole, bounded)
+
+
 def test_tokens(spark, docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

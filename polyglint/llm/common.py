@@ -8,41 +8,57 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side with at most this many (narrow) rows may be broadcast; beyond it the join shuffles both sides.
 MAX_BROADCAST_ROWS = 100_000
 
-#: Rows that a Python worker gets at a time.
-ARROW_ROWS = 2_000
+#: Rows and bytes that a Python worker gets at a time.
+ARROW_ROWS, ARROW_BYTES = 2_000, 64 << 20
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: Intermediate tables written by this process, for ``clean_up``.
+_WRITTEN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it, and bound their batches.
 
     On a cluster the package is installed or passed with ``--py-files``; this only adds a path.
+    Documents are long: batches of 10,000 rows, Spark's default, would take most of a worker's
+    memory. A session whose batches are smaller already is left as it is.
     """
-    # Documents are long: batches of 10,000 rows, the default, would take most of a worker's memory.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        given = _bytes(spark.conf.get(key, None) or "0")
+        if not 0 < given <= most:
+            spark.conf.set(key, str(most))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def _bytes(value: str) -> int:
+    """A number as Spark's settings give it, with or without a unit of size."""
+    digits = value.rstrip("bBkKmMgGtT")
+    unit = value[len(digits) :].lower().rstrip("b")
+    return int(digits or 0) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (local tests), a temporary folder is set as checkpoint folder and used.
+    Where it is unset, local sessions (tests) get a temporary folder; on a cluster executors
+    would write to disks that others can't read, so that is an error.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -50,7 +66,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables that this process has written, but for those at ``keep``.
+
+    For when results have been written: DataFrames that still read the tables can't be used afterwards.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _WRITTEN if p not in keep]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _WRITTEN.remove(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -64,6 +94,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs``, or a written copy where its rows could come in another order when they are read again.
+
+    Operators number rows by their place and meet the numbers in a later job. Tables in files
+    are read in the same order each time; what was shuffled or computed by Python isn't sure to be.
+    """
+    todo = [docs._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split()[0] not in ("Project", "Filter", "LocalRelation", "Range", "Relation", "LogicalRelation") or not node.deterministic():
+            return materialise(docs, "rows")
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return docs
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it (case doesn't count)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Join with a narrow table written before: broadcast if its row count is small, else shuffle.
 
@@ -88,30 +142,57 @@ def ascii_lower(text: Column) -> Column:
 
 
 def repeated(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The rows whose key occurs in two or more rows, sorted by key and order within partitions.
+    """The rows whose integer key occurs in two or more rows, sorted by key and order within partitions.
 
     One shuffle by key, a sort, and a stream that holds one batch: a key of any number of
-    rows needs no memory of its own, and rows with unique keys go no further.
+    rows needs no memory of its own, and rows with unique keys go no further. All rows of a key
+    go to one task: callers deal hot keys out before (see ``hot_keys``).
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None  # the last row, not yet known to repeat
-        last_out = False
+        last_key, last_out = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(key)
-            same = pc.equal(keys.slice(0, len(keys) - 1), keys.slice(1)).to_pylist() if len(keys) > 1 else []
-            joined = last is not None and last.column(key)[0].as_py() == keys[0].as_py()
+            keys = batch.column(key).to_numpy()
+            same = keys[1:] == keys[:-1]
+            joined = last is not None and last_key == keys[0]
             if last is not None and (joined or last_out):
                 yield last
-            keep = [a or b for a, b in zip([joined, *same], [*same, False])]
-            last_out = keep[-1]
+            keep = np.concatenate(([joined], same)) | np.concatenate((same, [False]))
+            last_key, last_out = keys[-1], bool(keep[-1])
             last = batch.slice(batch.num_rows - 1)
             keep[-1] = False
-            if any(keep):
+            if keep.any():
                 yield batch.filter(pa.array(keep))
         if last is not None and last_out:
             yield last
 
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(stream, df.schema)
+
+
+def sample_of(rows: DataFrame, key: str, expected: int) -> DataFrame:
+    """About ``expected`` rows, drawn by a hash of a column."""
+    rate = expected / max(1, rows.count())
+    return rows if rate >= 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
+
+
+def hot_keys(sampled: DataFrame, key: str, least: int = 8, per_part: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, parts), sorted by key, of keys in ``least`` or more sampled rows; a part gets about ``per_part`` of them.
+
+    It decides only over how many tasks the rows of a key are dealt, no result depends on it. At
+    most a row per ``least`` sampled ones is gathered, so the bound is the sample's.
+    """
+    found = sampled.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(key).collect()
+    return np.array([r[0] for r in found], np.int64), np.array([r[1] // per_part for r in found], np.int64)
+
+
+def parts_of(keys: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many parts each key is dealt over; 0 for keys that aren't hot."""
+    names, parts = hot
+    if not len(names):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(names, keys)
+    at[at == len(names)] = 0
+    return np.where(names[at] == keys, parts[at], 0)

@@ -141,12 +141,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def repeated(df: DataFrame, key: str, *order: str) -> DataFrame:
+#: Keys are hashes whose bits 3 to 12 are free for the number of a part; the three last ones are the caller's.
+MOST_PARTS, PART_BITS = 1023, 1023 << 3
+PLAIN = np.uint64((1 << 64) - 1 ^ PART_BITS)
+
+
+def repeated(df: DataFrame, key: str, *order: str, parts: bool = False) -> DataFrame:
     """The rows whose integer key occurs in two or more rows, sorted by key and order within partitions.
 
     One shuffle by key, a sort, and a stream that holds one batch: a key of any number of
     rows needs no memory of its own, and rows with unique keys go no further. All rows of a key
-    go to one task: callers deal hot keys out before (see ``hot_keys``).
+    go to one task: callers ``deal`` hot keys out before, and with ``parts`` rows of such a part are all kept.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +165,7 @@ def repeated(df: DataFrame, key: str, *order: str) -> DataFrame:
             joined = last is not None and last_key == keys[0]
             if last is not None and (joined or last_out):
                 yield last
-            keep = np.concatenate(([joined], same)) | np.concatenate((same, [False]))
+            keep = np.concatenate(([joined], same)) | np.concatenate((same, [False])) | ((keys & PART_BITS) != 0 if parts else False)
             last_key, last_out = keys[-1], bool(keep[-1])
             last = batch.slice(batch.num_rows - 1)
             keep[-1] = False
@@ -188,11 +193,19 @@ def hot_keys(sampled: DataFrame, key: str, least: int = 8, per_part: int = 4) ->
     return np.array([r[0] for r in found], np.int64), np.array([r[1] // per_part for r in found], np.int64)
 
 
-def parts_of(keys: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """How many parts each key is dealt over; 0 for keys that aren't hot."""
+def deal(keys: np.ndarray, rows: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The keys with the number of a part, by ``rows``, in their free bits; 0 if they aren't hot."""
+    keys = (keys.view(np.uint64) & PLAIN).view(np.int64)
     names, parts = hot
     if not len(names):
-        return np.zeros(len(keys), np.int64)
+        return keys
     at = np.searchsorted(names, keys)
     at[at == len(names)] = 0
-    return np.where(names[at] == keys, parts[at], 0)
+    n = np.where(names[at] == keys, np.minimum(parts[at], MOST_PARTS), 0).astype(np.uint64)
+    part = ((rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.maximum(n, np.uint64(1)) + np.uint64(1)
+    return keys | np.where(n > 1, part << np.uint64(3), np.uint64(0)).view(np.int64)
+
+
+def whole_keys(rows: DataFrame, key: str = "key") -> DataFrame:
+    """Rows with the keys as they were before ``deal``."""
+    return rows.withColumn(key, F.col(key).bitwiseAND(F.lit(~PART_BITS).cast("long")))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """From undirected edges (a, b): node, label. Equal labels are one component; the label is its least node.
 
-    Each round takes the least label among neighbours, then the label of the label. A node
-    with many neighbours is reduced before the shuffle. Rounds go on until nothing changes.
+    Each round takes the least label among neighbours, then the label of the label, until nothing
+    changes. Labels offered to a node are reduced before they are shuffled. Edges of a node with
+    many neighbours meet its label in a join whose partitions adaptive execution splits.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()

@@ -4,17 +4,23 @@
    with the same set are one class from here on, so exact copies cost one row.
 2. Each tree orders classes by its own rotation of the signature. Classes that agree on the
    first ``DEPTH`` minima form a region; a region of one class ends there.
-3. Depth adapts to the region: up to ``SMALL`` classes, all its pairs are candidates; in a
-   larger one a class is paired with its neighbour of the longest common prefix and with the
-   region's best connected class (the one found in the largest regions over all trees).
+3. Depth adapts to the region: up to ``SMALL`` classes, all its pairs are candidates; a larger
+   one is sorted by the further minima, and a class is paired with its neighbours, those of the
+   longest common prefix at whatever depth, and with the region's best connected class (the one
+   found in the largest regions over all trees).
 4. Candidates whose signatures agree too little, or whose sizes differ too much, can't be
    links. Of the rest each class first verifies its best partner, then all pairs that are
    still in different components. Links are confirmed on the full shingle sets.
-5. What is left of large regions is done exactly: classes outside the region's main component
-   are compared, in blocks of bounded size, with all classes of the region of another component.
+5. What is left of large regions is done exactly. Sets of similarity 0.75 share one of the rarest
+   quarter of the shingles of each, so the classes of regions with several components meet by
+   these shingles; what only many texts of a template have in common is not among them. Groups
+   of up to ``SMALL`` classes give pairs of different components; in a larger group, classes
+   outside its main component are compared, in blocks of bounded size, with the others.
 
 No pair is dropped for the size of its region; pairs inside a component already found add
-nothing to the components. A pair of similarity 0.75 shares no region of any of 25 trees with
+nothing to the components. Sets are held as 64-bit hashes of shingles, and equal sets are found
+by a 128-bit hash of these. Regions that many classes of a sample share are dealt over tasks by
+class. A pair of similarity 0.75 shares no region of any of 25 trees with
 probability (1 - 0.75 ** 4) ** 25 < 1e-4, and agrees on fewer than 55 of 100 minima with
 probability below 1e-5.
 
@@ -27,7 +33,7 @@ long texts are read whole; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +41,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, repeated, ship, sized_join
+from .common import deal, free_name, hot_keys, materialise, repeated, sample_of, ship, sized_join, stable, whole_keys
 from .components import connected_components, merge_components
 
 SHINGLE, TREES, DEPTH, SMALL, BLOCK = 5, 25, 4, 24, 1024
+#: Classes expected in the sample that tells which regions are dealt over several tasks.
+SAMPLE_CLASSES = 4_000
+#: Bits of a shingle that count its frequency among the classes that step 5 looks at.
+FREQUENCY_BITS = 20
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Signatures of a link agree on at least so many minima (see above).
@@ -100,8 +110,8 @@ def _signatures(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "pos long, doc_id long, n long, set binary, sig array<int>")
 
 
-def _trees(classes: DataFrame) -> DataFrame:
-    """key (tree and first minima), deep (eight further minima of the tree's order, a byte each), node."""
+def _trees(classes: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key (tree and first minima; hot ones with the number of a part), deep (eight further minima of the tree's order, a byte each), node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +124,8 @@ def _trees(classes: DataFrame) -> DataFrame:
                 deep = np.zeros(len(sig), np.uint64)
                 for k in range(DEPTH, DEPTH + 8):
                     deep = deep << np.uint64(8) | (order[:, k] & np.uint64(255))
-                yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(29))).view(np.int64)), pa.array(deep.view(np.int64)), batch.column("node")], names=["key", "deep", "node"])
+                key = deal((key ^ (key >> np.uint64(29))).view(np.int64), batch.column("node").to_numpy(), hot)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(deep.view(np.int64)), batch.column("node")], names=["key", "deep", "node"])
 
     return classes.select("node", "sig").mapInArrow(run, "key long, deep long, node long")
 
@@ -185,45 +196,96 @@ def _links_of_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _rest(large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links in large regions between a class outside the main component and classes of other components."""
-    labelled = large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    labelled = materialise(labelled, "forest-rest")
-    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
-    mains = parts.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0")
+def _open(members: DataFrame, name: str) -> DataFrame:
+    """From (key, node, label): key, main (the label of most classes), n, outside (classes of other labels) of keys with several labels."""
+    parts = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+    mains = parts.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("outside"))
+    return materialise(mains.filter("outside > 0"), name)  # written, so that the join with a hot key's rows can be split
+
+
+def _rare_shingles(classes: DataFrame) -> DataFrame:
+    """From (node, label, shingles): key, node, label for each of the rarest shingles of a class, of which sets alike to PERCENT share one."""
+    shift = np.uint64(64 - FREQUENCY_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+            slots, n = np.unique(x >> shift, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+    # A table of fixed size: how frequent shingles are, by the first bits of their hashes.
+    counts = classes.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(1 << FREQUENCY_BITS, np.uint8)
+    level[counts.column("slot").to_numpy()] = np.log2(counts.column("n").to_numpy())
+    shared = classes.sparkSession.sparkContext.broadcast(level)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for x in batch.column("shingles"):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                n = len(x) - -(-PERCENT * len(x) // 100) + 1
+                keys.append(x[np.lexsort((x, shared.value[(x >> shift).astype(np.int64)]))[:n]])
+                sizes.append(n)
+            if keys:
+                own = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "label")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, own)], names=["key", "node", "label"])
+
+    return classes.mapInArrow(choose, "key long, node long, label long")
+
+
+def _rest(large: DataFrame, labels: DataFrame, sets: DataFrame, scored: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links between classes of large regions that are in different components."""
+    labelled = materialise(large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "forest-rest")
+    among = sized_join(labelled, _open(labelled, "forest-open").select("key"), ["key"], "left_semi").select("node", "label").distinct()
+    classes = materialise(among.join(sets, "node"), "forest-rest-sets")
+    # A shingle of one class links nothing.
+    met = materialise(_rare_shingles(classes), "forest-rare")
+    mains = _open(met, "forest-rare-open")
+    rows = materialise(sized_join(met, mains, ["key"], "inner"), "forest-rare-shared")
+    few = rows.filter(F.col("n") <= SMALL).select("key", "node", "label")
+    other = few.withColumnsRenamed({"node": "b", "label": "label_b"})
+    pairs = few.join(other, "key").filter("node < b and label <> label_b").select(F.col("node").alias("a"), "b").distinct()
+    links = _verify(scored(pairs), sets)
     ceil = lambda c: F.expr(f"({c} + {BLOCK - 1}) div {BLOCK}")
-    rows = labelled.join(mains, "key").withColumns({"blocks": ceil("n"), "asking": ceil("outside")})
+    many = rows.filter(F.col("n") > SMALL).withColumns({"blocks": ceil("n"), "asking": ceil("outside")})
     place = F.xxhash64("node")
-    asks = rows.filter("label <> main").select("key", F.pmod(place, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "node", "label", F.lit(True).alias("asks"))
-    base = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), F.pmod(place, F.col("blocks")).alias("j"), "node", "label", F.lit(False).alias("asks"))
-    return asks.union(base).join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: _links_of_block(t), "a long, b long").distinct()
+    asks = many.filter("label <> main").select("key", F.pmod(place, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "node", "label", F.lit(True).alias("asks"))
+    base = many.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), F.pmod(place, F.col("blocks")).alias("j"), "node", "label", F.lit(False).alias("asks"))
+    blocks = asks.union(base).join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: _links_of_block(t), "a long, b long")
+    return links.union(blocks).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pos, doc_id, n_shingles, component_id, kept for every row; ``pos`` numbers the rows."""
     ship(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("pos"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = stable(docs).select(F.monotonically_increasing_id().alias("pos"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(_signatures(rows), "forest-signatures")
     # A class goes by the position of its first row.
     some = signed.filter("set is not null").groupBy("set").agg(F.min("pos").alias("node"), F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialise(some, "forest-classes")
 
-    members = materialise(repeated(_trees(classes), "key", "deep", "node"), "forest-members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    members = materialise(members.join(sizes, "key"), "forest-regions")
+    signatures = classes.select("node", "sig")
+    hot = hot_keys(_trees(sample_of(signatures, "node", SAMPLE_CLASSES), (np.zeros(0, np.int64),) * 2), "key")
+    members = materialise(whole_keys(repeated(_trees(signatures, hot), "key", "deep", "node", parts=True)), "forest-members")
+    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("size")), "forest-sizes")
+    members = materialise(sized_join(members, sizes, ["key"], "inner"), "forest-regions")
     large, small = members.filter(F.col("size") > SMALL), members.filter(F.col("size") <= SMALL)
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    hubs = large.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    hubs = materialise(large.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("hub")), "forest-hubs")
     other = small.select("key", F.col("node").alias("b"))
     pairs = small.select("key", F.col("node").alias("a")).join(other, "key").filter("a < b").select("a", "b")
-    to_hub = large.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    to_hub = sized_join(large, hubs, ["key"], "inner").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     pairs = pairs.union(to_hub).union(_neighbours(large)).distinct()
 
     near = materialise(sized_join(classes, materialise(degree.select("node"), "forest-near"), ["node"], "left_semi").select("node", "n", "sig"), "forest-candidates")
     side = lambda x: near.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    scored = scored.withColumn("agree", _agreement(F.col("sig_a"), F.col("sig_b"))).filter(F.col("agree") >= AGREE).select("a", "b", "agree")
-    scored = materialise(scored, "forest-pairs")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+        return both.withColumn("agree", _agreement(F.col("sig_a"), F.col("sig_b"))).filter(F.col("agree") >= AGREE).select("a", "b", "agree")
+
+    scored = materialise(alike(pairs), "forest-pairs")
 
     needed = scored.select(F.col("a").alias("node")).union(scored.select("b")).union(large.select("node")).distinct()
     needed = materialise(needed.select(F.col("node").alias("pos")), "forest-needed")
@@ -242,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     apart = scored.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").filter("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
     labels = merge_components(labels, materialise(_verify(apart, sets), "forest-links"))
-    labels = merge_components(labels, materialise(_rest(large.select("key", "node"), labels, sets), "forest-rest-links"))
+    labels = merge_components(labels, materialise(_rest(large.select("key", "node"), labels, sets, alike), "forest-rest-links"))
 
     linked = labels.join(classes.select("node", "set", "doc_id"), "node")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -255,5 +317,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    dropped = materialise(near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("pos").alias("__pos")), "forest-dropped")
-    return sized_join(docs.withColumn("__pos", F.monotonically_increasing_id()), dropped, ["__pos"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs, place = stable(docs), free_name(docs, "__pos")
+    dropped = materialise(near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("pos").alias(place)), "forest-dropped")
+    return sized_join(docs.withColumn(place, F.monotonically_increasing_id()), dropped, [place], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

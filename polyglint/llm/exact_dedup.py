@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized_join
+from .common import free_name, materialise, sized_join, stable
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -33,7 +33,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``pos`` numbers the rows of the table; ``kept`` is true for exactly one row of a group.
     """
-    rows = _rows(docs, id_col, text_col)
+    rows = _rows(stable(docs), id_col, text_col)
     hash128 = F.unhex(F.md5(F.col("norm").cast("binary")))
     keyed = materialise(rows.select("doc_id", "pos", hash128.alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-keys")
     repeats = materialise(keyed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "exact-repeats")
@@ -58,5 +58,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = materialise(exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("pos").alias("__pos")), "exact-dropped")
-    return sized_join(docs.withColumn("__pos", F.monotonically_increasing_id()), dropped, ["__pos"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    docs, place = stable(docs), free_name(docs, "__pos")
+    dropped = materialise(exact_groups(docs, id_col, text_col).filter("not kept").select(F.col("pos").alias(place)), "exact-dropped")
+    return sized_join(docs.withColumn(place, F.monotonically_increasing_id()), dropped, [place], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,17 +17,19 @@ ignored. Very long texts take memory in proportion to one text.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import materialise, ship, sized_join
+from .common import free_name, materialise, ship, sized_join, stable
 
 N = 13
 #: Words of benchmark items in one broadcast set: about 100 bytes each when held as windows.
@@ -81,6 +83,17 @@ class WindowSet:
                         yield int(a + k), int(a + k + m), found
 
 
+_LAST: dict[str, WindowSet] = {}
+
+
+def _window_set(key: str, shared: Broadcast, n: int) -> WindowSet:
+    """One per worker process: it is built by the first of the tasks that a process runs."""
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = WindowSet(shared.value, n)
+    return _LAST[key]
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -95,10 +108,10 @@ _SCHEMA = pa.schema([("pos", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa
 
 
 def _scan(rows: DataFrame, items: list[tuple[str, str | None]], n: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+    shared, key = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = WindowSet(shared.value, n)
+        windows = _window_set(key, shared, n)
         for batch in batches:
             counts, spans, found = [], [], []
             for text in batch.column("text"):
@@ -127,7 +140,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col
     """Per document: pos, doc_id, n_words, spans (hit word ranges, disjoint), items (item ids, sorted)."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("pos"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = stable(docs).select(F.monotonically_increasing_id().alias("pos"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     words = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]  # at most so many
     parts = int(words // max_item_words) + 1
@@ -154,15 +167,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Cutting keeps the text outside the spans as it is; a document that loses all its words stays, empty.
     """
+    docs, place, spans = stable(docs), free_name(docs, "__pos"), free_name(docs, "__spans")
     found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     bad = digest(found).filter("contaminated") if whole else found.filter(F.size("spans") > 0)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__pos", F.monotonically_increasing_id())
+    rows = docs.withColumn(place, F.monotonically_increasing_id())
     if whole:
-        return sized_join(rows, materialise(bad.select(F.col("pos").alias("__pos")), "contaminated"), ["__pos"], "left_anti").select(columns)
+        return sized_join(rows, materialise(bad.select(F.col("pos").alias(place)), "contaminated"), [place], "left_anti").select(columns)
     cut = F.udf(cut_words, StringType())
-    rows = sized_join(rows, materialise(bad.select(F.col("pos").alias("__pos"), F.col("spans").alias("__spans")), "contaminated"), ["__pos"], "left")
-    return rows.withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col("__spans"))).select(columns)
+    rows = sized_join(rows, materialise(bad.select(F.col("pos").alias(place), F.col("spans").alias(spans)), "contaminated"), [place], "left")
+    return rows.withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col(spans))).select(columns)
 
 
 def cut_words(text: str | None, spans: list | None) -> str | None:

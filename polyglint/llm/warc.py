@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, shared_path, sized_join
+from .common import materialise, ship, shared_path, sized_join, stable
 
-#: A file holds at most this many records; readers take a file at a time.
-RECORDS_PER_FILE = 2_000
+#: Readers take a file at a time: it holds at most this many records, and about this many bytes at the mean length of a payload.
+RECORDS_PER_FILE, BYTES_PER_FILE = 2_000, 64 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _SEPARATOR = "\r\n\r\n"
 _SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary"
@@ -42,7 +42,7 @@ def base32_sha1(payload: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
     """Write one record per row; equal payloads of ``min_bytes`` or more are stored once."""
-    rows = pages.select(
+    rows = stable(pages).select(
         F.col(id_col).alias("id"), F.regexp_replace(F.col(url_col), r"[\r\n]", "").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("body"), F.monotonically_increasing_id().alias("pos")
     )
     body = F.col("body").cast("binary")
@@ -50,6 +50,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     # Headers only are shuffled, and combined before that: a payload of any number of copies is one row per map task.
     originals = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest", "check", "bytes").agg(F.count("*").alias("n"), F.max(F.struct("id", "pos")).alias("first"))
     originals = materialise(originals.filter("n > 1").select("digest", "check", "bytes", "first"), "warc-originals")
+    mean = rows.agg(F.avg("bytes")).first()[0] or 0.0
+    records = max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / max(mean, 1.0))))
     rows = sized_join(rows, originals, ["digest", "check", "bytes"], "left")
     name = lambda id_, pos: F.concat(F.lit("<urn:record:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), pos.cast("string"), F.lit(">"))
     revisit = F.coalesce(F.col("first.pos") != F.col("pos"), F.lit(False))
@@ -68,7 +70,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("\r\n"),
     )
     record = F.concat(header, F.lit(_HTTP), F.when(revisit, "").otherwise(F.col("body")))
-    rows.select(record.alias("value")).write.option("lineSep", _SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", _SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def _records(content: bytes) -> Iterator[tuple]:

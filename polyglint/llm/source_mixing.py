@@ -44,16 +44,16 @@ def token_estimate(text: Column) -> Column:
 
 
 def _power_sum(shares: Column, alpha: Column) -> Column:
-    return F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.pow(p, alpha))
+    return F.aggregate(shares, F.lit(0.0), lambda s, x: s + x["n"] * F.pow(x["p"], alpha))
 
 
 def _entropy(shares: Column, alpha: Column) -> Column:
     z = _power_sum(shares, alpha)
-    return F.log(z) - alpha * F.aggregate(shares, F.lit(0.0), lambda s, p: s + F.pow(p, alpha) * F.log(p)) / z
+    return F.log(z) - alpha * F.aggregate(shares, F.lit(0.0), lambda s, x: s + x["n"] * F.pow(x["p"], alpha) * F.log(x["p"])) / z
 
 
 def _repeats(shares: Column, alpha: Column, budget_ratio: Column) -> Column:
-    return budget_ratio * F.array_max(F.transform(shares, lambda p: F.pow(p, alpha - 1))) / _power_sum(shares, alpha)
+    return budget_ratio * F.array_max(F.transform(shares, lambda x: F.pow(x["p"], alpha - 1))) / _power_sum(shares, alpha)
 
 
 def _bisect(keep_low: Callable[[Column], Column]) -> Column:
@@ -70,12 +70,14 @@ def _bisect(keep_low: Callable[[Column], Column]) -> Column:
 def source_weights(totals: DataFrame, budget: int | None = None, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """From (source, tokens) per source: source, tokens, alpha, ppm (weight in millionths), budget.
 
-    The sources' totals, not rows, are gathered in one row; there is one number per source.
+    The different totals, each with the number of its sources, are gathered in one row. Their sum
+    bounds them: T tokens make at most sqrt(2 T) different totals, however many sources there are.
     """
-    one = totals.filter("tokens > 0").agg(F.array_sort(F.collect_list("tokens")).alias("all"), F.sum("tokens").alias("total"))
-    one = one.withColumn("shares", F.transform("all", lambda t: t / F.col("total"))).withColumn("budget", F.col("total") if budget is None else F.lit(budget).cast("long"))
+    different = totals.filter("tokens > 0").groupBy("tokens").agg(F.count("*").alias("n"))
+    one = different.agg(F.array_sort(F.collect_list(F.struct("tokens", "n"))).alias("all"), F.sum(F.col("tokens") * F.col("n")).alias("total"), F.sum("n").alias("sources"))
+    one = one.withColumn("shares", F.transform("all", lambda t: F.struct((t["tokens"] / F.col("total")).alias("p"), t["n"].alias("n")))).withColumn("budget", F.col("total") if budget is None else F.lit(budget).cast("long"))
     shares, ratio = F.col("shares"), F.col("budget") / F.col("total")
-    target = F.lit(entropy) * F.log(F.size("shares").cast("double"))
+    target = F.lit(entropy) * F.log(F.col("sources").cast("double"))
     by_entropy = F.when(_entropy(shares, F.lit(1.0)) >= target, 1.0).otherwise(_bisect(lambda a: _entropy(shares, a) >= target)["lo"])
     by_repeats = F.when(_repeats(shares, F.lit(0.0), ratio) <= max_repeats, 0.0).otherwise(_bisect(lambda a: _repeats(shares, a, ratio) > max_repeats)["hi"])
     one = materialise(one.withColumn("alpha", F.greatest(by_entropy, by_repeats)), "mix-exponent")  # one row; else each use bisects anew

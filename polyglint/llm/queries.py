@@ -89,13 +89,17 @@ _WS = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: As many as pass before a round moves less than a ten-thousandth of the seeds' weight, whatever the graph.
+_ROUNDS = 57
+
+
 def _propagation_sql() -> str:
     rounds = [
         f"""r{k} AS (SELECT kind, host, sum(rank) AS rank FROM (
             SELECT * FROM seeds UNION ALL
             SELECT e.kind, e.dst, {url_filter.DAMPING} * r.rank * e.share FROM {"seeds" if k == 1 else f"r{k - 1}"} r JOIN edges e ON r.kind = e.kind AND r.host = e.src
         ) GROUP BY kind, host)"""
-        for k in range(1, url_filter.ITERATIONS + 1)
+        for k in range(1, _ROUNDS + 1)
     ]
     return ", ".join(rounds)
 
@@ -123,7 +127,7 @@ hosts AS (SELECT host, avg(CASE WHEN given = 'allow' THEN 1 ELSE 0 END) AS trust
 w AS (SELECT 'trust' AS kind, host, trust AS weight FROM hosts UNION ALL SELECT 'distrust', host, distrust FROM hosts),
 seeds AS (SELECT kind, host, (1 - {url_filter.DAMPING}) * weight / sum(weight) OVER (PARTITION BY kind) AS rank FROM w WHERE weight > 0),
 {_propagation_sql()},
-scores AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS distrust FROM r{url_filter.ITERATIONS} GROUP BY host)
+scores AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS distrust FROM r{_ROUNDS} GROUP BY host)
 SELECT page_id, j.host, path, rule,
        coalesce(given, CASE WHEN coalesce(distrust, 0) > {url_filter.THRESHOLD} * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN scores ON j.host = scores.host

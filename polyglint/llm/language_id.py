@@ -8,7 +8,9 @@ costs a fixed penalty.
 The model is learnt from a bounded sample of labelled rows, drawn by a hash of the id at a
 rate per language (``SAMPLE_PER_LANGUAGE`` rows expected). Counting runs in Spark; the most
 frequent words and n-grams of each language are kept, so the broadcast model is bounded by
-the number of languages times ``WORDS + 4 * GRAMS`` entries, and by ``MAX_LANGUAGES``.
+the number of languages times ``WORDS + 4 * GRAMS`` entries. More than ``MAX_LANGUAGES`` labels
+are an error: a language that isn't learnt could never be predicted. Costs are held as
+(term, language, cost), so the model grows with its entries, not with the square of the languages.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null label
 teach nothing; without any labelled row every text is ``und``; a null id is kept (and never
@@ -35,7 +37,8 @@ WORDS, GRAMS, LONGEST = 20_000, 10_000, 4
 #: Cost, in powers of ten, of a word or n-gram that a language doesn't have.
 PENALTY = 7.0
 UNKNOWN = "und"
-_CACHE = 300_000
+#: Costs of words met that a worker keeps.
+_CACHE_CELLS = 4_000_000
 
 
 def _letters(text: Column) -> Column:
@@ -43,8 +46,10 @@ def _letters(text: Column) -> Column:
 
 
 def sample_rates(labelled: DataFrame, label: str, per_label: int, most: int) -> dict[str, float]:
-    """Sampling rate of each of the ``most`` most frequent labels."""
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most).collect()  # one row a label, bounded
+    """Sampling rate of each label, of which there are at most ``most``."""
+    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most + 1).collect()  # one row a label, bounded
+    if len(counts) > most:
+        raise ValueError(f"{label} has more than {most} values")
     return {r[0]: min(1.0, per_label / r[1]) for r in counts}
 
 
@@ -79,10 +84,10 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: i
         rows.append((at, column[lang], cost))
     for size in range(LONGEST + 1):
         index, rows = found[size]
-        costs = np.full((len(index), len(languages)), PENALTY, np.float32)
-        for at, lang, cost in rows:
-            costs[at, lang] = min(cost, PENALTY)
-        model.append((list(index), costs))
+        at, lang, cost = (np.array(v) for v in zip(*rows)) if rows else (np.zeros(0),) * 3
+        order = np.argsort(at, kind="stable")
+        ends = np.cumsum(np.bincount(at.astype(np.int64), minlength=len(index)))
+        model.append((list(index), np.concatenate(([0], ends)), lang[order].astype(np.int32), np.minimum(cost[order], PENALTY).astype(np.float32)))
     return {"languages": languages, "tables": model}
 
 
@@ -94,21 +99,29 @@ class Scorer:
 
         self.languages = model["languages"]
         self.find = regex.compile(r"\p{L}+").findall
-        self.tables = [({t: i for i, t in enumerate(terms)}, costs) for terms, costs in model["tables"]]
+        self.tables = [({t: i for i, t in enumerate(terms)}, *entries) for terms, *entries in model["tables"]]
+        self.most = max(1_000, _CACHE_CELLS // max(1, len(self.languages)))
         self.index: dict[str, int] = {}
         self.costs = np.zeros((0, len(self.languages)), np.float32)
 
+    def _sums(self, size: int, at: list[int], owners: np.ndarray, n: int) -> np.ndarray:
+        """For each of n owners, per language, the sum of what its terms cost less than the penalty."""
+        _, starts, languages, costs = self.tables[size]
+        at, width = np.array(at, np.int64), len(self.languages)
+        counts = starts[at + 1] - starts[at]
+        entries = np.repeat(starts[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        cells = np.repeat(owners, counts) * width + languages[entries]
+        return np.bincount(cells, costs[entries] - PENALTY, n * width).reshape(n, width)
+
     def _learn(self, words: list[str]) -> None:
         """Add the costs of words not met before."""
-        known, costs = self.tables[0]
+        known = self.tables[0][0]
         out = np.full((len(words), len(self.languages)), PENALTY, np.float32)
-        todo = []
-        for k, w in enumerate(words):
-            at = known.get(w)
-            if at is None:
-                todo.append(k)
-            else:
-                out[k] = costs[at]
+        found = [(k, at) for k, w in enumerate(words) if (at := known.get(w)) is not None]
+        if found:
+            which, at = zip(*found)
+            out[list(which)] += self._sums(0, at, np.arange(len(at)), len(at)).astype(np.float32)
+        todo = [k for k, w in enumerate(words) if w not in known]
         for size in range(LONGEST, 0, -1):
             get, rest, at, ends, which = self.tables[size][0].get, [], [], [], []
             for k in todo:
@@ -121,10 +134,10 @@ class Scorer:
                 else:
                     rest.append(k)
             if which:
-                sums = np.add.reduceat(self.tables[size][1][at], ends, axis=0)
-                out[which] = sums / np.diff([*ends, len(at)])[:, None]
+                n = np.diff([*ends, len(at)])
+                out[which] += (self._sums(size, at, np.repeat(np.arange(len(n)), n), len(n)) / n[:, None]).astype(np.float32)
             todo = rest
-        if len(self.index) + len(words) > _CACHE:
+        if len(self.index) + len(words) > self.most:
             self.index, self.costs = {}, self.costs[:0]
         for w in words:
             self.index[w] = len(self.index)
@@ -164,7 +177,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", predicted: str =
         scorer = Scorer(shared.value)
         for batch in batches:
             found = scorer.score(batch.column(text).to_pylist())
-            kept = [n for n in batch.schema.names if n not in (predicted, score)]
+            kept = [n for n in batch.schema.names if n.lower() not in (predicted.lower(), score.lower())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*kept, predicted, score])
 
     return docs.mapInArrow(run, schema)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "struct<start:int,end:int>"
+TOKEN = "struct<s:string,start:int,end:int>"
 EDIT = "struct<start:int,end:int,replacement:string>"
 
 # Fixed values of the rules.
@@ -21,21 +23,106 @@ WORD = rf"[{ALNUM}ʼ][{ALNUM}ʼ'’-]*"
 #: White space other than a line feed, at the ends of a string.
 LEADING, TRAILING = r"^(?U)[\s&&[^\n]]*", r"(?U)[\s&&[^\n]]*\z"
 
+#: Levels of nested braces that a format specification is read to.
+NESTING = 24
 
-def _nested(depth: int) -> str:
-    """Braces nested up to ``depth`` levels below the first."""
-    return r"\{[^{}]*\}" if depth == 0 else r"\{(?:[^{}]|" + _nested(depth - 1) + r")*\}"
+
+def _nested(inside: str, first: str = "") -> str:
+    """A brace, what follows up to its partner or, without one, to the end of the text."""
+    out = r"(?!)"
+    for _ in range(NESTING):
+        out = rf"\{{(?:{inside}|{out})*+(?:\}}|\z)"
+    return out.replace(r"\{", r"\{" + first, 1)
+
+
+@dataclass(frozen=True)
+class Dialect:
+    """Regular expressions of a format dialect. All repetitions of groups are possessive: they run as loops and can't overflow the stack on long texts."""
+
+    spec: str  # a format specification
+    one: str  # units that count as one character and begin with the one in the group, like a doubled marker
+    marks: str  # characters that either of them begins with, for use inside brackets
 
 
-#: Format specifications by dialect; doubled markers are matched too and dropped by format_specs().
 FORMATS = {
-    "C": r"%%|%(?=[\s\S])[-+ #.$0-9]*(?:hh?|ll?|[qLjzZt])?[A-Za-z]?",
-    "Python": r"%%|%(?=[\s\S])(?:\([^)]*(?:\)|\z))?[-+ #.0-9]*[hlL]?[A-Za-z]?",
-    "Python brace": r"\{\{|" + _nested(4),
-    "Java": r"'[^']*'|" + _nested(4).replace(r"\{", r"\{(?=[0-9])", 1),
+    "C": Dialect(r"%(?!%|\z)[-+ #.$0-9]*+(?:hh?|ll?|[qLjzZt])?+[A-Za-z]?+", "(%)%", "%"),
+    "Java": Dialect(_nested(r"[^{}']++|''|'[^']*+(?:'|\z)", "(?=[0-9])"), "(')(?:'|[^']*+')", r"\{'"),
+    "Python": Dialect(r"%(?!%|\z)(?:\([^)]*+(?:\)|\z))?+[-+ #.0-9]*+[hlL]?+[A-Za-z]?+", "(%)%", "%"),
+    "Python brace": Dialect(_nested(r"[^{}]++", r"(?!\{|\z)"), r"(\{)\{", r"\{"),
 }
+_PLAIN = Dialect("(?!)", "(?!)", r"￿")  # a character that no text has; patterns read it like any other
 DIALECT_OF_FLAG = {"c-format": "C", "java-format": "Java", "python-format": "Python", "python-brace-format": "Python brace"}
 
+#: What tokens are made of: a function of the dialect gives (what may stand before a token, the token).
+_KINDS: dict[str, Callable[[Dialect], tuple[str, str]]] = {}
+
+
+def _kind(name: str):
+    def add(build: Callable[[Dialect, str, str], tuple[str, str]]):
+        # Inside patterns of tokens, groups of their own would shift the numbers of those that are read.
+        _KINDS[name] = lambda d: build(d, d.spec, d.one.replace("(", "(?:", 1) if d.one != "(?!)" else d.one)
+        return build
+
+    return add
+
+
+@_kind("format")
+def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
+    return rf"{one}|[^{d.marks}]++|(?!{spec})[{d.marks}]", spec
+
+
+@_kind("word")
+def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
+    more = rf"[{ALNUM}ʼ’-]|{one}|'" if d is FORMATS["Java"] else rf"[{ALNUM}ʼ'’-]"
+    return rf"{spec}|{one}|[^{ALNUM}ʼ{d.marks}]++|[{d.marks}]", rf"[{ALNUM}ʼ](?:{more})*+"
+
+
+@_kind("acronym")
+def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
+    return rf"{spec}|{one}|[^{ALNUM}{d.marks}]++|[{d.marks}]", rf"[{ALNUM}]++"
+
+
+@_kind("token")
+def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
+    """Runs without white space; specifications at either end don't belong to one."""
+    unit = rf"(?:{one}|[^\s{d.marks}]++|(?!{spec})[{d.marks}])"
+    return rf"{spec}|\s++", rf"{unit}(?:(?:{spec})*+{unit})*+"
+
+
+@_kind("html")
+def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
+    tag = r"<(?=[A-Za-z/])(?:[^>\"']++|\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z))*+>"
+    return rf"{spec}|{one}|[^<{d.marks}]++|[{d.marks}]|(?!{tag})<", tag
+
+
+@_kind("function")
+def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
+    name = rf"[A-Za-z0-9_](?:::|->|{spec}|[A-Za-z0-9_.]++)*+"
+    return rf"{spec}|{one}|{name}(?!\(\))|[^A-Za-z0-9_{d.marks}]++|[{d.marks}]", rf"{name}\(\)"
+
+
+def accelerator_kind(marker: str) -> str:
+    """The kind of token that is one accelerator marker: before a letter or digit, and not doubled."""
+    m, name = "\\" + marker, "accelerator " + marker
+
+    @_kind(name)
+    def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
+        return rf"{spec}|{one}|{m}{m}|{m}(?![{ALNUM}])|[^{m}{d.marks}]++|(?!{m})[{d.marks}]", rf"{m}(?=[{ALNUM}])"
+
+    return name
+
+
+def _for_dialect(dialect: Column, build: Callable[[Dialect], str]) -> Column:
+    out = F.lit(build(_PLAIN))
+    for name, d in FORMATS.items():
+        out = F.when(dialect == name, build(d)).otherwise(out)
+    return out
+
+
+def _pattern(dialect: Column, kind: str) -> Column:
+    """Group 1: what stands before a token, group 2: the token. Matches follow each other without gaps."""
+    return _for_dialect(dialect, lambda d: r"(?U)\G((?:{})*+)({})".format(*_KINDS[kind](d)))
+
 
 def none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
@@ -52,23 +139,63 @@ def count(s: Column, pattern: str) -> Column:
     return F.regexp_count(s, F.lit(pattern))
 
 
+def occurrences(s: Column, text: str) -> Column:
+    """How often a text occurs."""
+    return F.floor((F.length(s) - F.length(F.replace(s, F.lit(text), F.lit("")))) / len(text)).cast("int")
+
+
 def matches(s: Column, pattern: str) -> Column:
     return F.regexp_extract_all(s, F.lit(f"({pattern})"), F.lit(1))
 
 
+def running(lengths: Column) -> Column:
+    """Running sums of an array of numbers.
+
+    Spark has no such function, and an array that grows inside ``aggregate`` is copied at each
+    step. Sums are made in chunks of the root of the length, so n numbers take n ** 1.5 additions.
+    Few levels of lambdas matter: the analyzer takes a pass for each.
+    """
+    add = lambda xs, start, n: F.aggregate(F.slice(xs, start, n), F.lit(0), lambda s, x: s + x)
+
+    def chunked(xs: Column, size: Column) -> Column:
+        one = lambda j, before: F.transform(F.slice(xs, j * size + 1, size), lambda _, i: before + add(xs, j * size + 1, i + 1))
+        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int"))
+        sums = F.transform(starts, lambda j: add(xs, F.lit(1), j * size))
+        return F.flatten(F.zip_with(starts, sums, one))
+
+    return let([lengths, F.greatest(F.ceil(F.sqrt(F.size(lengths))).cast("int"), F.lit(1))], chunked)
+
+
+def _laid(before: Column, own: Column) -> Column:
+    """Structs (s, start, end) of texts that each follow what stands before them."""
+
+    def spans(own: Column, ends: Column) -> Column:
+        return F.transform(own, lambda x, i: F.struct(x.alias("s"), (F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("end")))
+
+    ends = running(F.zip_with(before, own, lambda x, y: F.length(x) + F.length(y)))
+    return F.when(F.size(own) > 0, let([own, ends], spans)).otherwise(none(TOKEN))
+
+
+def marks(tokens: Column) -> Column:
+    """The spans of tokens."""
+    return F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+
+
 def positions(s: Column, pattern: str) -> Column:
-    """Code-point spans of all matches. Spark has no such function: lengths of what lies between them add up."""
-    start = F.struct(F.lit(0).alias("at"), none(MARK).alias("spans"))
+    """Code-point spans of all matches."""
+    return F.when(F.regexp_count(s, F.lit(pattern)) > 0, let([F.split(s, pattern, -1), F.regexp_extract_all(s, F.lit(pattern), F.lit(0))], lambda parts, own: marks(_laid(F.slice(parts, F.lit(1), F.size(own)), own)))).otherwise(none(MARK))
 
-    def spans(parts: Column, found: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            lo = acc["at"] + F.length(F.get(parts, k))
-            hi = lo + F.length(F.get(found, k))
-            return F.struct(hi.alias("at"), F.concat(acc["spans"], F.array(F.struct(lo.alias("start"), hi.alias("end")))).alias("spans"))
 
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["spans"]).otherwise(none(MARK))
+def char_positions(s: Column, chars: str) -> Column:
+    """Spans of all occurrences of some characters."""
+    at = F.transform(F.split(s, ""), lambda c, i: F.when(c.isin(list(chars)), F.struct(i.alias("start"), (i + 1).alias("end"))))
+    return F.filter(at, lambda m: m.isNotNull())
 
-    return let([F.split(s, pattern, -1), F.regexp_extract_all(s, F.lit(pattern), F.lit(0))], spans)
+
+def located(s: Column, dialect: Column, kind: str) -> Column:
+    """Tokens of a kind with their code-point spans: structs (s, start, end)."""
+    pattern = _pattern(dialect, kind)
+    return let([F.regexp_extract_all(s, pattern, F.lit(1)), F.regexp_extract_all(s, pattern, F.lit(2))], _laid)
 
 
 def not_blank(s: Column) -> Column:
@@ -89,37 +216,56 @@ def trailing_space(s: Column) -> Column:
 
 def format_specs(s: Column, dialect: str) -> Column:
     """The format specifications of one dialect, in order."""
-    found = F.regexp_extract_all(s, F.lit(FORMATS[dialect]), F.lit(0))
-    drop = {"C": ["%%", "%"], "Python": ["%%", "%"], "Python brace": ["{{"], "Java": []}[dialect]
-    return F.filter(found, lambda m: ~m.startswith("'") if dialect == "Java" else ~m.isin(drop))
+    return F.regexp_extract_all(s, _pattern(F.lit(dialect), "format"), F.lit(2))
 
 
-def by_dialect(dialect: Column, s: Column, build) -> Column:
-    """A value built per dialect; null without one."""
-    out = F.lit(None)
-    for name in FORMATS:
-        out = F.when(dialect == name, build(s, name)).otherwise(out)
-    return out
+def without_formats(s: Column, dialect: Column) -> Column:
+    """The text without format specifications; a doubled marker leaves one."""
+    pattern = _for_dialect(dialect, lambda d: f"{d.one}|{d.spec}")
+    return F.when(dialect.isNull(), s).otherwise(F.regexp_replace(s, pattern, F.lit("$1")))
+
+
+def _opened(before: Column, dialect: Column) -> Column:
+    """Whether an apostrophe stands before a word."""
+    return before.contains("'") & F.when(dialect.isNull(), F.lit(True)).otherwise(F.regexp_replace(before, _for_dialect(dialect, lambda d: d.spec), F.lit("")).contains("'"))
+
+
+def _uncut(s: Column, dialect: Column, build: Callable[[Column, Column], Column]) -> Column:
+    pattern = _pattern(dialect, "word")
+    return let([F.regexp_extract_all(s, pattern, F.lit(1)), F.regexp_extract_all(s, pattern, F.lit(2))], build)
 
 
 def words(s: Column, dialect: Column) -> Column:
-    """Words; a format specification ends one."""
-    plain = F.coalesce(by_dialect(dialect, s, lambda x, d: F.regexp_replace(x, FORMATS[d], "\u0001")), s)
-    return matches(plain, WORD)
+    """Words; a format specification ends one, and a word after an apostrophe doesn't keep one at its end."""
+    cut = lambda before, w: F.when(w.endswith("'") & _opened(before, dialect), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+    return _uncut(s, dialect, lambda before, own: F.zip_with(before, own, cut))
+
+
+def located_words(s: Column, dialect: Column) -> Column:
+    """Words with their code-point spans."""
+
+    def cut(t: Column, before: Column) -> Column:
+        shorter = F.struct(F.substring(t["s"], F.lit(1), F.length(t["s"]) - 1).alias("s"), t["start"].alias("start"), (t["end"] - 1).alias("end"))
+        return F.when(t["s"].endswith("'") & _opened(before, dialect), shorter).otherwise(t)
+
+    return _uncut(s, dialect, lambda before, own: F.zip_with(_laid(before, own), before, cut))
 
 
-def acronyms(s: Column) -> Column:
-    runs = matches(s, f"[{ALNUM}]+")
-    return F.array_sort(F.array_distinct(F.filter(runs, lambda r: (F.length(r) >= 2) & r.rlike(r"\p{IsUppercase}") & ~r.rlike(r"\p{IsLowercase}"))))
+def is_acronym(r: Column) -> Column:
+    return (F.length(r) >= 2) & r.rlike(r"\p{IsUppercase}") & ~r.rlike(r"\p{IsLowercase}")
 
 
-def tokens(s: Column) -> Column:
-    return F.filter(F.split(s, r"(?U)\s+", -1), lambda t: t != "")
+def acronyms(s: Column, dialect: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(s, _pattern(dialect, "acronym"), F.lit(2)), is_acronym)))
+
+
+def tokens(s: Column, dialect: Column, kind: str = "token") -> Column:
+    return F.regexp_extract_all(s, _pattern(dialect, kind), F.lit(2))
 
 
 def unquoted(t: Column) -> Column:
     """Without one pair of quotes around."""
-    quote = f"[{DOUBLE_QUOTES}']"
+    quote = f"[{DOUBLE_QUOTES}]"
     return F.regexp_replace(t, f"^{quote}([\\s\\S]*){quote}\\z", "$1")
 
 
@@ -127,22 +273,49 @@ def _bare(t: Column) -> Column:
     return F.regexp_replace(t, r"^<([\s\S]*)>\z", "$1")
 
 
-def urls(s: Column) -> Column:
-    return F.filter(F.transform(tokens(s), _bare), lambda t: t.contains("://") & t.contains("."))
+def is_url(t: Column) -> Column:
+    return t.contains("://") & t.contains(".")
+
+
+def is_email(t: Column) -> Column:
+    local, domain = rf"[{ALNUM}.\-_+%{{}}$]++", rf"[{ALNUM}.\-%{{}}$]"
+    return t.rlike(rf"^{local}@(?=[^.]*+\.){domain}++\z")
 
 
-def emails(s: Column) -> Column:
-    local, domain = rf"[{ALNUM}.\-_+%{{}}$]+", rf"[{ALNUM}.\-%{{}}$]"
-    return F.filter(F.transform(tokens(s), lambda t: unquoted(_bare(t))), lambda t: t.rlike(rf"^{local}@{domain}*\.{domain}*\z"))
+def is_path(t: Column) -> Column:
+    return t.rlike(r"^(?:\.\.?/|~/|/[^/]+/[\s\S])")
+
+
+#: Tokens that must be alike in both texts: kind, what a text needs to hold any, what is stripped, the test.
+ALIKE: dict[str, tuple[str, str, Callable[[Column], Column] | None, Callable[[Column], Column] | None]] = {
+    "emails": ("token", "@", lambda t: unquoted(_bare(t)), is_email),
+    "functions": ("function", "()", None, None),
+    "HTML tags": ("html", "<", None, None),
+    "paths": ("token", "/", None, is_path),
+    "URLs": ("token", "://", _bare, is_url),
+}
 
 
-def paths(s: Column) -> Column:
-    return F.filter(tokens(s), lambda t: t.rlike(r"^(?:\.\.?/|~/|/[^/]+/[^/])"))
+def alike(s: Column, dialect: Column, what: str) -> Column:
+    """The texts of the tokens of ``ALIKE``."""
+    kind, sign, strip, test = ALIKE[what]
+    out = tokens(s, dialect, kind)
+    out = F.transform(out, strip) if strip else out
+    out = F.filter(out, test) if test else out
+    return F.when(s.contains(sign), out).otherwise(none("string"))
 
 
-def functions(s: Column) -> Column:
-    return matches(s, r"[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|->)[A-Za-z_][A-Za-z0-9_]*)*\(\)")
+def located_alike(s: Column, dialect: Column, what: str) -> Column:
+    """The same tokens with their spans."""
+    kind, sign, strip, test = ALIKE[what]
 
+    def stripped(t: Column) -> Column:
+        # As much is stripped at either end.
+        x = strip(t["s"])
+        cut = F.floor((F.length(t["s"]) - F.length(x)) / 2).cast("int")
+        return F.struct(x.alias("s"), (t["start"] + cut).alias("start"), (t["end"] - cut).alias("end"))
 
-def html_tags(s: Column) -> Column:
-    return matches(s, "</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+    out = located(s, dialect, kind)
+    out = F.transform(out, stripped) if strip else out
+    out = F.filter(out, lambda t: test(t["s"])) if test else out
+    return F.when(s.contains(sign), out).otherwise(none(TOKEN))

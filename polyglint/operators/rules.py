@@ -7,6 +7,7 @@ projection per family of rules and one explode, whatever the number of rules.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -35,6 +36,13 @@ class Options:
     force_trans: tuple[str, ...] = ()
     no_trans: tuple[str, ...] = ()
     langs: tuple[str, ...] = ()
+    lang_id: str = "en_US"
+    path_dicts: str = "/usr/share/hunspell"
+    path_words: str | None = None
+    force_trans_file: str | None = None
+    no_trans_file: str | None = None
+    width: int = 79
+    unsafe_fixes: bool = False
 
     def __post_init__(self) -> None:
         if self.short_factor < 2 or self.long_factor < 2:
@@ -51,6 +59,7 @@ class Pair:
     tgt: Column
     row: Callable[[str], Column]
     options: Options
+    with_marks: bool = True  # counts of findings need no marks and edits
 
     @property
     def dialect(self) -> Column:
@@ -106,10 +115,10 @@ def found(when: Column, severity: str | Column, message: Column | str, src: Colu
     return F.when(when, F.array(one)).otherwise(T.none(FINDING))
 
 
-def each(items: Column, severity: str, message: Callable[[Column], Column]) -> Column:
+def each(items: Column, severity: str, message: Callable[[Column], Column], src: Callable[[Column], Column] | None = None, tgt: Callable[[Column], Column] | None = None, edits: Callable[[Column], Column] | None = None) -> Column:
     """A finding for every item of an array."""
-    empty = T.none(T.MARK)
-    return F.transform(items, lambda x: F.struct(F.lit(severity).alias("severity"), message(x).alias("message"), empty.alias("src_marks"), empty.alias("tgt_marks"), T.none(T.EDIT).alias("edits")))
+    part = lambda build, x, kind: build(x) if build else T.none(kind)
+    return F.transform(items, lambda x: F.struct(F.lit(severity).alias("severity"), message(x).alias("message"), part(src, x, T.MARK).alias("src_marks"), part(tgt, x, T.MARK).alias("tgt_marks"), part(edits, x, T.EDIT).alias("edits")))
 
 
 def edit(start: Column, end: Column, replacement: Column) -> Column:
@@ -120,24 +129,41 @@ def missing_or_extra(a: Column, b: Column, what: str) -> Column:
     return F.concat(F.when(a > b, "missing ").otherwise("extra "), F.lit(what), F.lit(" ("), a.cast("string"), F.lit(" / "), b.cast("string"), F.lit(")"))
 
 
-def counted(p: Pair, pattern: str, severity: str, what: str, edits: Column | None = None) -> Column:
-    a, b = T.count(p.src, pattern), T.count(p.tgt, pattern)
-    return found(a != b, severity, missing_or_extra(a, b, what), T.positions(p.src, pattern), T.positions(p.tgt, pattern), edits)
+def compared(p: Pair, counts: tuple[Column, Column], severity: str, what: str, src: Callable[[], Column], tgt: Callable[[], Column], edits: Column | None = None) -> Column:
+    """A finding if the counts of both texts differ. They are bound once, and marks are built for findings only."""
+    marks = (lambda f: f()) if p.with_marks else (lambda f: None)
+    return T.let(list(counts), lambda a, b: found(a != b, severity, missing_or_extra(a, b, what), marks(src), marks(tgt), edits))
+
+
+def counted(p: Pair, severity: str, what: str, text: str | None = None, chars: str = "", edits: Column | None = None) -> Column:
+    """Occurrences of a text, or of any of some characters, are counted."""
+    if text and len(text) > 1:
+        n, spans = lambda s: T.occurrences(s, text), lambda s: T.positions(s, re.escape(text))
+    else:
+        n, spans = (lambda s: T.occurrences(s, text)) if text else (lambda s: T.count(s, f"[{chars}]")), lambda s: T.char_positions(s, text or chars)
+    return compared(p, (n(p.src), n(p.tgt)), severity, what, lambda: spans(p.src), lambda: spans(p.tgt), edits)
+
+
+def _of(words: Callable[[], Column], w: Column) -> Column:
+    """The spans of a word among located ones."""
+    return T.marks(F.filter(words(), lambda t: t["s"] == w))
 
 
 @rule("accelerators")
 def _(p: Pair) -> Column:
-    m = "\\" + p.options.accelerator
-    n = lambda s: F.size(F.filter(T.matches(s, f"{m}{m}|{m}(?=[{T.ALNUM}])"), lambda x: F.length(x) == 1))
-    return found(n(p.src) != n(p.tgt), "warning", missing_or_extra(n(p.src), n(p.tgt), f"accelerators '{p.options.accelerator}'"))
+    kind = T.accelerator_kind(p.options.accelerator)
+    n = lambda s: F.size(T.tokens(s, p.dialect, kind))
+    spans = lambda s: T.marks(T.located(s, p.dialect, kind))
+    return compared(p, (n(p.src), n(p.tgt)), "warning", f"accelerators '{p.options.accelerator}'", lambda: spans(p.src), lambda: spans(p.tgt))
 
 
 @rule("acronyms", default=False)
 def _(p: Pair) -> Column:
-    kept = F.array_except(T.acronyms(p.src), T.acronyms(p.tgt))
+    kept = F.array_except(T.acronyms(p.src, p.dialect), T.acronyms(p.tgt, p.dialect))
     if p.options.force_trans:
         kept = F.filter(kept, lambda a: ~F.lower(a).isin([w.lower() for w in p.options.force_trans]))
-    return each(F.array_sort(kept), "warning", lambda a: F.concat(F.lit("acronym '"), a, F.lit("' must not be translated")))
+    where = (lambda a: _of(lambda: T.located(p.src, p.dialect, "acronym"), a)) if p.with_marks else None
+    return each(F.array_sort(kept), "warning", lambda a: F.concat(F.lit("acronym '"), a, F.lit("' must not be translated")), where)
 
 
 @rule("blank")
@@ -146,24 +172,32 @@ def _(p: Pair) -> Column:
 
 
 def _bracket(name: str, o: str, c: str) -> Callable[[Pair], Column]:
-    # "(s)" is a plural mark, no pair of brackets.
-    opening, closing = (r"\((?![sS]\))", r"(?<!\([sS])\)") if o == "(" else ("\\" + o, "\\" + c)
+    # "(s)" is a plural mark, no pair of brackets: another character stands for its brackets where places are worked out.
+    plain = lambda s: F.regexp_replace(s, r"\(([sS])\)", "_$1_") if o == "(" else s
+
+    def counts(s: Column) -> list[Column]:
+        if o != "(":
+            return [T.occurrences(s, o), T.occurrences(s, c)]
+        return T.occurrences(s, o), T.occurrences(s, c), T.occurrences(s, "(s)") + T.occurrences(s, "(S)")
 
     def build(p: Pair) -> Column:
-        a, b, x, y = T.count(p.src, opening), T.count(p.tgt, opening), T.count(p.src, closing), T.count(p.tgt, closing)
-        more, less = (a > b) & (x > y), (a < b) & (x < y)
-        n = lambda k: k.cast("string")
-        both = F.concat(F.when(a > b, "missing").otherwise("extra"), F.lit(f" opening and closing {name} brackets '{o}' ("), n(a), F.lit(" / "), n(b), F.lit(f") and '{c}' ("), n(x), F.lit(" / "), n(y), F.lit(")"))
-        if o == "(":  # extra parentheses often explain a word of the translation
-            apart, paired = ~(more | less), more
-        else:
-            apart, paired = ~(more | less), more | less
-        pattern = f"{opening}|{closing}"
-        return findings(
-            found(paired, "info", both, T.positions(p.src, pattern), T.positions(p.tgt, pattern)),
-            found(apart & (a != b), "info", missing_or_extra(a, b, f"opening {name} brackets '{o}'"), T.positions(p.src, opening), T.positions(p.tgt, opening)),
-            found(apart & (x != y), "info", missing_or_extra(x, y, f"closing {name} brackets '{c}'"), T.positions(p.src, closing), T.positions(p.tgt, closing)),
-        )
+        def findings_of(a: Column, x: Column, b: Column, y: Column) -> Column:
+            more, less = (a > b) & (x > y), (a < b) & (x < y)
+            n = lambda k: k.cast("string")
+            both = F.concat(F.when(a > b, "missing").otherwise("extra"), F.lit(f" opening and closing {name} brackets '{o}' ("), n(a), F.lit(" / "), n(b), F.lit(f") and '{c}' ("), n(x), F.lit(" / "), n(y), F.lit(")"))
+            # Extra parentheses often explain a word of the translation.
+            apart, paired = ~(more | less), more if o == "(" else more | less
+            marks = lambda chars: (T.char_positions(plain(p.src), chars), T.char_positions(plain(p.tgt), chars)) if p.with_marks else ()
+            return F.when((a == b) & (x == y), T.none(FINDING)).otherwise(findings(
+                found(paired, "info", both, *marks(o + c)),
+                found(apart & (a != b), "info", missing_or_extra(a, b, f"opening {name} brackets '{o}'"), *marks(o)),
+                found(apart & (x != y), "info", missing_or_extra(x, y, f"closing {name} brackets '{c}'"), *marks(c)),
+            ))
+
+        bound = [*counts(p.src), *counts(p.tgt)]
+        if o == "(":
+            return T.let(bound, lambda a, x, s, b, y, t: T.let([a - s, x - s, b - t, y - t], findings_of))
+        return T.let(bound, findings_of)
 
     return build
 
@@ -186,45 +220,65 @@ def _(p: Pair) -> Column:
 
 @rule("double-quotes")
 def _(p: Pair) -> Column:
-    return counted(p, f"[{T.DOUBLE_QUOTES}]", "info", "double quotes")
+    return counted(p, "info", "double quotes", chars=T.DOUBLE_QUOTES)
 
 
 @rule("double-spaces", safe=True)
 def _(p: Pair) -> Column:
-    # Runs inside the text collapse, if the source has none.
-    runs = F.filter(T.positions(p.tgt, "  +"), lambda m: (m["start"] > F.length(T.leading_space(p.tgt))) & (m["end"] < F.length(p.tgt) - F.length(T.trailing_space(p.tgt))))
-    edits = F.when(T.count(p.src, "  ") == 0, F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(" ").alias("replacement")))).otherwise(T.none(T.EDIT))
-    return counted(p, "  ", "info", "double spaces '  '", edits)
+    # Runs inside a line collapse, if the source has none; those at its ends are left to the rules for white space.
+    runs = T.positions(p.tgt, r"(?<=[^ \n]) {2,}(?=[^ \n])")
+    edits = F.when(~p.src.contains("  "), F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(" ").alias("replacement")))).otherwise(T.none(T.EDIT))
+    return counted(p, "info", "double spaces '  '", "  ", edits=edits if p.with_marks else None)
 
 
 @rule("double-words", default=False, safe=False)
 def _(p: Pair) -> Column:
     numbers = lambda w: F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    blank = lambda lo, hi: F.substring(p.tgt, lo + 1, hi - lo).rlike(r"(?U)^\s*\z")
+
+    def pairs(w: Column) -> Column:
+        again = F.filter(numbers(w), lambda k: (F.get(w, k)["s"] == F.get(w, k - 1)["s"]) & blank(F.get(w, k - 1)["end"], F.get(w, k)["start"]))
+        span = lambda k: F.array(F.struct(F.get(w, k - 1)["start"].alias("start"), F.get(w, k)["end"].alias("end")))
+        gone = lambda k: edit(F.get(w, k - 1)["end"], F.get(w, k)["end"], F.lit(""))
+        return each(again, "info", lambda k: F.concat(F.lit("word '"), F.get(w, k)["s"], F.lit("' is repeated")), tgt=span, edits=gone)
 
-    def build(w: Column, gaps: Column) -> Column:
-        pairs = F.filter(numbers(w), lambda k: (F.get(w, k) == F.get(w, k - 1)) & F.get(gaps, k).rlike(r"(?U)^\s+\z"))
-        return each(pairs, "info", lambda k: F.concat(F.lit("word '"), F.get(w, k), F.lit("' is repeated")))
+    # Places are worked out for texts that have equal neighbours.
+    some = T.let([T.words(p.tgt, p.dialect)], lambda w: F.exists(numbers(w), lambda k: F.get(w, k) == F.get(w, k - 1)))
+    return F.when(some, T.let([T.located_words(p.tgt, p.dialect)], pairs)).otherwise(T.none(FINDING))
 
-    return T.let([T.matches(p.tgt, T.WORD), F.split(p.tgt, T.WORD, -1)], build)
 
+def _same_tokens(what: str, differing: bool = False, strip: bool = True) -> Callable[[Pair], Column]:
+    """``differing``: only tokens that the other text lacks are marked; ``strip``: quotes around a token don't count."""
+    key = T.unquoted if strip else (lambda t: t)
 
-def _same_tokens(what: str, tokens: Callable[[Column], Column], strip: bool = True) -> Callable[[Pair], Column]:
     def build(p: Pair) -> Column:
-        a, b = tokens(p.src), tokens(p.tgt)
-        bare = (lambda x: F.array_sort(F.array_distinct(F.transform(x, T.unquoted)))) if strip else (lambda x: F.array_sort(F.array_distinct(x)))
-        return findings(
-            found(F.size(a) != F.size(b), "warning", missing_or_extra(F.size(a), F.size(b), what)),
-            found((F.size(a) == F.size(b)) & (bare(a) != bare(b)), "warning", f"different {what}"),
-        )
+        def one(kind: Column, a: Column, b: Column, x: Column, y: Column) -> Column:
+            """a, b: the keys of the tokens; x, y: the tokens with their places."""
+            count = kind == "count"
+            only = lambda mine, keys, others: T.marks(F.filter(mine, lambda t, k: count | ~F.array_contains(others, F.get(keys, k))) if differing else mine)
+            places = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda k: F.get(a, k) != F.get(b, k))
+            edits = F.when(~count, F.transform(places, lambda k: F.struct(F.get(y, k)["start"].alias("start"), F.get(y, k)["end"].alias("end"), F.get(x, k)["s"].alias("replacement"))))
+            message = F.when(count, missing_or_extra(F.size(a), F.size(b), what)).otherwise(f"different {what}")
+            return found(F.lit(True), "warning", message, only(x, a, b), only(y, b, a), F.coalesce(edits, T.none(T.EDIT)))
+
+        def compare(a: Column, b: Column) -> Column:
+            same = F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+            kind = F.when(F.size(a) != F.size(b), "count").when(~same, "different")
+            if not p.with_marks:
+                return F.when(kind.isNotNull(), found(F.lit(True), "warning", F.when(kind == "count", missing_or_extra(F.size(a), F.size(b), what)).otherwise(f"different {what}"))).otherwise(T.none(FINDING))
+            places = [T.located_alike(s, p.dialect, what) for s in (p.src, p.tgt)]
+            return F.when(kind.isNotNull(), T.let([kind, a, b, *places], one)).otherwise(T.none(FINDING))
+
+        return T.let([F.transform(T.alike(s, p.dialect, what), key) for s in (p.src, p.tgt)], compare)
 
     return build
 
 
-rule("emails", safe=False)(_same_tokens("emails", T.emails))
-rule("functions", default=False, safe=False)(_same_tokens("functions", T.functions))
-rule("html-tags", default=False, safe=False)(_same_tokens("HTML tags", T.html_tags, strip=False))
-rule("paths", default=False, safe=False)(_same_tokens("paths", T.paths))
-rule("urls", default=False, safe=False)(_same_tokens("URLs", T.urls))
+rule("emails", safe=False)(_same_tokens("emails"))
+rule("functions", default=False, safe=False)(_same_tokens("functions", differing=True))
+rule("html-tags", default=False, safe=False)(_same_tokens("HTML tags", differing=True, strip=False))
+rule("paths", default=False, safe=False)(_same_tokens("paths"))
+rule("urls", default=False, safe=False)(_same_tokens("URLs"))
 
 
 @rule("encoding", hook="entry")
@@ -234,12 +288,16 @@ def _(p: Pair) -> Column:
 
 @rule("escapes")
 def _(p: Pair) -> Column:
-    double, single = r"\\\\", r"\\"
-    a, b, x, y = T.count(p.src, double), T.count(p.tgt, double), T.count(p.src, single), T.count(p.tgt, single)
-    return findings(
-        found(a != b, "error", missing_or_extra(a, b, r"escaped escape characters '\\'"), T.positions(p.src, double), T.positions(p.tgt, double)),
-        found((a == b) & (x != y), "error", missing_or_extra(x, y, "escape characters '\\'"), T.positions(p.src, single), T.positions(p.tgt, single)),
-    )
+    double = r"\\\\"
+    marks = lambda spans: (spans(p.src), spans(p.tgt)) if p.with_marks else ()
+
+    def build(a: Column, b: Column, x: Column, y: Column) -> Column:
+        return findings(
+            found(a != b, "error", missing_or_extra(a, b, r"escaped escape characters '\\'"), *marks(lambda s: T.positions(s, double))),
+            found((a == b) & (x != y), "error", missing_or_extra(x, y, "escape characters '\\'"), *marks(lambda s: T.char_positions(s, "\\"))),
+        )
+
+    return T.let([T.occurrences(s, sign) for sign in ("\\\\", "\\") for s in (p.src, p.tgt)], build)
 
 
 @rule("force-trans", default=False)
@@ -249,7 +307,8 @@ def _(p: Pair) -> Column:
         return T.none(FINDING)
     own = F.array_distinct(F.filter(T.words(p.src, p.dialect), lambda w: F.lower(w).isin(listed)))
     kept = F.array_intersect(T.words(p.tgt, p.dialect), own)
-    return each(kept, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must be translated")))
+    where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in (p.src, p.tgt)]
+    return each(kept, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must be translated")), *where)
 
 
 def specs_key(s: Column, dialect: str) -> Column:
@@ -263,8 +322,12 @@ def specs_key(s: Column, dialect: str) -> Column:
 
 @rule("formats")
 def _(p: Pair) -> Column:
-    parts = [found((p.dialect == d) & (specs_key(p.src, d) != specs_key(p.tgt, d)), "error", f"inconsistent format strings ({d})", T.positions(p.src, T.FORMATS[d]), T.positions(p.tgt, T.FORMATS[d])) for d in T.FORMATS]
-    return findings(*parts)
+    differ = lambda d: (p.dialect == d) & (specs_key(p.src, d) != specs_key(p.tgt, d))
+    some = F.when(differ("C"), "C")
+    for d in list(T.FORMATS)[1:]:
+        some = some.when(differ(d), d)
+    marks = [T.marks(T.located(s, p.dialect, "format")) if p.with_marks else None for s in (p.src, p.tgt)]
+    return T.let([some], lambda d: found(d.isNotNull(), "error", F.concat(F.lit("inconsistent format strings ("), d, F.lit(")")), *marks))
 
 
 @rule("fuzzy", default=False, check=False, hook="entry")
@@ -296,7 +359,7 @@ def _(p: Pair) -> Column:
         add = edit(end, end, F.lit(f"{name}: {HEADER_DEFAULTS[name]}\n")) if name in HEADER_DEFAULTS else None
         absent.append(found(get[name].isNull(), severity, f"missing field '{name}' in header", edits=add))
     clear = lambda v: F.regexp_replace(F.regexp_replace(v, r"(?i)\s+(?:at|\(at\)|\[at\])\s+", "@"), r"(?i)\s+(?:dot|\(dot\)|\[dot\])\s+", ".")
-    mails, links = lambda v: F.size(T.emails(clear(v))), lambda v: F.size(T.urls(v))
+    mails, links = (lambda v, f=f, what=what: F.size(T.alike(f(v), F.lit(None).cast("string"), what)) for f, what in ((clear, "emails"), (lambda v: v, "URLs")))
     valid = [
         ("Content-Type", "error", lambda v: v.rlike(r"(?i)^text/plain\b") & v.rlike(r"(?i)charset=\s*[A-Za-z0-9_.:-]+")),
         ("Plural-Forms", "error", lambda v: v.rlike(r"(?:^|;)\s*nplurals\s*=\s*0*[1-9][0-9]*\s*(?:;|\z)")),
@@ -317,7 +380,7 @@ def _(p: Pair) -> Column:
 
 @rule("newlines", safe=True)
 def _(p: Pair) -> Column:
-    out = [counted(p, "\r", "error", r"carriage returns '\r'"), counted(p, "\n", "error", r"line feeds '\n'")]
+    out = [counted(p, "error", r"carriage returns '\r'", "\r"), counted(p, "error", r"line feeds '\n'", "\n")]
     head, tail = r"^[\r\n]*", r"((?<![\r\n])[\r\n]*\z)"
     lead = edit(F.lit(0), F.length(F.regexp_extract(p.tgt, head, 0)), F.regexp_extract(p.src, head, 0))
     end = F.length(p.tgt)
@@ -339,7 +402,8 @@ def _(p: Pair) -> Column:
     def build(a: Column, b: Column) -> Column:
         own = F.array_sort(F.array_distinct(a))
         bad = F.filter(own, lambda w: n(a, w) != n(b, w))
-        return each(bad, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must not be translated ("), n(a, w), F.lit(" in source, "), n(b, w), F.lit(" in translation)")))
+        where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in (p.src, p.tgt)]
+        return each(bad, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must not be translated ("), n(a, w), F.lit(" in source, "), n(b, w), F.lit(" in translation)")), *where)
 
     only = lambda s: F.filter(T.words(s, p.dialect), lambda w: F.lower(w).isin(listed))
     return T.let([only(p.src), only(p.tgt)], build)
@@ -357,7 +421,7 @@ def _(p: Pair) -> Column:
 
 @rule("pipes")
 def _(p: Pair) -> Column:
-    return counted(p, r"\|", "info", "pipes '|'")
+    return counted(p, "info", "pipes '|'", "|")
 
 
 @rule("plurals", hook="entry")
@@ -447,7 +511,10 @@ def _spelling(where: str) -> Callable[[Pair], Column]:
         """The words are looked up by a join before; see plans.check."""
         bad = p.row(f"misspelled_{where}")
         label = {"ctxt": "context", "id": "source", "str": "translation"}[where]
-        return found(F.size(bad) > 0, "info", F.concat(F.lit(f"misspelled words in {label}: "), F.array_join(F.array_sort(bad), ", ")))
+        text = {"ctxt": F.coalesce(p.row("msgctxt.value"), F.lit("")), "id": p.src, "str": p.tgt}[where]
+        spans = T.marks(F.filter(T.located_words(text, p.dialect), lambda t: F.array_contains(bad, t["s"]))) if p.with_marks else None
+        marks = (None, spans) if where == "str" else (spans, None)
+        return found(F.size(bad) > 0, "info", F.concat(F.lit(f"misspelled words in {label}: "), F.array_join(F.array_sort(bad), ", ")), *marks)
 
     return build
 
@@ -458,7 +525,7 @@ for _where in ("ctxt", "id", "str"):
 
 @rule("tabs")
 def _(p: Pair) -> Column:
-    return counted(p, "\t", "error", r"tabs '\t'")
+    return counted(p, "error", r"tabs '\t'", "\t")
 
 
 @rule("unchanged", default=False)
@@ -474,12 +541,16 @@ CONTROL_EXEMPT = (
     ("\u200d", f"ar fa ur ps ckb {INDIC}"),
     ("\u200e\u200f\u202a\u202b\u202c\u2066\u2067\u2068\u2069", "ar he fa ur yi ckb ps ug dv"),
 )
-#: Names of control characters (fixed values); others have none.
+#: Names of control characters (fixed values), and of ranges of the others.
 CONTROL_NAMES = {
-    "\u0000": "NULL", "\u00ad": "SOFT HYPHEN", "\u200b": "ZERO WIDTH SPACE", "\u200c": "ZERO WIDTH NON-JOINER", "\u200d": "ZERO WIDTH JOINER", "\u200e": "LEFT-TO-RIGHT MARK", "\u200f": "RIGHT-TO-LEFT MARK",
+    "\u0000": "NULL", "\u0007": "BELL", "\u0008": "BACKSPACE", "\u000b": "VERTICAL TAB", "\u000c": "FORM FEED", "\u001b": "ESCAPE", "\u007f": "DELETE", "\u00ad": "SOFT HYPHEN",
+    "\u200b": "ZERO WIDTH SPACE", "\u200c": "ZERO WIDTH NON-JOINER", "\u200d": "ZERO WIDTH JOINER", "\u200e": "LEFT-TO-RIGHT MARK", "\u200f": "RIGHT-TO-LEFT MARK",
     "\u2028": "LINE SEPARATOR", "\u2029": "PARAGRAPH SEPARATOR", "\u202a": "LEFT-TO-RIGHT EMBEDDING", "\u202b": "RIGHT-TO-LEFT EMBEDDING", "\u202c": "POP DIRECTIONAL FORMATTING", "\u202d": "LEFT-TO-RIGHT OVERRIDE",
-    "\u202e": "RIGHT-TO-LEFT OVERRIDE", "\u2060": "WORD JOINER", "\ufffd": "REPLACEMENT CHARACTER", "\ufeff": "ZERO WIDTH NO-BREAK SPACE",
+    "\u202e": "RIGHT-TO-LEFT OVERRIDE", "\u2060": "WORD JOINER", "\u2061": "FUNCTION APPLICATION", "\u2062": "INVISIBLE TIMES", "\u2063": "INVISIBLE SEPARATOR", "\u2064": "INVISIBLE PLUS",
+    "\u2066": "LEFT-TO-RIGHT ISOLATE", "\u2067": "RIGHT-TO-LEFT ISOLATE", "\u2068": "FIRST STRONG ISOLATE", "\u2069": "POP DIRECTIONAL ISOLATE", "\ufeff": "ZERO WIDTH NO-BREAK SPACE",
+    "\ufff9": "INTERLINEAR ANNOTATION ANCHOR", "\ufffa": "INTERLINEAR ANNOTATION SEPARATOR", "\ufffb": "INTERLINEAR ANNOTATION TERMINATOR", "\ufffd": "REPLACEMENT CHARACTER",
 }
+CONTROL_RANGES = ((0x1F, "C0 CONTROL"), (0x9F, "C1 CONTROL"))
 
 
 @rule("unicode-ctrl", safe=True)
@@ -489,16 +560,24 @@ def _(p: Pair) -> Column:
     for exempt, languages in CONTROL_EXEMPT:
         stray = F.when(p.row("language_code").isin(languages.split()), F.filter(stray, lambda c: ~c.isin(list(exempt)))).otherwise(stray)  # noqa: B023
     names = F.create_map(*[F.lit(x) for kv in CONTROL_NAMES.items() for x in kv])
+
+    def name(c: Column) -> Column:
+        others = F.lit("FORMAT CHARACTER")
+        for most, shown in reversed(CONTROL_RANGES):
+            others = F.when(F.ascii(c) <= most, shown).otherwise(others)
+        return F.coalesce(names[c], others)
+
     # ascii() gives the code point of the first character.
-    message = lambda c: F.concat(F.lit("extra control character U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"), F.coalesce(F.concat(F.lit(" ("), names[c], F.lit(")")), F.lit("")))
-    spans = T.positions(p.tgt, f"[{T.CONTROL}]")
+    message = lambda c: F.concat(F.lit("extra control character U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"), F.lit(" ("), name(c), F.lit(")"))
 
     def one(c: Column) -> Column:
-        own = F.filter(spans, lambda m: F.substring(p.tgt, m["start"] + 1, F.lit(1)) == c)
+        at = F.transform(F.split(p.tgt, ""), lambda x, i: F.when(x == c, F.struct(i.alias("start"), (i + 1).alias("end"))))
+        own = F.filter(at, lambda m: m.isNotNull())
         edits = F.transform(own, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit("").alias("replacement")))
         return F.struct(F.when(c == "\u0000", "error").otherwise("warning").alias("severity"), message(c).alias("message"), T.none(T.MARK).alias("src_marks"), own.alias("tgt_marks"), edits.alias("edits"))
 
-    return F.transform(F.array_sort(stray), one)
+    # Few texts have such a character: the others are not looked at further.
+    return F.when(p.tgt.rlike(f"[{T.CONTROL}]"), F.transform(F.array_sort(stray), one)).otherwise(T.none(FINDING))
 
 
 @rule("untranslated", default=False, check=False)

@@ -30,11 +30,10 @@ def stats(entries: DataFrame, words: bool = False, total: bool = True) -> DataFr
     aggregates = [F.count("*").alias("total"), *(n(s) for s in STATES)]
     if words:
         src, tgt = F.col("msgid.value"), F.coalesce(F.get("msgstr", F.lit(0))["value"], F.lit(""))
-        plain = lambda s: F.coalesce(T.by_dialect(F.col("format_language"), s, lambda x, d: F.regexp_replace(x, T.FORMATS[d], "")), s)
-        rows = rows.withColumns({
-            "src_words": T.count(plain(src), T.WORD), "tgt_words": T.count(plain(tgt), T.WORD),
-            "src_chars": T.count(plain(src), rf"[{T.ALNUM}-]"), "tgt_chars": T.count(plain(tgt), rf"[{T.ALNUM}-]"),
-        })
+        # Bound once: a text is stripped of its formats for both counts together.
+        both = lambda s: T.let([T.without_formats(s, F.col("format_language"))], lambda x: F.struct(T.count(x, T.WORD).alias("words"), F.length(F.regexp_replace(x, rf"[^{T.ALNUM}-]+", "")).alias("chars")))
+        rows = rows.select("path", "state", both(src).alias("src"), both(tgt).alias("tgt"))
+        rows = rows.withColumns({f"{side}_{unit}": F.col(f"{side}.{unit}") for side in ("src", "tgt") for unit in ("words", "chars")})
         for side in ("src", "tgt"):
             for unit in ("words", "chars"):
                 c = f"{side}_{unit}"
@@ -53,3 +52,11 @@ def by_status(table: DataFrame) -> DataFrame:
 
 def by_path(table: DataFrame) -> DataFrame:
     return table.orderBy(F.split("path", "/"))
+
+
+def as_json(table: DataFrame) -> DataFrame:
+    """One JSON object a row, fit for ``write.text``: path, entries, and words and chars where they were counted."""
+    parts = [F.struct("total", *STATES).alias("entries")]
+    if "src_words" in table.columns:
+        parts += [F.struct(*(F.col(x).alias(x.replace(f"_{unit}", "")) for x in table.columns if f"_{unit}" in x)).alias(unit) for unit in ("words", "chars")]
+    return table.select(F.to_json(F.struct("path", *parts)).alias("value"))

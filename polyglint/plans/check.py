@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.rules import FINDING, RULES, Options, Pair, Rule, select_rules
 
+#: Languages that may have a dictionary.
+MAX_LANGUAGES = 1_000
 #: Rules per projection; generated code of more would pass the size that the JVM compiles.
 FAMILY = 6
 DIAGNOSTIC_COLUMNS = ("path", "entry_idx", "pair_idx", "rule", "severity", "message", "line_number", "src", "tgt", "src_marks", "tgt_marks", "edits", "safe", "byte_start", "byte_end")
@@ -56,48 +58,76 @@ def _applies(r: Rule, names: set[str]) -> Column:
     return allowed & ~F.col("is_header") & (full | F.lit(r.name == "untranslated"))
 
 
-def _misspelled(rows: DataFrame, dictionaries: DataFrame, where: str) -> DataFrame:
-    """Adds misspelled_<where>: words of the text that the language's word list lacks.
+def list_languages(dictionaries: DataFrame) -> list[str]:
+    """The languages of a table of (language, word): configuration, so they are few."""
+    found = [r[0] for r in dictionaries.select("language").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages have a dictionary")
+    return sorted(x for x in found if x)
 
-    ``dictionaries`` has (language, word); words are matched as they are or lower-cased. Texts
-    of a language without a list have no misspelled words. Distinct words are joined, so a word
-    of any number of texts is looked up once per language.
+
+def resolve_language(language: Column, listed: list[str]) -> Column:
+    """The list that a language uses: its own, else that of the language without the country, else none (null)."""
+    short = F.substring_index(language, "_", 1)
+    return F.when(language.isin(listed), language).when(short.isin(listed), short)
+
+
+def checked_language(language: Column, options: Options) -> Column:
+    """The language, or null where the options leave it out."""
+    return F.when(language.isin(list(options.langs)), language) if options.langs else language
+
+
+def _misspelled(rows: DataFrame, dictionaries: DataFrame, personal: DataFrame | None, where: str, options: Options) -> DataFrame:
+    """The rows with words that the language's lists lack, which are added as misspelled_<where>.
+
+    ``dictionaries`` and ``personal`` have (language, word); words are matched as they are or
+    lower-cased. Texts of a language without a dictionary have no misspelled words. Only ids and
+    words are shuffled; distinct words are looked up, so a word of any number of texts is looked
+    up once per language. Texts are joined with the words found, of the few rows that have any.
     """
-    text, language = {"ctxt": (F.col("msgctxt.value"), F.lit("en")), "id": (F.col("src"), F.lit("en")), "str": (F.col("tgt"), F.col("language_code"))}[where]
+    text, language = {"ctxt": (F.col("msgctxt.value"), F.lit(options.lang_id)), "id": (F.col("src"), F.lit(options.lang_id)), "str": (F.col("tgt"), F.col("language"))}[where]
+    language, keys = checked_language(language, options), ["path", "entry_idx", "pair_idx"]
+    own = resolve_language(language, list_languages(personal)) if personal is not None else F.lit(None).cast("string")
     found = F.filter(F.array_distinct(T.words(F.coalesce(text, F.lit("")), F.col("format_language"))), lambda w: ~w.rlike("[0-9]") & ~w.rlike(r"^[A-Z]{2,}\z"))
-    keyed = rows.withColumns({"__language": language, "__words": found})
-    wanted = keyed.select("__language", F.explode("__words").alias("word")).distinct()
-    lists = dictionaries.select("language").distinct()
-    known = dictionaries.select("language", F.lower("word").alias("low")).distinct()
-    bad = wanted.join(lists, F.col("__language") == F.col("language"), "left_semi").withColumn("low", F.lower("word"))
-    bad = bad.join(known, (F.col("__language") == F.col("language")) & (bad.low == known.low), "left_anti").select(F.col("__language"), "word")
-    hits = keyed.select("path", "entry_idx", "pair_idx", "__language", F.explode("__words").alias("word")).join(bad, ["__language", "word"], "left_semi")
-    listed = hits.groupBy("path", "entry_idx", "pair_idx").agg(F.collect_set("word").alias(f"misspelled_{where}"))  # a text's own words
-    return keyed.drop("__language", "__words").join(listed, ["path", "entry_idx", "pair_idx"], "left").withColumn(f"misspelled_{where}", F.coalesce(f"misspelled_{where}", F.array().cast("array<string>")))
-
-
-def check(entries: DataFrame, options: Options | None = None, dictionaries: DataFrame | None = None) -> DataFrame:
+    words = rows.select(*keys, resolve_language(language, list_languages(dictionaries)).alias("listed"), own.alias("own"), found.alias("words")).filter("listed is not null")
+    words = words.select(*keys, "listed", "own", F.explode("words").alias("word"))
+    bad = words.select(F.col("listed").alias("bad_listed"), F.col("own").alias("bad_own"), F.col("word").alias("bad_word")).distinct().withColumn("low", F.lower("bad_word"))
+    for name, lists in (("bad_listed", dictionaries), ("bad_own", personal)):
+        if lists is not None:
+            known = lists.select(F.col("language").alias("known_language"), F.lower("word").alias("known")).distinct()
+            bad = bad.join(known, (F.col(name) == F.col("known_language")) & (F.col("low") == F.col("known")), "left_anti")
+    same = (F.col("listed") == F.col("bad_listed")) & F.col("own").eqNullSafe(F.col("bad_own")) & (F.col("word") == F.col("bad_word"))
+    of_row = words.join(bad, same, "left_semi").groupBy(*keys).agg(F.collect_set("word").alias(f"misspelled_{where}"))  # a text's own words
+    return rows.join(of_row, keys)
+
+
+def check(entries: DataFrame, options: Options | None = None, dictionaries: DataFrame | None = None, marks: bool = True, personal: DataFrame | None = None) -> DataFrame:
     """Diagnostics of entries (see schema.ENTRY), one row each, unsorted; DIAGNOSTIC_COLUMNS.
 
+    ``dictionaries`` and ``personal`` words are tables of (language, word); without the first, spelling rules are left out.
+
     A rule runs over whole texts in the JVM. The plan has no shuffle unless a spelling rule is on.
+    Without ``marks`` findings have no marks, and edits are not to be relied on: for counts.
     """
     options = options or Options()
     rules = [r for r in select_rules(options.select, options.ignore) if r.hook != "file"]
     if dictionaries is None:
         rules = [r for r in rules if not r.name.startswith("spelling-")]
     rows = barrier(pairs(gate(entries, options, rules)))
-    for where in ("ctxt", "id", "str"):
-        if any(r.name == f"spelling-{where}" for r in rules):
-            rows = _misspelled(rows, dictionaries, where)
-    return run_rules(rows, rules, options)
+    out = run_rules(rows, [r for r in rules if not r.name.startswith("spelling-")], options, marks)
+    for r in rules:
+        if r.name.startswith("spelling-"):
+            found = _misspelled(rows, dictionaries, personal, r.name.removeprefix("spelling-"), options)
+            out = out.union(run_rules(barrier(found), [r], options, marks))
+    return out
 
 
 def _labelled(r: Rule) -> Callable[[Column], Column]:
     return lambda f: F.struct(F.lit(r.name).alias("rule"), F.lit(r.safe).cast("boolean").alias("safe"), f.alias("finding"))
 
 
-def run_rules(rows: DataFrame, rules: list[Rule], options: Options) -> DataFrame:
-    pair = Pair(F.col("src"), F.col("tgt"), F.col, options)
+def run_rules(rows: DataFrame, rules: list[Rule], options: Options, marks: bool = True) -> DataFrame:
+    pair = Pair(F.col("src"), F.col("tgt"), F.col, options, marks)
     names = {r.name for r in rules}
     if not rules:
         return rows.select(*_columns(F.lit(None).cast(f"struct<rule:string,safe:boolean,finding:{FINDING}>"))).limit(0)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema
@@ -202,10 +203,36 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema.ENTRY)
 
 
+#: Bytes of a file from which its entries are dealt over tasks after parsing.
+LARGE_FILE = 16 << 20
+
+
+def _files(spark: SparkSession, roots: tuple[str, ...], names: str) -> DataFrame:
+    # A file that can't be read is left out, not the end of the job.
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(list(roots))
+
+
+def list_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """(path, length) of all *.po files below the roots, or of the roots that are such files; hidden ones are skipped. Nothing is read."""
+    return _files(spark, roots, "*.po").select("path", "length")
+
+
+def read_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """(path, content) of the files that can be read."""
+    return _files(spark, roots, "*.po").select("path", "content")
+
+
+def read_texts(spark: SparkSession, *roots: str, names: tuple[str, ...]) -> DataFrame:
+    """(path, toml) of files of the given names below the roots. Spark lists no hidden files, so only visible names are found."""
+    last = ",".join(sorted({n.rpartition("/")[2] for n in names}))
+    return _files(spark, roots, "{" + last + "}").select("path", F.decode("content", "UTF-8").alias("toml"))
+
+
 def read_catalogues(spark: SparkSession, *roots: str) -> DataFrame:
-    """Entries of all *.po files below the roots. One large file doesn't hold up the rules: entries are dealt anew."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.po").load(list(roots))
-    return parse_files(files).repartition("path", "entry_idx")
+    """Entries of all *.po files below the roots. Those of large files are dealt anew, so that one file doesn't hold up the rules; the others stay where they are."""
+    files = _files(spark, roots, "*.po")
+    small, large = files.filter(F.col("length") < LARGE_FILE), files.filter(F.col("length") >= LARGE_FILE)
+    return parse_files(small).union(parse_files(large).repartition("path", "entry_idx"))
 
 
 class CatalogueSource(DataSource):

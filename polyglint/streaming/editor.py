@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.rules import Options
 from ..plans.check import check
@@ -26,15 +28,41 @@ def check_buffers(events: DataFrame, options: Options | None = None) -> DataFram
     return check(parse_files(open_ones.select(F.col("uri").alias("path"), F.encode("text", "UTF-8").alias("content"))), options)
 
 
+_STATE = "seq long"
+_EVENT = "uri string, event string, text string, seq long"
+
+
+def newest(events: DataFrame) -> DataFrame:
+    """A stream of (uri, event, text, seq): the last event of each uri in each micro-batch, if it is newer than all before.
+
+    The state of a uri is the largest sequence number seen, so an event that arrives late changes nothing.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, best = (state.get[0] if state.exists else None), None
+        for frame in frames:
+            row = frame.loc[frame["seq"].idxmax()]
+            if (seen is None or row["seq"] > seen) and (best is None or row["seq"] > best["seq"]):
+                best = row
+        if best is not None:
+            state.update((int(best["seq"]),))
+            yield pd.DataFrame([[key[0], best["event"], best["text"], int(best["seq"])]], columns=["uri", "event", "text", "seq"])
+
+    return events.select("uri", "event", "text", "seq").groupBy("uri").applyInPandasWithState(step, _EVENT, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
 def watch_events(events: DataFrame, sink: Sink, options: Options | None = None, **writer) -> StreamingQuery:
-    """Each micro-batch gives (uris touched, their diagnostics); a closed uri has none, so sinks replace per uri."""
+    """Each micro-batch gives (uris touched, their diagnostics); a closed uri has none, so sinks replace per uri.
+
+    Rules that need the file on disk look at no buffer. Events that are older than one seen before are left out.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         batch.persist()
         sink(batch.select("uri").distinct(), check_buffers(batch, options), number)
         batch.unpersist()
 
-    return _start(events, run, writer)
+    return _start(newest(events), run, {"outputMode": "update"} | writer)
 
 
 def watch_files(spark: SparkSession, root: str, sink: Sink, options: Options | None = None, **writer) -> StreamingQuery:
@@ -50,5 +78,5 @@ def watch_files(spark: SparkSession, root: str, sink: Sink, options: Options | N
 def _start(stream: DataFrame, run: Callable[[DataFrame, int], None], options: dict) -> StreamingQuery:
     out = stream.writeStream.foreachBatch(run)
     for k, v in options.items():
-        out = out.trigger(**v) if k == "trigger" else out.option(k, v)
+        out = out.trigger(**v) if k == "trigger" else out.outputMode(v) if k == "outputMode" else out.option(k, v)
     return out.start()

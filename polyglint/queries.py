@@ -214,8 +214,13 @@ def _in(words: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
+def _ended(c: str) -> str:
+    """The text without a single marker at its end, which begins no specification; one before any character does."""
+    return f"regexp_replace({c}, '([^%]|^)((?:%%)*)%$', '\\1\\2')"
+
+
 def _formats_sql() -> str:
-    specs = lambda c: f"list_filter(regexp_extract_all({c}, '%%|%[-+ #.$0-9]*(?:hh?|ll?|[qLjzZt])?[A-Za-z]?'), lambda m: m NOT IN ('%%', '%'))"
+    specs = lambda c: f"list_filter(regexp_extract_all({_ended(c)}, '{_SPEC}'), lambda m: m <> '%%')"
     return _sql("formats", "error", "'inconsistent format strings (C)'", f"flag = 'c-format' AND {specs('src')} <> {specs('tgt')}")
 
 
@@ -468,9 +473,9 @@ def _places(c: str, pattern: str, keep: str = "true") -> str:
         GROUP BY doc_id"""
 
 
-def _marked(found: str, pattern: str, keep: str = "true", sides: tuple[str, ...] = ("src", "tgt")) -> str:
+def _marked(found: str, pattern: str, keep: str = "true", sides: tuple[str, ...] = ("src", "tgt"), text: Callable[[str], str] = str) -> str:
     """Findings with the spans of a pattern in their texts."""
-    places = lambda c: _places(c, pattern if c in sides else "no such text", keep)
+    places = lambda c: _places(text(c), pattern if c in sides else "no such text", keep)
     return f"""WITH f AS ({found}), p AS (SELECT * FROM ({PAIRS_SQL}) AS x WHERE doc_id IN (SELECT doc_id FROM f)), s AS ({places("src")}), t AS ({places("tgt")})
         SELECT f.doc_id, f.rule, f.message, coalesce(s.marks, '') AS src_marks, coalesce(t.marks, '') AS tgt_marks FROM f LEFT JOIN s ON s.doc_id = f.doc_id LEFT JOIN t ON t.doc_id = f.doc_id"""
 
@@ -526,10 +531,10 @@ _QUOTED_OR_SPEC = r"''[^'']*''|\{[0-9][^{}]*\}"
 ORACLE_SQL: dict[str, str] = {_key(n): q for n, q in _RULE_SQL.items()}
 ORACLE_SQL |= {
     "marks_counts": _marks_counts_sql(),
-    "marks_formats": _marked(_RULE_SQL["formats"], _SPEC, "m NOT IN ('%%', '%')"),
+    "marks_formats": _marked(_RULE_SQL["formats"], _SPEC, "m <> '%%'", text=_ended),
     "marks_controls": _marked(_RULE_SQL["unicode-ctrl"], _ZERO_WIDTH, sides=("tgt",)),
     "formats_java": _dialect_sql("Java", _QUOTED_OR_SPEC, "starts_with(m, chr(39))"),
-    "formats_python": _dialect_sql("Python", r"%%|%(?:\([^)]*\))?[-+ #.0-9]*[hlL]?[A-Za-z]?", "m IN ('%%', '%')"),
+    "formats_python": _dialect_sql("Python", r"%%|%(?:\([^)]*\))?[-+ #.0-9]*[hlL]?[A-Za-z]?", "m = '%%'"),
     "formats_python_brace": _dialect_sql("Python brace", r"\{\{|\{[^{}]*\}", "m = '{{'"),
     "fix_unsafe": _FIX_EMAILS,
     "fix_files": f"""WITH x AS (SELECT doc_id, n, src, tgt, n % 7 = 1 AND tgt <> '' AND n % 13 <> 0 AS gone, {_EDGE_FIX} AS fixed, NOT {_blank('src')} AND NOT {_blank('tgt')} AND n % 13 <> 0 AS seen FROM ({_FILES}) AS f)

@@ -148,22 +148,38 @@ def matches(s: Column, pattern: str) -> Column:
     return F.regexp_extract_all(s, F.lit(f"({pattern})"), F.lit(1))
 
 
+def _sum(xs: Column, start: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(xs, start, n), F.lit(0), lambda s, x: s + x)
+
+
+def _chunks(xs: Column, size: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` of the number of each chunk of ``size``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), build)
+
+
+def _from(before: Column, xs: Column, size: Column) -> Column:
+    """Running sums, from the sum before each chunk."""
+    return F.flatten(F.transform(before, lambda b, j: F.transform(F.slice(xs, j * size + 1, size), lambda _, i: b + _sum(xs, j * size + 1, i + 1))))
+
+
 def running(lengths: Column) -> Column:
     """Running sums of an array of numbers.
 
     Spark has no such function, and an array that grows inside ``aggregate`` is copied at each
-    step. Sums are made in chunks of the root of the length, so n numbers take n ** 1.5 additions.
-    Few levels of lambdas matter: the analyzer takes a pass for each.
+    step. Sums are made in chunks of the cube root of the length, and those of the chunks in
+    chunks of the square root of their number, so n numbers take about n ** (4 / 3) additions.
     """
-    add = lambda xs, start, n: F.aggregate(F.slice(xs, start, n), F.lit(0), lambda s, x: s + x)
+    root = lambda xs, power: F.greatest(F.ceil(F.pow(F.size(xs), F.lit(power))).cast("int"), F.lit(1))
 
     def chunked(xs: Column, size: Column) -> Column:
-        one = lambda j, before: F.transform(F.slice(xs, j * size + 1, size), lambda _, i: before + add(xs, j * size + 1, i + 1))
-        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int"))
-        sums = F.transform(starts, lambda j: add(xs, F.lit(1), j * size))
-        return F.flatten(F.zip_with(starts, sums, one))
+        def ends(sums: Column, wide: Column) -> Column:
+            every = _from(_chunks(sums, wide, lambda j: _sum(sums, F.lit(1), j * wide)), sums, wide)
+            return _from(F.zip_with(every, sums, lambda end, own: end - own), xs, size)
 
-    return let([lengths, F.greatest(F.ceil(F.sqrt(F.size(lengths))).cast("int"), F.lit(1))], chunked)
+        sums = _chunks(xs, size, lambda j: _sum(xs, j * size + 1, size))
+        return let([sums, root(_chunks(xs, size, lambda j: j), 0.5)], ends)
+
+    return let([lengths, root(lengths, 1 / 3)], chunked)
 
 
 def _laid(before: Column, own: Column) -> Column:
@@ -210,8 +226,13 @@ def leading_space(s: Column) -> Column:
     return F.regexp_extract(s, LEADING, 0)
 
 
+def at_end(s: Column, unit: str) -> Column:
+    """The longest run of single characters of a pattern at the end; the text is read from there."""
+    return F.reverse(F.regexp_extract(F.reverse(s), f"^(?:{unit})*+", 0))
+
+
 def trailing_space(s: Column) -> Column:
-    return F.regexp_extract(s, r"((?U)(?<![\s&&[^\n]])[\s&&[^\n]]*\z)", 1)
+    return at_end(s, r"(?U:[\s&&[^\n]])")
 
 
 def format_specs(s: Column, dialect: str) -> Column:
@@ -241,6 +262,11 @@ def words(s: Column, dialect: Column) -> Column:
     return _uncut(s, dialect, lambda before, own: F.zip_with(before, own, cut))
 
 
+def gaps(s: Column, dialect: Column) -> Column:
+    """What stands before each word."""
+    return tokens(s, dialect, "word", 1)
+
+
 def located_words(s: Column, dialect: Column) -> Column:
     """Words with their code-point spans."""
 
@@ -259,8 +285,8 @@ def acronyms(s: Column, dialect: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(s, _pattern(dialect, "acronym"), F.lit(2)), is_acronym)))
 
 
-def tokens(s: Column, dialect: Column, kind: str = "token") -> Column:
-    return F.regexp_extract_all(s, _pattern(dialect, kind), F.lit(2))
+def tokens(s: Column, dialect: Column, kind: str = "token", group: int = 2) -> Column:
+    return F.regexp_extract_all(s, _pattern(dialect, kind), F.lit(group))
 
 
 def unquoted(t: Column) -> Column:

@@ -17,14 +17,10 @@ def merge_edits(edits: Column) -> Column:
 
 def apply_edits(value: Column, edits: Column) -> Column:
     """The text with merged edits applied; null edits leave it as it is."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        out = F.concat(acc["out"], F.substring(value, acc["at"] + 1, e["start"] - acc["at"]), e["replacement"])
-        return F.struct(e["end"].alias("at"), out.alias("out"))
-
-    done = F.aggregate(edits, start, step)
-    return F.coalesce(F.concat(done["out"], F.substring(value, done["at"] + 1, F.length(value))), value)
+    end = lambda k: F.coalesce(F.get(edits, k)["end"], F.lit(0))  # noqa: E731  0 before the first
+    pieces = F.transform(edits, lambda e, k: F.concat(F.substring(value, end(k - 1) + 1, e["start"] - end(k - 1)), e["replacement"]))
+    last = end(F.size(edits) - 1)
+    return F.coalesce(F.concat(F.array_join(pieces, ""), F.substring(value, last + 1, F.length(value))), value)
 
 
 def fix_translations(diagnostics: DataFrame, unsafe: bool = False) -> DataFrame:

@@ -234,17 +234,18 @@ def _(p: Pair) -> Column:
 @rule("double-words", default=False, safe=False)
 def _(p: Pair) -> Column:
     numbers = lambda w: F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-    blank = lambda lo, hi: F.substring(p.tgt, lo + 1, hi - lo).rlike(r"(?U)^\s*\z")
 
-    def pairs(w: Column) -> Column:
-        again = F.filter(numbers(w), lambda k: (F.get(w, k)["s"] == F.get(w, k - 1)["s"]) & blank(F.get(w, k - 1)["end"], F.get(w, k)["start"]))
+    def pairs(gaps: Column, w: Column) -> Column:
+        # White space only, and no apostrophe that was cut from the word before.
+        blank = lambda k: F.get(gaps, k).rlike(r"(?U)^\s+\z") & (F.get(w, k)["start"] - F.get(w, k - 1)["end"] == F.length(F.get(gaps, k)))
+        again = F.filter(numbers(w), lambda k: (F.get(w, k)["s"] == F.get(w, k - 1)["s"]) & blank(k))
         span = lambda k: F.array(F.struct(F.get(w, k - 1)["start"].alias("start"), F.get(w, k)["end"].alias("end")))
         gone = lambda k: edit(F.get(w, k - 1)["end"], F.get(w, k)["end"], F.lit(""))
         return each(again, "info", lambda k: F.concat(F.lit("word '"), F.get(w, k)["s"], F.lit("' is repeated")), tgt=span, edits=gone)
 
     # Places are worked out for texts that have equal neighbours.
     some = T.let([T.words(p.tgt, p.dialect)], lambda w: F.exists(numbers(w), lambda k: F.get(w, k) == F.get(w, k - 1)))
-    return F.when(some, T.let([T.located_words(p.tgt, p.dialect)], pairs)).otherwise(T.none(FINDING))
+    return F.when(some, T.let([T.gaps(p.tgt, p.dialect), T.located_words(p.tgt, p.dialect)], pairs)).otherwise(T.none(FINDING))
 
 
 def _same_tokens(what: str, differing: bool = False, strip: bool = True) -> Callable[[Pair], Column]:
@@ -442,25 +443,30 @@ def _normal_punctuation(p: Pair, run: Column) -> Column:
     return F.replace(out, F.lit("..."), F.lit("\u2026")) if p.options.punc_ignore_ellipsis else out
 
 
-def _punctuation(p: Pair, pattern: str) -> tuple[Column, ...]:
-    run = lambda s: F.when(F.regexp_extract(s, pattern, 1).rlike(_MARKS), F.regexp_extract(s, pattern, 1)).otherwise("")
-    a, b = run(p.src), run(p.tgt)
-    return a, b, _normal_punctuation(p, a), _normal_punctuation(p, b)
+def _punctuation(p: Pair, edge: Callable[[Column], Column], build: Callable[..., Column]) -> Column:
+    """``build`` of the runs of both texts, as they are and normalised; a run without a punctuation mark is none."""
+    run = lambda s: F.when(s.rlike(_MARKS), s).otherwise("")
+    return T.let([edge(p.src), edge(p.tgt)], lambda a, b: T.let([run(a), run(b)], lambda a, b: T.let([a, b, _normal_punctuation(p, a), _normal_punctuation(p, b)], build)))
 
 
 @rule("punc-start", safe=True)
 def _(p: Pair) -> Column:
-    a, b, x, y = _punctuation(p, f"^({_RUN}*)")
-    message = F.concat(F.lit("inconsistent leading punctuation ('"), x, F.lit("' / '"), y, F.lit("')"))
-    return found((x != y) & ~x.startswith(".") & ~y.startswith("."), "info", message, edits=edit(F.lit(0), F.length(b), a))
+    def build(a: Column, b: Column, x: Column, y: Column) -> Column:
+        message = F.concat(F.lit("inconsistent leading punctuation ('"), x, F.lit("' / '"), y, F.lit("')"))
+        return found((x != y) & ~x.startswith(".") & ~y.startswith("."), "info", message, edits=edit(F.lit(0), F.length(b), a))
+
+    return _punctuation(p, lambda s: F.regexp_extract(s, f"^{_RUN}*+", 0), build)
 
 
 @rule("punc-end", safe=True)
 def _(p: Pair) -> Column:
-    a, b, x, y = _punctuation(p, f"((?<!{_RUN}){_RUN}*\\z)")
     end = F.length(p.tgt)
-    message = F.concat(F.lit("inconsistent trailing punctuation ('"), x, F.lit("' / '"), y, F.lit("')"))
-    return found(x != y, "info", message, edits=edit(end - F.length(b), end, a))
+
+    def build(a: Column, b: Column, x: Column, y: Column) -> Column:
+        message = F.concat(F.lit("inconsistent trailing punctuation ('"), x, F.lit("' / '"), y, F.lit("')"))
+        return found(x != y, "info", message, edits=edit(end - F.length(b), end, a))
+
+    return _punctuation(p, lambda s: T.at_end(s, _RUN), build)
 
 
 _SPACES = "[ \u00a0\u202f]"
@@ -610,14 +616,17 @@ def _line_edges(which: str) -> Callable[[Pair], Column]:
             inner = F.sequence(F.lit(1), n - 1) if which == "leading" else F.sequence(F.lit(0), n - 2)
             differ = F.filter(inner, lambda k: space(F.get(a, k)) != space(F.get(b, k)))
 
-            def one(k: Column) -> Column:
+            def one(k: Column, ends: Column) -> Column:
                 x, y, line = space(F.get(a, k)), space(F.get(b, k)), F.get(b, k)
-                before = F.aggregate(F.slice(b, F.lit(1), k), F.lit(0), lambda s, t: s + F.length(t) + 1)
-                start = before + (F.lit(0) if which == "leading" else F.length(line) - F.length(y))
+                start = F.get(ends, k) - 1 - F.length(line) + (F.lit(0) if which == "leading" else F.length(line) - F.length(y))
                 message = F.concat(F.lit(f"inconsistent {which} whitespace ('"), x, F.lit("' / '"), y, F.lit("')"))
                 return F.struct(F.lit("info").alias("severity"), message.alias("message"), T.none(T.MARK).alias("src_marks"), T.none(T.MARK).alias("tgt_marks"), edit(start, start + F.length(y), x).alias("edits"))
 
-            return F.when((F.size(a) == n) & (n >= 2), F.transform(differ, one)).otherwise(T.none(FINDING))
+            def found_in(differ: Column) -> Column:
+                ends = T.running(F.transform(b, lambda t: F.length(t) + 1))
+                return F.when(F.size(differ) > 0, T.let([ends], lambda ends: F.transform(differ, lambda k: one(k, ends)))).otherwise(T.none(FINDING))
+
+            return F.when((F.size(a) == n) & (n >= 2), T.let([differ], found_in)).otherwise(T.none(FINDING))
 
         return T.let([F.split(p.src, "\n", -1), F.split(p.tgt, "\n", -1)], lines)
 

@@ -434,9 +434,9 @@ def fix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = catalogues(spark, sf_dir, broken=False)
     entries = parse_files(files)
     found = check(entries, Options(select=("whitespace-start", "whitespace-end", "obsolete"), **ALL_STATES))
-    new = rewritten(files, replacements(entries, found))
-    left = parse_files(new).groupBy("path").agg(F.count_if(~F.col("is_header")).alias("n_entries"), F.max(F.when(~F.col("is_header"), F.md5(F.get("msgstr", F.lit(0))["value"]))).alias("translation"))
-    return left.join(new.select("path", "n"), "path").select(_doc_of_path(), F.col("n").cast("long").alias("n_changes"), "n_entries", "translation")
+    again = parse_files(rewritten(files, replacements(entries, found)))
+    left = again.groupBy("path").agg(F.count_if(~F.col("is_header")).alias("n_entries"), F.max(F.when(~F.col("is_header"), F.md5(F.get("msgstr", F.lit(0))["value"]))).alias("translation"))
+    return left.select(_doc_of_path(), "n_entries", "translation")
 
 
 def parsed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,7 +538,7 @@ ORACLE_SQL |= {
     "formats_python_brace": _dialect_sql("Python brace", r"\{\{|\{[^{}]*\}", "m = '{{'"),
     "fix_unsafe": _FIX_EMAILS,
     "fix_files": f"""WITH x AS (SELECT doc_id, n, src, tgt, n % 7 = 1 AND tgt <> '' AND n % 13 <> 0 AS gone, {_EDGE_FIX} AS fixed, NOT {_blank('src')} AND NOT {_blank('tgt')} AND n % 13 <> 0 AS seen FROM ({_FILES}) AS f)
-        SELECT doc_id, 1::BIGINT AS n_changes, CASE WHEN gone THEN 0 ELSE 1 END::BIGINT AS n_entries, CASE WHEN NOT gone THEN md5(fixed) END AS translation FROM x WHERE gone OR seen AND fixed <> tgt""",
+        SELECT doc_id, CASE WHEN gone THEN 0 ELSE 1 END::BIGINT AS n_entries, CASE WHEN NOT gone THEN md5(fixed) END AS translation FROM x WHERE gone OR seen AND fixed <> tgt""",
     "parsed": _PARSED,
     "parsed_states": _states_sql(),
     "rule_spelling_sources": _sources_sql(),

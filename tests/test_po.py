@@ -18,10 +18,10 @@ msgstr "\xe9t\xe9"
 
 
 # noqa:tabs;blank
-msgid "file"
-msgid_plural "files"
-msgstr[0] "fichier"
-msgstr[1] "fichiers"
+msgid "drawer"
+msgid_plural "drawers"
+msgstr[0] "tiroir"
+msgstr[1] "tiroirs"
 msgstr[x] "no"
 
 #~ msgid "old"
@@ -34,7 +34,7 @@ def test_entries():
     assert header["is_header"] and header["language"] == "fr_CA" and header["language_code"] == "fr" and header["country"] == "CA" and header["nplurals"] == 2
     assert first["fuzzy"] and first["format_language"] == "C" and first["keywords"] == ["fuzzy", "c-format"] and first["line_number"] == 8
     assert first["msgid"]["value"] == "one\ntwo" and first["msgstr"][0]["value"] == "été" and first["msgctxt"]["value"] == "menu"
-    assert plural["noqa_rules"] == ["tabs", "blank"] and not plural["noqa"] and [m["value"] for m in plural["msgstr"]] == ["fichier", "fichiers"]
+    assert plural["noqa_rules"] == ["tabs", "blank"] and not plural["noqa"] and [m["value"] for m in plural["msgstr"]] == ["tiroir", "tiroirs"]
     assert old["obsolete"] and old["msgstr"][0]["value"] == "vieux\\n" and old["is_translated"]
 
 

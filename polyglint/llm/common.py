@@ -183,7 +183,7 @@ def sample_of(rows: DataFrame, key: str, expected: int) -> DataFrame:
     return rows if rate >= 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
 
 
-def hot_keys(sampled: DataFrame, key: str, least: int = 8, per_part: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def hot_keys(sampled: DataFrame, key: str, least: int = 32, per_part: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(keys, parts), sorted by key, of keys in ``least`` or more sampled rows; a part gets about ``per_part`` of them.
 
     It decides only over how many tasks the rows of a key are dealt, no result depends on it. At

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import deal, free_name, hot_keys, materialise, repeated, sample_of, ship, sized_join, stable, whole_keys
 from .components import connected_components, merge_components
 
-SHINGLE, TREES, DEPTH, SMALL, BLOCK = 5, 25, 4, 24, 1024
+SHINGLE, TREES, DEPTH, SMALL, BLOCK = 5, 25, 4, 24, 256
 #: Classes expected in the sample that tells which regions are dealt over several tasks.
 SAMPLE_CLASSES = 4_000
 #: Bits of a shingle that count its frequency among the classes that step 5 looks at.
@@ -253,7 +253,8 @@ def _rest(large: DataFrame, labels: DataFrame, sets: DataFrame, scored: Callable
     asks = many.filter("label <> main").select("key", F.pmod(place, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "node", "label", F.lit(True).alias("asks"))
     base = many.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), F.pmod(place, F.col("blocks")).alias("j"), "node", "label", F.lit(False).alias("asks"))
     blocks = asks.union(base).join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda t: _links_of_block(t), "a long, b long")
-    return links.union(blocks).distinct()
+    # Written apart: the two have little in common, and tasks of both would be one stage.
+    return materialise(links, "forest-rare-links").union(materialise(blocks, "forest-block-links")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

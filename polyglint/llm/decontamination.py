@@ -1,9 +1,9 @@
 """Benchmark decontamination by a broadcast set of normalised test n-grams.
 
 Benchmark items become windows of ``n`` words (an item with fewer words is one window). The
-set is broadcast after a check of its size: above ``MAX_ITEM_WORDS`` words the items are dealt
-into several sets of bounded size, each scanned in turn, and hits are merged per document, so
-every item is always compared.
+set is broadcast after a check of its size. Above ``MAX_ITEM_WORDS`` words a bit per window hash is
+broadcast instead (at most 2 ** ``MOST_BITS`` bits): one scan of the documents finds windows whose
+bit is set, and these are joined to the benchmark's by their words. Every item is always compared.
 
 Documents are scanned where they are. Each word becomes its number in the benchmark's
 vocabulary (or -1); only runs of known words can hold a window, and there rolling hashes are
@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import free_name, materialise, ship, sized_join, stable
+from .minhash_dedup import word_hashes
 
 N = 13
-#: Words of benchmark items in one broadcast set: about 100 bytes each when held as windows.
+#: Words of benchmark items in the broadcast set: about 100 bytes each when held as windows.
 MAX_ITEM_WORDS = 500_000
+#: Bits of the broadcast table for larger benchmarks: 128 for each window, up to so many powers of two (128 MB).
+MOST_BITS = 30
 # ASCII letters are lower-cased, digits and all bytes of non-ASCII characters stay, the rest separates.
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -136,6 +139,56 @@ def _union(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
+def _scan_for_many(rows: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """As ``_scan``, for a benchmark of any size."""
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = words_of(text)
+                size = min(n, len(words))
+                hashes = _rolling(word_hashes(words), size).view(np.int64).tolist() if words else []
+                out += [(h, size, b" ".join(words[k : k + size]), item) for k, h in enumerate(hashes)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.string()))], names=["h", "size", "words", "item"])
+
+    windows = materialise(items.mapInArrow(windows_of, "h long, size int, words binary, item string").distinct(), "benchmark-windows")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most n
+    bits = min(MOST_BITS, max(20, windows.count().bit_length() + 7))
+    slots = windows.select(F.shiftrightunsigned("h", 64 - bits).alias("slot"))
+    table = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()  # at most 2 ** (bits - 6) rows
+    known = np.zeros(1 << (bits - 6), np.uint64)
+    known[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document (size 0), and one for each window whose bit is set."""
+        for batch in batches:
+            out = []
+            for pos, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("pos", "doc_id", "text"))):
+                words = words_of(text)
+                out.append((pos, doc_id, len(words), 0, 0, None, None))
+                hashes = word_hashes(words)
+                for size in sizes:
+                    if len(words) >= size:
+                        h = _rolling(hashes, size)
+                        slot = h >> np.uint64(64 - bits)
+                        for k in np.flatnonzero((shared.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).tolist():
+                            out.append((pos, doc_id, None, k, size, int(h[k : k + 1].view(np.int64)[0]), b" ".join(words[k : k + size])))
+            columns = list(zip(*out)) or [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names=["pos", "doc_id", "n_words", "start", "size", "h", "words"])
+
+    found = materialise(rows.mapInArrow(scan, "pos long, doc_id long, n_words long, start long, size int, h long, words binary"), "benchmark-candidates")
+    hits = found.filter("size > 0").select("pos", "start", "size", "h", "words").join(windows, ["h", "size", "words"])
+    span = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
+    of_doc = hits.groupBy("pos").agg(F.collect_set(span).alias("spans"), F.collect_set("item").alias("items"))  # a document's own windows
+    out = found.filter("size = 0").select("pos", "doc_id", "n_words").join(of_doc, "pos", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return out.select("pos", "doc_id", "n_words", _union(empty("spans", "array<struct<start:bigint,end:bigint>>")).alias("spans"), F.array_sort(empty("items", "array<string>")).alias("items"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
     """Per document: pos, doc_id, n_words, spans (hit word ranges, disjoint), items (item ids, sorted)."""
     spark = docs.sparkSession
@@ -143,16 +196,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col
     rows = stable(docs).select(F.monotonically_increasing_id().alias("pos"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     words = items.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]  # at most so many
-    parts = int(words // max_item_words) + 1
-    scans = None
-    for k in range(parts):
-        some = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        scan = _scan(rows, [tuple(r) for r in some.toLocalIterator()], n)  # bounded by max_item_words
-        scans = scan if scans is None else scans.unionByName(scan)
-    if parts == 1:
-        return scans
-    merged = scans.groupBy("pos").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # parts rows each
-    return merged.select("pos", "doc_id", "n_words", _union(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    if words <= max_item_words:
+        return _scan(rows, [tuple(r) for r in items.toLocalIterator()], n)  # bounded by max_item_words
+    return _scan_for_many(rows, items, n)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.rules import RULES, Options, select_rules
 from ..sources import config, po
-from ..sources.words import word_list
+from ..sources.words import personal_words, word_list
 from .check import DIAGNOSTIC_COLUMNS, check, checked_language, list_languages, resolve_language
 
 #: Different configurations below the roots; each is a plan of its own.
@@ -108,7 +108,9 @@ def check_files(spark: SparkSession, *roots: str, dictionaries: DataFrame | None
         options, problems = listed_words(spark, options)
         out += [problem(own, rule, "warning", F.lit(message)) for rule, message in problems]
         entries = po.parse_files(contents.join(own, "path", "left_semi"))
-        out.append(check(entries, options, dictionaries, personal=personal))
+        spelling = dictionaries is not None and any(r.name.startswith("spelling-") for r in select_rules(options.select, options.ignore))
+        words = personal_words(spark, options.path_words) if spelling and personal is None and options.path_words else personal
+        out.append(check(entries, options, dictionaries, personal=words))
         if dictionaries is not None:
             out.append(missing_dictionaries(entries, dictionaries, options))
     return reduce(DataFrame.union, out)

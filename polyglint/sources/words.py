@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Dictionaries of a folder; each is a plan of its own.
+MAX_DICTIONARIES = 200
+
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """Lower-cased words, one a line; blank lines and lines that begin with # don't count."""
@@ -33,3 +38,24 @@ def dictionary(spark: SparkSession, language: str, dic_path: str, aff_path: str
         prefixed = prefixed.select(F.expr("concat(affix, substring(word, length(strip) + 1))").alias("word"))
         out = out.union(suffixed.select("word")).union(prefixed)
     return out.distinct().select(F.lit(language).alias("language"), "word")
+
+
+def _language_of_file() -> Column:
+    return F.regexp_extract(F.input_file_name(), r"([^/]+)\.dic$", 1)
+
+
+def personal_words(spark: SparkSession, folder: str) -> DataFrame:
+    """(language, word) of all word lists ``<language>.dic`` in a folder: one word a line, as it is."""
+    lines = spark.read.option("pathGlobFilter", "*.dic").text(folder)
+    return lines.select(_language_of_file().alias("language"), F.col("value").alias("word")).filter("word <> ''").distinct()
+
+
+def dictionaries(spark: SparkSession, folder: str) -> DataFrame:
+    """(language, word) of all Hunspell dictionaries ``<language>.dic`` with ``<language>.aff`` in a folder. One without an affix file is none."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.{aff,dic}").load(folder).select("path")
+    stems = names.groupBy(F.regexp_replace("path", r"\.[^./]+$", "").alias("stem")).agg(F.count("*").alias("n")).filter("n = 2")
+    found = [r[0] for r in stems.orderBy("stem").limit(MAX_DICTIONARIES + 1).collect()]
+    if len(found) > MAX_DICTIONARIES:
+        raise ValueError(f"more than {MAX_DICTIONARIES} dictionaries in {folder}")
+    empty = spark.createDataFrame([], "language string, word string")
+    return reduce(DataFrame.union, (dictionary(spark, stem.rpartition("/")[2], f"{stem}.dic", f"{stem}.aff") for stem in found), empty)

@@ -43,6 +43,11 @@ def test_dictionaries(spark, tmp_path):
     assert {r.word for r in dictionary(spark, "en", str(tmp_path / "x.dic"), str(tmp_path / "x.aff")).collect()} == {"work", "worked", "play"}
     (tmp_path / "list").write_text(" One \n# two\n\n")
     assert [r[0] for r in word_list(spark, str(tmp_path / "list")).collect()] == ["one"]
+    (tmp_path / "fr_CA.dic").write_text("Mnde\n")
+    from polyglint.sources.words import dictionaries, personal_words
+
+    assert {tuple(r) for r in dictionaries(spark, str(tmp_path)).collect()} == {("x", "work"), ("x", "worked"), ("x", "play")}
+    assert ("fr_CA", "Mnde") in {tuple(r) for r in personal_words(spark, str(tmp_path)).collect()}
     words = spark.createDataFrame([("fr", "bonjour"), ("pt_BR", "ola"), ("en", "word")], "language string, word string")
     own = spark.createDataFrame([("fr_CA", "mnde")], "language string, word string")
     parsed = entries(spark, catalogue("word wrod", "'bonjour' mnde", "fr_CA"), catalogue("word", "bonjour", "fr_FR"), catalogue("word", "ola olla", "pt_BR"), catalogue("word", "hallo", "de"))

@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents.
+
+Cases: a null or empty text has no letters and is rejected by the first stage, as is a text in no
+recognised language; a null id is never learnt from and is kept like any other; a null lang teaches
+nothing, a null source is a source of its own in the mixture; repeated rows are exact copies, of which
+one stays; ties go to the least id, then to the first row; an empty table gives an empty mixture;
+texts are read whole; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyglint.llm import decontamination, exact_dedup, language_id, minhash_dedup, source_mixing
-from polyglint.llm.common import held_out, materialise, ship
+from polyglint.llm.common import free_name, held_out, materialise, ship
 
 #: Texts whose best language has a lower probability are rejected, as are those without letters.
 MIN_LANGUAGE_SCORE = 0.4
@@ -21,8 +27,9 @@ MIN_LANGUAGE_SCORE = 0.4
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised by a model learnt from the labelled ones."""
     model = language_id.train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    found = language_id.identify(docs, model, predicted="__lang", score="__score")
-    return found.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    lang, score = free_name(docs, "__lang"), free_name(docs, "__score")
+    found = language_id.identify(docs, model, predicted=lang, score=score)
+    return found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,7 +180,7 @@ def repeated(df: DataFrame, key: str, *order: str, parts: bool = False) -> DataF
 def sample_of(rows: DataFrame, key: str, expected: int) -> DataFrame:
     """About ``expected`` rows, drawn by a hash of a column."""
     rate = expected / max(1, rows.count())
-    return rows if rate >= 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
+    return rows if rate >= 1 else rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(rate * (1 << 40)) + 1)
 
 
 def hot_keys(sampled: DataFrame, key: str, least: int = 32, per_part: int = 16) -> tuple[np.ndarray, np.ndarray]:

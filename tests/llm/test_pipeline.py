@@ -1,10 +1,13 @@
 """The pipeline against brute force, stage by stage, on a small table."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline
 from test_operators import PASSAGE, components, norm, prose
 
+from polyglint.llm import source_mixing
+
 
 def test_pipeline(spark, tmp_path):
     import random
@@ -32,3 +35,5 @@ def test_pipeline(spark, tmp_path):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     mixed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in mixed.collect()} <= set(clean) and mixed.count() > 0.8 * len(clean)
+    # The last stage alone is held against brute force in test_cases.
+    assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, source_mixing.mix_sources(docs).collect()))

@@ -257,7 +257,7 @@ class _Reader(DataSourceReader):
         from pathlib import Path
 
         root = Path(self.root)
-        found = [root] if root.is_file() else sorted(p for p in root.rglob("*.po") if not any(x.startswith(".") for x in p.relative_to(root).parts))
+        found = ([root] if root.suffix == ".po" else []) if root.is_file() else sorted(p for p in root.rglob("*.po") if not any(x.startswith(".") for x in p.relative_to(root).parts))
         return [InputPartition(str(p)) for p in found]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.rules import RULES, Options, select_rules
+from ..operators.rules import Options, select_rules
 from ..sources import config, po
 from ..sources.words import personal_words, word_list
 from .check import DIAGNOSTIC_COLUMNS, check, checked_language, list_languages, resolve_language
@@ -130,4 +130,4 @@ def settings(spark: SparkSession, *roots: str, names: tuple[str, ...] = config.N
     return of_file.join(table, F.col("config_path").eqNullSafe(F.col("known")), "left").select("path", "config_path", "settings", "rules")
 
 
-__all__ = ["RULES", "check_files", "listed_words", "missing_dictionaries", "nearest_configs", "settings"]
+__all__ = ["check_files", "listed_words", "missing_dictionaries", "nearest_configs", "settings"]

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schema
 from .functions import text as T
 from .operators import stats as st
 from .operators.fixes import fix_translations

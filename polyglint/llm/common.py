@@ -128,6 +128,21 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str, max_r
     return left.join(right, on, how)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """``rows`` with their number, from 0, in the given order; ``rows`` should be a written table, as it is read twice.
+
+    Ranges of the order are dealt over tasks, sorted and written there; only the size of each range
+    is summed up. Give an order whose last column tells equal rows apart, so that no range is large.
+    """
+    at = free_name(rows, "__at")
+    placed = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(at, 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each partition
+    firsts = [0, *np.cumsum([r.n for r in sizes]).tolist()]
+    first = F.element_at(F.map_from_arrays(F.array(*(F.lit(r.part) for r in sizes)), F.array(*map(F.lit, firsts[:-1]))), part) if sizes else F.lit(0)
+    return placed.withColumn(name, (first + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop(at)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is outside the training fold: crc32 of its id as text is a multiple of 5.
 

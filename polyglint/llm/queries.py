@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, minhash_dedup, source_mixing, substring_dedup, token_counts, toxicity, url_filter, warc
-from .common import held_out, ship
+from . import decontamination, exact_dedup, importance, language_id, line_dedup, merkle, minhash_dedup, source_mixing, substring_dedup, token_counts, toxicity, url_filter, warc
+from .common import ascii_lower, held_out, ship
 
 #: (host, path, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -72,6 +72,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found).drop("pos")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(docs, {"text": ascii_lower(F.col("text"))}, tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -83,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filters": op9_url_filters,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -140,6 +160,57 @@ _MIX = source_mixing
 _ENTROPY_SQL = "ln(list_sum(list_transform(shares, lambda x: pow(x, {a})))) - {a} * list_sum(list_transform(shares, lambda x: pow(x, {a}) * ln(x))) / list_sum(list_transform(shares, lambda x: pow(x, {a})))"
 _REPEATS_SQL = "list_max(list_transform(shares, lambda x: pow(x, {a} - 1))) / list_sum(list_transform(shares, lambda x: pow(x, {a})))"
 
+
+def _crc32_sql(raw: str) -> str:
+    """The unsigned crc32 of the bytes whose hexadecimal form is ``raw``: bit by bit, over a list of bytes."""
+    octets = f"list_transform(range(1, length({raw}) // 2 + 1), lambda i: ('0x' || substr({raw}, 2 * i - 1, 2))::BIGINT)"
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: {step}), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+#: Levels of runs of 8 in the SQL: enough for 8 ** 8 documents of a language.
+_LEVELS = 8
+
+
+def _runs_sql(name: str, key: str) -> str:
+    """Tables {name}0 ... of nodes (key, idx, n, h) with what stands left and right of each in its run."""
+    beside = f"""SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY {key}, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+        coalesce(string_agg(h, '') OVER (PARTITION BY {key}, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM"""
+    out = [f"{name}0 AS ({beside} {name})"]
+    for k in range(1, _LEVELS + 1):
+        up = f"SELECT {key}, idx // 8 AS idx, (any_value(n) + 7) // 8 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY idx)) ELSE any_value(h) END AS h FROM {name}{k - 1} GROUP BY {key}, idx // 8"
+        out.append(f"{name}{k} AS ({beside} ({up}))")
+    return ",\n".join(out)
+
+
+def _folded_sql(first: str, levels: list[str]) -> str:
+    for at in levels:
+        first = f"CASE WHEN {at}.n > 1 THEN sha256({at}.lft || {first} || {at}.rgt) ELSE {first} END"
+    return first
+
+
+_AT = [*(f"a{k}" for k in range(_LEVELS)), *(f"b{k}" for k in range(_LEVELS))]
+_MERKLE_SQL = f"""
+WITH d AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n,
+           sha256({" || ".join(map(_field_sql, merkle.FIELDS))}) AS h,
+           CASE WHEN {_crc32_sql("hex(doc_id::VARCHAR)")} % 3 = 0 THEN sha256({" || ".join(map(_field_sql, merkle.FIELDS[:-1]))} || {_field_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")}) END AS other
+    FROM documents),
+a AS (SELECT tree, idx, n, h FROM d),
+{_runs_sql("a", "tree")},
+b AS (SELECT 0 AS one, tree, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, h FROM a{_LEVELS}),
+{_runs_sql("b", "one")},
+{", ".join(f"f{k} AS MATERIALIZED (SELECT f.* EXCLUDE (now, proof), {_folded_sql('now', ['x'])} AS now, proof || CASE WHEN x.n > 1 THEN x.lft || x.rgt ELSE '' END AS proof FROM {'f' + str(k - 1) if k else '(SELECT *, coalesce(other, h) AS now, chr(32)[2:] AS proof FROM d)'} f JOIN a{k} x ON x.tree = f.tree AND x.idx = f.idx // {8**k})" for k in range(_LEVELS))},
+g AS (SELECT f.*, b.idx AS place, b.h AS subroot FROM f{_LEVELS - 1} f JOIN b ON b.tree = f.tree),
+{", ".join(f"g{k} AS MATERIALIZED (SELECT g.* EXCLUDE (now, proof), {_folded_sql('now', ['x'])} AS now, proof || CASE WHEN x.n > 1 THEN x.lft || x.rgt ELSE '' END AS proof FROM {'g' + str(k - 1) if k else 'g'} g JOIN b{k} x ON x.idx = g.place // {8**k})" for k in range(_LEVELS))}
+SELECT doc_id, g.h AS leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = r.h AS verified
+FROM g{_LEVELS - 1} g, b{_LEVELS} r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_minhash_dedup": f"""
 WITH RECURSIVE words AS (
@@ -209,5 +280,35 @@ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM words LEFT JOIN hit ON words.doc_id = hit.doc_id LEFT JOIN named ON words.doc_id = named.doc_id
+""",
+    "op11_merkle_manifest": _MERKLE_SQL,
+    "op12_line_dedup": rf"""
+WITH lines AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keys AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{_UPPER}', '{_LOWER}') AS key FROM lines),
+often AS (SELECT key, max(doc_id) AS keeper FROM keys WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS}),
+marked AS (SELECT doc_id, k, line, keeper IS NOT NULL AND keeper <> doc_id AS dropped FROM keys LEFT JOIN often ON keys.key = often.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+    "op13_importance_resampling": rf"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+used AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM words) GROUP BY doc_id, word),
+aims AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark) GROUP BY word),
+buckets AS (SELECT word, {_crc32_sql("hex(word)")} % {importance.BUCKETS} AS bucket FROM (SELECT word FROM used UNION SELECT word FROM aims)),
+s AS (SELECT bucket, sum(n)::BIGINT AS n FROM used JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS n FROM aims JOIN buckets USING (word) GROUP BY bucket),
+totals AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t_all),
+gains AS (
+    SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + {importance.BUCKETS}) / ((s.n + 1)::DOUBLE * (t_all + {importance.BUCKETS}))))::BIGINT AS gain
+    FROM s LEFT JOIN t ON s.bucket = t.bucket, totals),
+sums AS (SELECT doc_id, sum(n * gain)::BIGINT AS total FROM used JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+    SELECT words.doc_id, len(w)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / len(w)), 0)::BIGINT AS weight,
+           ('0x' || substr(sha256('{importance.SEED}:' || words.doc_id), 1, 8))::BIGINT AS h
+    FROM words LEFT JOIN sums ON words.doc_id = sums.doc_id),
+noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_features >= {importance.MIN_WORDS} AS able FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= n * {importance.PERCENT} // 100 THEN place END AS rank FROM placed
 """,
 }

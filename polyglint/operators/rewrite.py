@@ -1,23 +1,24 @@
 """Rewritten catalogue files: fixed translations put in place, obsolete entries taken out.
 
 Replacements are rows of byte ranges, found by joins; each file is spliced where it is read.
-Texts are broken after their line feeds only, not at a page width.
 """
 
 from __future__ import annotations
 
-import codecs
-import os
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.po import escape
+from ..functions.wrap import PAGE_WIDTH, message_lines
+from ..plans.check import check, problem
+from ..shared import cut
+from ..sources import encodings, po
+from ..sources.writer import write_contents
 from .fixes import fix_translations, obsolete_entries
+from .rules import Options
 
 
 def replacements(entries: DataFrame, diagnostics: DataFrame, unsafe: bool = False) -> DataFrame:
@@ -32,23 +33,22 @@ def replacements(entries: DataFrame, diagnostics: DataFrame, unsafe: bool = Fals
     return fixed.join(of_entry.select("path", "entry_idx", "encoding"), ["path", "entry_idx"]).select("path", "start", "end", "value", "encoding").union(deleted)
 
 
-def block(original: bytes, value: str, encoding: str) -> bytes:
-    """A translation as lines of a catalogue: the keyword of the original block, then the value, a line for each of its own."""
-    head = original[: original.find(b'"')]
-    before = b"#~ " if original.startswith(b"#~ ") else b""
-    lines = re.findall(r"[^\n]*\n|[^\n]+", value) or [""]
-    lines = [escape(x).encode(codecs.lookup(encoding).name) for x in (lines if len(lines) == 1 else ["", *lines])]
-    return b"".join((head if k == 0 else before) + b'"' + x + b'"\n' for k, x in enumerate(lines))
+def block(original: bytes, value: str, encoding: str, page: int = PAGE_WIDTH) -> bytes:
+    """A translation as lines of a catalogue, with the keyword of the original block, at most ``page`` columns wide (0: on one line)."""
+    head = original[: original.find(b'"')].rstrip(b" \t").decode("utf-8", "replace")
+    old = "#~ " if head.startswith("#~ ") else ""
+    lines = message_lines(head, value, page)
+    return "".join(f"{old if k else ''}{x}\n" for k, x in enumerate(lines)).encode("ascii") if "".join(lines).isascii() else b"".join(encodings.encode(f"{old if k else ''}{x}\n", encoding) for k, x in enumerate(lines))
 
 
-def splice(content: bytes, changes: list[tuple[int, int, str | None, str]]) -> tuple[bytes, int]:
+def splice(content: bytes, changes: list[tuple[int, int, str | None, str]], page: int = PAGE_WIDTH) -> tuple[bytes, int]:
     """The content with byte ranges replaced, and how many; none if any two overlap, reach beyond the file or can't be encoded."""
     out, at = [], 0
     for start, end, value, encoding in sorted(changes, key=lambda c: (c[0], c[1])):
         if start < at or end > len(content):
             return content, 0
         try:
-            new = b"" if value is None else block(content[start:end], value, encoding)
+            new = b"" if value is None else block(content[start:end], value, encoding, page)
         except (UnicodeEncodeError, LookupError):
             return content, 0
         out += [content[at:start], new]
@@ -56,15 +56,15 @@ def splice(content: bytes, changes: list[tuple[int, int, str | None, str]]) -> t
     return b"".join([*out, content[at:]]), len(changes)
 
 
-def rewritten(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """(path, content, n) of files (path, content) that change; n replacements each."""
+def rewritten(files: DataFrame, changes: DataFrame, page: int = PAGE_WIDTH) -> DataFrame:
+    """(path, content, n) of files (path, content) that change; n replacements each. Texts are wrapped at ``page`` columns (0: not at all)."""
     of_file = changes.groupBy("path").agg(F.collect_list(F.struct("start", "end", "value", "encoding")).alias("changes"))  # a file's own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, contents, counts = [], [], []
             for path, content, some in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "changes"))):
-                new, n = splice(content, [(c["start"], c["end"], c["value"], c["encoding"]) for c in some])
+                new, n = splice(content, [(c["start"], c["end"], c["value"], c["encoding"]) for c in some], page)
                 if n:
                     paths.append(path)
                     contents.append(new)
@@ -74,24 +74,21 @@ def rewritten(files: DataFrame, changes: DataFrame) -> DataFrame:
     return files.select("path", "content").join(of_file, "path").mapInArrow(run, "path string, content binary, n int")
 
 
-def write_files(files: DataFrame) -> DataFrame:
-    """Write (path, content, n) where executors run, to ``file:`` paths that all of them share; (path, n, error) once read.
+def fix_files(spark: SparkSession, *roots: str, options: Options | None = None, **more) -> DataFrame:
+    """Fix the catalogues below mounted roots, and give the diagnostics of what is there then (``check`` arguments in ``more``).
 
-    A file is written beside its target and then renamed, so a task that is repeated does no harm.
+    Edits are those of one check (safe ones, or all with ``unsafe_fixes``); a file is rewritten once and
+    checked once more. A file that can't be written keeps its diagnostics and has a fix-write-error.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            errors = []
-            for path, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))):
-                try:
-                    target = Path(re.sub(r"^file:(?://)?", "", path))
-                    part = target.with_name(f".{target.name}.{os.getpid()}")
-                    part.write_bytes(content)
-                    part.replace(target)
-                    errors.append(None)
-                except OSError as e:
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("n"), pa.array(errors, pa.string())], names=["path", "n", "error"])
-
-    return files.mapInArrow(run, "path string, n int, error string")
+    options = options or Options()
+    files = cut(po.list_files(spark, *roots))
+    bad = cut(po.unreadable(files))
+    files = files.join(bad, "path", "left_anti")
+    entries = po.read_listed(files)
+    before = cut(check(entries, options, **more))
+    changes = cut(replacements(entries, before, options.unsafe_fixes))
+    new = cut(rewritten(po.read_contents(files.join(changes.select("path"), "path", "left_semi")), changes, options.width))
+    written = cut(write_contents(new))
+    done, failed = written.filter("error is null").select("path"), written.filter("error is not null")
+    after = check(po.read_listed(files.join(done, "path", "left_semi")), options, **more)
+    return before.join(done, "path", "left_anti").unionByName(after).union(problem(failed, "fix-write-error", "error", F.col("error"))).union(problem(bad, "read-error", "error", F.col("error")))

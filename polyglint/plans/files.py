@@ -6,28 +6,24 @@ Problems with files and settings are rows like any diagnostic, so one bad file e
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators.rules import Options, select_rules
+from ..shared import cut
 from ..sources import config, po
+from ..sources.listing import is_mounted
 from ..sources.words import personal_words, word_list
-from .check import DIAGNOSTIC_COLUMNS, check, checked_language, list_languages, resolve_language
+from .check import check, checked_language, list_languages, problem, resolve_language
 
 #: Different configurations below the roots; each is a plan of its own.
 MAX_CONFIGS = 200
 
 
-def problem(rows: DataFrame, rule: str, severity: str, message: Column) -> DataFrame:
-    """A diagnostic of a file as a whole for each row with a path."""
-    empty = {"entry_idx": F.lit(-1), "pair_idx": F.lit(0), "rule": F.lit(rule), "severity": F.lit(severity), "message": message, "line_number": F.lit(0), "src": F.lit(""), "tgt": F.lit("")}
-    empty |= {"src_marks": T.none(T.MARK), "tgt_marks": T.none(T.MARK), "edits": T.none(T.EDIT), "safe": F.lit(None).cast("boolean"), "byte_start": F.lit(0).cast("long"), "byte_end": F.lit(0).cast("long")}
-    return rows.select("path", *(c.alias(n) for n, c in empty.items())).select(*DIAGNOSTIC_COLUMNS)
-
-
 def folders(path: Column) -> Column:
     """The folders above a path, the nearest first."""
     parts = F.split(path, "/")
@@ -78,6 +74,25 @@ def listed_words(spark: SparkSession, options: Options) -> tuple[Options, list[t
     return Options(**{**config.as_dict(options), **given}), problems
 
 
+def read_configs(files: DataFrame, names: tuple[str, ...] = config.NAMES) -> DataFrame:
+    """(path, toml) of the configurations in the folders above files (path); mounted folders, hidden names too, are read by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for folder in batch.column("folder").to_pylist():
+                for name in names:
+                    try:
+                        with open(f"{po.local(folder)}/{name}", encoding="utf-8") as f:
+                            out.append({"path": f"{folder}/{name}", "toml": f.read()})
+                    except (OSError, UnicodeDecodeError):
+                        continue
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("path", pa.string()), ("toml", pa.string())]))
+
+    above = files.select(F.explode(folders(F.col("path"))).alias("folder")).distinct()
+    return above.filter(F.col("folder").startswith("/") | F.col("folder").startswith("file:") | (F.col("folder") == "")).mapInArrow(run, "path string, toml string")
+
+
 def check_files(spark: SparkSession, *roots: str, dictionaries: DataFrame | None = None, personal: DataFrame | None = None, names: tuple[str, ...] = config.NAMES, **overrides) -> DataFrame:
     """Diagnostics of all catalogues below the roots, each under the configuration of its nearest folder.
 
@@ -85,14 +100,16 @@ def check_files(spark: SparkSession, *roots: str, dictionaries: DataFrame | None
     invalid configurations and unknown rules give rows (read-error, config-error, rules-error),
     as do word lists and dictionaries that are missing.
     """
-    files = po.list_files(spark, *roots)
-    configs = po.read_texts(spark, *roots, names=names)
-    of_file = nearest_configs(files, configs, names)
+    files = cut(po.list_files(spark, *roots))
+    configs = read_configs(files, names)
+    stores = [r for r in roots if not is_mounted(r)]
+    configs = configs.union(po.read_texts(spark, *stores, names=names)) if stores else configs
+    of_file = cut(nearest_configs(files, configs, names))
     distinct = of_file.select("config_path", "toml").distinct().limit(MAX_CONFIGS + 1).collect()
     if len(distinct) > MAX_CONFIGS:
         raise ValueError(f"more than {MAX_CONFIGS} configurations below {', '.join(roots)}")
-    contents = po.read_files(spark, *roots)
-    out = [problem(files.join(contents.select("path"), "path", "left_anti"), "read-error", "error", F.lit("the file can't be read"))]
+    bad = cut(po.unreadable(files))
+    out = [problem(bad, "read-error", "error", F.col("error"))]
     for where, toml in distinct:
         own = of_file.filter(F.col("config_path").eqNullSafe(F.lit(where))).select("path")
         try:
@@ -107,7 +124,7 @@ def check_files(spark: SparkSession, *roots: str, dictionaries: DataFrame | None
             continue
         options, problems = listed_words(spark, options)
         out += [problem(own, rule, "warning", F.lit(message)) for rule, message in problems]
-        entries = po.parse_files(contents.join(own, "path", "left_semi"))
+        entries = po.read_listed(files.join(own, "path", "left_semi").join(bad, "path", "left_anti"))
         spelling = dictionaries is not None and any(r.name.startswith("spelling-") for r in select_rules(options.select, options.ignore))
         words = personal_words(spark, options.path_words) if spelling and personal is None and options.path_words else personal
         out.append(check(entries, options, dictionaries, personal=words))
@@ -118,7 +135,8 @@ def check_files(spark: SparkSession, *roots: str, dictionaries: DataFrame | None
 
 def settings(spark: SparkSession, *roots: str, names: tuple[str, ...] = config.NAMES, **overrides) -> DataFrame:
     """path, config_path, settings (JSON), rules of every file: what ``check_files`` would use; null where the configuration is invalid."""
-    of_file = nearest_configs(po.list_files(spark, *roots), po.read_texts(spark, *roots, names=names), names)
+    files = cut(po.list_files(spark, *roots))
+    of_file = nearest_configs(files, read_configs(files, names), names)
     known = []
     for where, toml in of_file.select("config_path", "toml").distinct().limit(MAX_CONFIGS).collect():
         try:

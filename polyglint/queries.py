@@ -337,16 +337,6 @@ def fix_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fix_translations(found).select(F.col("entry_idx").cast("long").alias("doc_id"), "fixed")
 
 
-def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header findings of one header per document: its fields depend on the id and language."""
-    rows = entries(spark, sf_dir)
-    line = lambda name, value, when: F.when(when, F.concat(F.lit(f"{name}: "), value, F.lit("\n"))).otherwise(F.lit(""))
-    i = F.col("entry_idx")
-    text = F.concat(line("Language", F.when(i % 4 == 0, F.upper("language")).otherwise(F.col("language")), i % 3 > 0), line("Content-Type", F.lit("text/plain; charset=UTF-8"), i % 2 == 0), line("Last-Translator", F.when(i % 5 == 0, "nobody").otherwise("me <me@example.org>"), F.lit(True)))
-    header = rows.withColumns({"is_header": F.lit(True), "noqa": F.lit(False), "msgid": F.struct(F.lit(1).alias("line_number"), F.lit("").alias("value"), F.lit(0).cast("long").alias("byte_start"), F.lit(0).cast("long").alias("byte_end")), "msgstr": F.array(F.struct(F.lit(0).alias("idx"), F.lit(1).alias("line_number"), text.alias("value"), F.lit(0).cast("long").alias("byte_start"), F.lit(0).cast("long").alias("byte_end")))})
-    return check(header, Options(select=("header",))).select(F.col("entry_idx").cast("long").alias("doc_id"), "severity", "message")
-
-
 def misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translations with words that no document of their language with an even id has."""
     rows = entries(spark, sf_dir)
@@ -417,7 +407,7 @@ def catalogues(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFra
     return rows.select(F.concat(F.lit("f/"), F.col("doc_id").cast("string"), F.lit(".po")).alias("path"), content.alias("content"))
 
 
-def _doc_of_path() -> Column:
+def doc_of_path() -> Column:
     return F.regexp_extract("path", r"([0-9]+)\.po$", 1).cast("long").alias("doc_id")
 
 
@@ -425,7 +415,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the rendered catalogues, as the parser reads them; the header is an entry of its own."""
     rows = parse_files(catalogues(spark, sf_dir)).filter("not is_header")
     last = F.get("msgstr", F.lit(0))
-    return rows.select(_doc_of_path(), "line_number", "language_code", "nplurals", "fuzzy", "obsolete", "noqa", F.array_join("noqa_rules", ";").alias("noqa_rules"), "nowrap", "format_language", "encoding_error", "is_translated", F.md5("msgid.value").alias("source"), F.md5("msgid_plural.value").alias("plural"), last["line_number"].alias("msgstr_line"), F.when(F.col("encoding_error"), None).otherwise(F.md5(last["value"])).alias("translation"))
+    return rows.select(doc_of_path(), "line_number", "language_code", "nplurals", "fuzzy", "obsolete", "noqa", F.array_join("noqa_rules", ";").alias("noqa_rules"), "nowrap", "format_language", "encoding_error", "is_translated", F.md5("msgid.value").alias("source"), F.md5("msgid_plural.value").alias("plural"), last["line_number"].alias("msgstr_line"), F.when(F.col("encoding_error"), None).otherwise(F.md5(last["value"])).alias("translation"))
 
 
 def fix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,13 +425,13 @@ def fix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = check(entries, Options(select=("whitespace-start", "whitespace-end", "obsolete"), **ALL_STATES))
     again = parse_files(rewritten(files, replacements(entries, found)))
     left = again.groupBy("path").agg(F.count_if(~F.col("is_header")).alias("n_entries"), F.max(F.when(~F.col("is_header"), F.md5(F.get("msgstr", F.lit(0))["value"]))).alias("translation"))
-    return left.select(_doc_of_path(), "n_entries", "translation")
+    return left.select(doc_of_path(), "n_entries", "translation")
 
 
 def parsed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rules on entries say of the rendered catalogues."""
     found = check(parse_files(catalogues(spark, sf_dir)), Options(select=("encoding", "fuzzy", "noqa", "obsolete", "plurals", "untranslated"), **ALL_STATES), marks=False)
-    return found.select(_doc_of_path(), "rule", "severity", "message", "line_number")
+    return found.select(doc_of_path(), "rule", "severity", "message", "line_number")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(n): rule_query(n, **({"force_trans": FORCED} if n == "force-trans" else {"no_trans": KEPT} if n == "no-trans" else {})) for n in _RULE_SQL}
@@ -449,7 +439,7 @@ QUERIES |= {
     "marks_counts": marks_counts, "marks_formats": marks_formats, "marks_controls": marks_controls, "formats_java": formats_of("Java"), "formats_python": formats_of("Python"), "formats_python_brace": formats_of("Python brace"),
     "fix_unsafe": fix_unsafe, "fix_files": fix_files, "parsed": parsed, "parsed_states": parsed_states, "rule_spelling_sources": misspelled_sources,
 }
-QUERIES |= {"stats_entries": stats_entries, "stats_words": stats_words, "diagnostics_by_rule": diagnostics_by_rule, "diagnostics_by_file": diagnostics_by_file, "fix_safe": fix_safe, "rule_header": headers, "rule_spelling": misspelled}
+QUERIES |= {"stats_entries": stats_entries, "stats_words": stats_words, "diagnostics_by_rule": diagnostics_by_rule, "diagnostics_by_file": diagnostics_by_file, "fix_safe": fix_safe, "rule_spelling": misspelled}
 
 _STATE = "CASE WHEN fuzzy THEN 'fuzzy' WHEN obsolete THEN 'obsolete' WHEN tgt <> '' THEN 'translated' ELSE 'untranslated' END"
 _PERCENT = ", ".join(f"{s} * 100 // total AS {s}_percent" for s in st.STATES)
@@ -549,14 +539,6 @@ ORACLE_SQL |= {
     "diagnostics_by_rule": f"SELECT rule, count(*) AS n FROM ({_SEEN}) GROUP BY rule",
     "diagnostics_by_file": f"SELECT g.path, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'error') AS error FROM (SELECT DISTINCT path FROM ({PAIRS_SQL}) AS x) AS g LEFT JOIN ({_SEEN}) AS f ON f.path = g.path GROUP BY g.path",
     "fix_safe": f"SELECT doc_id, fixed FROM (SELECT *, {_EDGE_FIX} AS fixed FROM ({PAIRS_SQL}) AS x WHERE NOT noqa AND tgt <> '' AND NOT {_blank('src')} AND NOT {_blank('tgt')}) WHERE fixed <> tgt",
-    "rule_header": """
-WITH h AS (SELECT doc_id AS i, lang, CASE WHEN doc_id % 4 = 0 THEN upper(lang) ELSE lang END AS shown FROM documents)
-SELECT i AS doc_id, 'error' AS severity, 'missing field ''Language'' in header' AS message FROM h WHERE i % 3 = 0
-UNION ALL SELECT i, 'warning', 'missing field ''Content-Type'' in header' FROM h WHERE i % 2 = 1
-UNION ALL SELECT i, s, 'missing field ''' || f || ''' in header' FROM h, (VALUES ('info', 'Project-Id-Version'), ('info', 'Report-Msgid-Bugs-To'), ('info', 'POT-Creation-Date'), ('info', 'PO-Revision-Date'), ('info', 'Language-Team'), ('warning', 'Content-Transfer-Encoding')) AS v(s, f)
-UNION ALL SELECT i, 'error', 'invalid value ''' || shown || ''' for field ''Language'' in header' FROM h WHERE i % 3 > 0 AND i % 4 = 0
-UNION ALL SELECT i, 'info', 'invalid value ''nobody'' for field ''Last-Translator'' in header' FROM h WHERE i % 5 = 0
-""",
     "rule_spelling": f"""{_BASE}, listed AS (SELECT DISTINCT language, lower(unnest(regexp_extract_all(src, '{_WORDS}'))) AS word FROM ({PAIRS_SQL}) AS x WHERE doc_id % 2 = 0 AND language IS NOT NULL),
 w AS (SELECT DISTINCT doc_id, language, unnest({_words('tgt')}) AS word FROM p),
 bad AS (SELECT doc_id, w.word FROM w WHERE NOT regexp_matches(word, '[0-9]') AND NOT regexp_full_match(word, '[A-Z]{{2,}}') AND language IN (SELECT language FROM listed) AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.language = w.language AND l.word = lower(w.word)))

@@ -1,40 +1,35 @@
 """Catalogue files (gettext PO): one row per entry.
 
-A file is a small sequential format (the header decides how later entries are decoded), so a
-file is parsed by one call; files are spread over tasks, and rules run on entries anywhere.
+Files are read by ranges of bytes. A range has the entries that begin in it, after an empty line;
+lines, entries and headers of the ranges before it are summed up in a first pass, as headers
+decide how later entries are decoded. Rules run on entries anywhere.
 """
 
 from __future__ import annotations
 
-import codecs
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema
+from . import encodings
+from .listing import is_mounted, walk
 
 _ESCAPES = {"n": "\n", "r": "\r", "t": "\t", '"': '"', "\\": "\\"}
 _DIALECTS = {"c": "C", "java": "Java", "python": "Python", "python-brace": "Python brace"}
 _FIELDS = ("msgctxt", "msgid_plural", "msgid", "msgstr[", "msgstr")
+_ESCAPED = re.compile(r"\\([nrt\"\\])")
 
 
 def unescape(s: str) -> str:
     """Left to right; an unknown escape keeps its backslash."""
-    if "\\" not in s:
-        return s
-    out, k = [], 0
-    while k < len(s):
-        if s[k] == "\\" and k + 1 < len(s) and s[k + 1] in _ESCAPES:
-            out.append(_ESCAPES[s[k + 1]])
-            k += 2
-        else:
-            out.append(s[k])
-            k += 1
-    return "".join(out)
+    return _ESCAPED.sub(lambda m: _ESCAPES[m[1]], s) if "\\" in s else s
 
 
 def escape(s: str) -> str:
@@ -44,51 +39,45 @@ def escape(s: str) -> str:
 
 
 @dataclass
-class _State:
-    """What the header tells about the entries after it."""
+class State:
+    """What the headers so far tell about the entries after them."""
 
-    codec: str = "utf-8"
-    encoding_name: str = "UTF-8"
+    encoding: str = encodings.UTF_8
     language: str | None = None
     language_code: str | None = None
     country: str | None = None
     nplurals: int = 0
 
     def read(self, header: str) -> None:
-        values: dict[str, str] = {}
         for line in header.split("\n"):
             key, colon, value = line.partition(":")
-            if colon:
-                values.setdefault(key.strip().lower(), value.strip())
-        if "language" in values:
-            self.language = values["language"]
-            code, _, country = self.language.partition("_")
-            self.language_code, self.country = code, country or None
-        after = values.get("content-type", "").lower().partition("charset=")[2].replace(";", " ").split()
-        if after:
-            try:
-                name = codecs.lookup(after[0]).name
-            except LookupError:
-                name = "utf-8"
-            if name != "utf-8":
-                # The web's rule: Latin-1 labels mean windows-1252.
-                self.codec, self.encoding_name = ("cp1252" if name in ("iso8859-1", "ascii") else name), after[0].upper()
-        digits = values.get("plural-forms", "").partition("nplurals=")[2]
-        digits = digits[: len(digits) - len(digits.lstrip("0123456789"))]
-        self.nplurals = int(digits) if digits else 0
+            key = key.strip().lower() if colon else ""
+            if key == "language":
+                self.language = value.strip()
+                code, joint, country = value.partition("_")
+                self.language_code = code.strip()
+                self.country = country.strip() if joint else self.country
+            elif key == "content-type" and "charset=" in value:
+                name = encodings.name_of(re.match(r"[^\s;]*", value.partition("charset=")[2])[0])
+                if name and name != encodings.UTF_8:
+                    self.encoding = name
+            elif key == "plural-forms" and "nplurals=" in value:
+                digits = re.match(r"[0-9]*", value.partition("nplurals=")[2])[0]
+                if digits and int(digits) < 1 << 31:
+                    self.nplurals = int(digits)
 
 
 @dataclass
 class _Block:
     start: int
     line: int
+    end: int
     keywords: list[str] = field(default_factory=list)
     flags: dict = field(default_factory=lambda: dict.fromkeys(("fuzzy", "obsolete", "noqa", "nowrap", "encoding_error"), False))
     noqa_rules: list[str] = field(default_factory=list)
     dialect: str | None = None
     messages: dict = field(default_factory=dict)  # field or plural index -> [line, text, start, end]
     current: object = None
-    seen: bool = False
 
     def words(self, text: str) -> None:
         """A list of keywords after #, or #=."""
@@ -105,106 +94,232 @@ class _Block:
             elif word.endswith("-format"):
                 self.dialect = _DIALECTS.get(word[: -len("-format")])
 
-    def message(self, raw: bytes, state: _State, line: int, start: int, end: int) -> None:
-        first, last = raw.find(b'"'), raw.rfind(b'"')
-        body = raw[first + 1 : last] if first < last else b""
-        try:
-            text = body.decode(state.codec)
-        except UnicodeDecodeError:
-            text = body.decode(state.codec, "replace")
-            self.flags["encoding_error"] = True
+    def message(self, raw: bytes, state: State, line: int, start: int, end: int) -> None:
         if raw[:1] == b'"':
             if self.current is not None:
                 held = self.messages[self.current]
-                held[1] += text
+                held[1].append(self.text(raw, state))
                 held[3] = end
             return
-        head = raw.decode("ascii", "replace")
-        name = next((f for f in _FIELDS if head.startswith(f)), None)
+        name = next((f for f in _FIELDS if raw.startswith(f.encode())), None)
         if name is None:
-            self.current = None
             return
         key: object = name
         if name == "msgstr[":
-            digits = head[len(name) :].partition("]")
-            if not digits[1] or not digits[0].isdigit():
-                self.current = None
+            digits = re.match(rb"\+?([0-9]+)\]", raw[len(name) :])
+            if not digits or int(digits[1]) >= 1 << 31:
                 return
-            key = int(digits[0])
+            key = int(digits[1])
         elif name == "msgstr":
             key = 0
         self.current = key
-        self.messages[key] = [line, text, start, end]
-
-
-def parse(content: bytes) -> Iterator[dict]:
-    """The entries of a catalogue, as schema.ENTRY without the path."""
-    state, block, offset, number, index = _State(), None, 0, 0, 0
-    lines = content.split(b"\n")
-    for k, line in enumerate(lines):
-        last = k == len(lines) - 1
-        size = len(line) + (not last)
-        number += 1
-        if not line:
-            if block and not (last and size == 0):
-                yield _entry(block, state, index, offset + size)
-                index += 1
-                block = None
-            offset += size
-            continue
-        block = block or _Block(offset, number)
-        raw = line
-        if line.startswith((b"#,", b"#=")):
-            block.words(line[2:].decode("utf-8", "replace"))
-        elif line.startswith(b"#~ "):
-            block.flags["obsolete"] = True
-            raw = line[3:]
-        elif line.startswith(b"# noqa:"):
-            block.noqa_rules = [r.strip() for r in line[7:].decode("utf-8", "replace").split(";")]
-        elif line.startswith(b"# noqa"):
-            block.flags["noqa"] = True
-        if raw[:1] in (b"m", b'"'):
-            block.message(raw, state, number, offset, offset + size)
-        offset += size
-    if block:
-        yield _entry(block, state, index, offset)
-
-
-def _entry(block: _Block, state: _State, index: int, end: int) -> dict:
-    get = lambda key, text=unescape: None if key not in block.messages else (lambda m: {"line_number": m[0], "value": text(m[1]), "byte_start": m[2], "byte_end": m[3]})(block.messages[key])
+        self.messages[key] = [line, [self.text(raw, state)], start, end]
+
+    def text(self, raw: bytes, state: State) -> str:
+        first, last = raw.find(b'"'), raw.rfind(b'"')
+        if first == last:
+            return ""
+        text, bad = encodings.decode(raw[first + 1 : last], state.encoding)
+        self.flags["encoding_error"] |= bad
+        return text
+
+    def read(self, lines: list[bytes], state: State) -> None:
+        at = self.start
+        for number, line in enumerate(lines, self.line):
+            raw, end = line, at + len(line) + 1
+            if line.startswith((b"#,", b"#=")):
+                self.words(line[2:].decode("utf-8", "replace"))
+            elif line.startswith(b"#~ "):
+                self.flags["obsolete"] = True
+                raw = line[3:]
+            elif line.startswith(b"# noqa:"):
+                self.noqa_rules = [r.strip() for r in line[7:].decode("utf-8", "replace").split(";")]
+            elif line.startswith(b"# noqa"):
+                self.flags["noqa"] = True
+            if raw[:1] in (b"m", b'"'):
+                self.message(raw, state, number, at, min(end, self.end))
+            at = end
+
+
+def _blocks(data: bytes, at: int, limit: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first line feed before, start, stop, end) of the runs of lines that aren't empty and begin before ``limit``."""
+    while True:
+        before = at
+        while data[at : at + 1] == b"\n":
+            at += 1
+        if at >= limit:
+            return
+        stop = data.find(b"\n\n", at)
+        end = len(data) if stop < 0 else stop + 2
+        yield before, at, (len(data) - data.endswith(b"\n") if stop < 0 else stop), end
+        at = end
+
+
+def parse(content: bytes, state: State | None = None, at: int = 0, limit: int | None = None, base: int = 0, line: int = 1, index: int = 0) -> Iterator[dict]:
+    """The entries of a catalogue, as schema.ENTRY without the path.
+
+    Of a part of a file: those that begin from ``at`` on and before ``limit``; ``base`` is the place of
+    ``content`` in the file, ``line`` the number of the line at ``at``, ``index`` that of the first entry.
+    """
+    state, limit = state or State(), len(content) if limit is None else limit
+    for before, start, stop, end in _blocks(content, at, limit):
+        line += start - before
+        lines = content[start:stop].split(b"\n")
+        block = _Block(base + start, line, base + end)
+        block.read(lines, state)
+        yield _entry(block, state, index)
+        line, index = line + len(lines) + 1, index + 1
+
+
+def _entry(block: _Block, state: State, index: int) -> dict:
+    get = lambda key, text=unescape: None if key not in block.messages else (lambda m: {"line_number": m[0], "value": text("".join(m[1])), "byte_start": m[2], "byte_end": m[3]})(block.messages[key])
     plurals = sorted(k for k in block.messages if isinstance(k, int))
     whole = next((n for n, k in enumerate(plurals) if n != k), len(plurals))  # text is unescaped up to the first gap
     msgstr = [{"idx": k, **get(k, unescape if n < whole else str)} for n, k in enumerate(plurals)]
     msgid = get("msgid")
     is_header = msgid is not None and msgid["value"] == ""
     # The header itself is decoded with what was known before it.
-    if is_header and msgstr:
+    if is_header and plurals[:1] == [0] and msgstr[0]["value"]:
         state.read(msgstr[0]["value"])
     return {
         "entry_idx": index, "line_number": block.line, "keywords": block.keywords, **block.flags, "noqa_rules": block.noqa_rules, "format_language": block.dialect,
-        "msgctxt": get("msgctxt"), "msgid": msgid, "msgid_plural": get("msgid_plural"), "msgstr": msgstr, "byte_start": block.start, "byte_end": end,
-        "is_header": is_header, "is_translated": any(m["value"] for m in msgstr), "language": state.language, "language_code": state.language_code, "country": state.country, "encoding_name": state.encoding_name, "nplurals": state.nplurals,
+        "msgctxt": get("msgctxt"), "msgid": msgid, "msgid_plural": get("msgid_plural"), "msgstr": msgstr, "byte_start": block.start, "byte_end": block.end,
+        "is_header": is_header, "is_translated": any(m["value"] for m in msgstr), "language": state.language, "language_code": state.language_code, "country": state.country, "encoding_name": state.encoding, "nplurals": state.nplurals,
     }
 
 
-_COLUMNS = [c.split(" ")[0] for c in "path entry_idx line_number keywords fuzzy obsolete noqa nowrap encoding_error noqa_rules format_language msgctxt msgid msgid_plural msgstr byte_start byte_end is_header is_translated language language_code country encoding_name nplurals".split(" ")]
+_MESSAGE = pa.struct([("line_number", pa.int32()), ("value", pa.string()), ("byte_start", pa.int64()), ("byte_end", pa.int64())])
+_PLURAL = pa.struct([("idx", pa.int32()), *((f.name, f.type) for f in _MESSAGE)])
+_ARROW = pa.schema([
+    ("path", pa.string()), ("entry_idx", pa.int32()), ("line_number", pa.int32()), ("keywords", pa.list_(pa.string())), *((c, pa.bool_()) for c in ("fuzzy", "obsolete", "noqa", "nowrap", "encoding_error")),
+    ("noqa_rules", pa.list_(pa.string())), ("format_language", pa.string()), *((c, _MESSAGE) for c in ("msgctxt", "msgid", "msgid_plural")), ("msgstr", pa.list_(_PLURAL)), ("byte_start", pa.int64()), ("byte_end", pa.int64()),
+    ("is_header", pa.bool_()), ("is_translated", pa.bool_()), *((c, pa.string()) for c in ("language", "language_code", "country", "encoding_name")), ("nplurals", pa.int32()),
+])
+#: Entries, and bytes of catalogues, that go into a batch.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def _batches(entries: Iterator[tuple[str, dict]]) -> Iterator[pa.RecordBatch]:
+    """Entries of any number of files, gathered."""
+    rows, size = [], 0
+    for path, e in entries:
+        rows.append({"path": path, **e})
+        size += e["byte_end"] - e["byte_start"]
+        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """Entries of (path, content) rows: files read before, or buffers that were never on disk."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches((path, e) for batch in batches for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) for e in parse(content or b""))
+
+    return files.select("path", "content").mapInArrow(run, schema.ENTRY)
+
+
+#: Bytes of a file that one task parses.
+RANGE = 16 << 20
+_EMPTY_ID = re.compile(rb'^(?:#~ )?msgid(?!_plural)[^"\n]*(?:"|"")?[^"\n]*$', re.MULTILINE)
+
+
+@dataclass
+class Part:
+    """A range of a file's bytes: the entries that begin in it, and as much behind it as the last of them needs."""
+
+    data: bytes
+    base: int  # place of data in the file
+    at: int  # where the first entry may begin, in data
+    limit: int  # the range's end, in data
+    lines: int  # line feeds of the range
+    skipped: int  # those before ``at``
+
+    @classmethod
+    def read(cls, path: str, start: int, end: int, step: int = 1 << 16) -> Part:
+        base = max(0, start - 2)
+        with open(path, "rb") as f:
+            f.seek(base)
+            data = f.read(end - base)
+            while data.find(b"\n\n", max(0, end - base - 1)) < 0:
+                more = f.read(step)
+                if not more:
+                    break
+                data += more
+                step *= 2
+        own = start - base
+        if start == 0 or (start == 1 and data[:1] == b"\n"):
+            at = own
+        else:
+            found = data.find(b"\n\n")
+            at = len(data) if found < 0 else found + 2
+        at = min(at, max(own, end - base))
+        return cls(data, base, at, end - base, data.count(b"\n", own, end - base), data.count(b"\n", own, at))
+
+    def survey(self) -> tuple[int, int, list[bytes]]:
+        """Line feeds, entries, and the headers among them as they stand in the file."""
+        blocks = [(a, b) for _, a, b, _ in _blocks(self.data, self.at, self.limit)]
+        some = (self.data[a:b] for a, b in blocks if _EMPTY_ID.search(self.data, a, b))
+        return self.lines, len(blocks), [x for x in some if next(parse(x))["is_header"]]
+
+    def entries(self, lines: int, index: int, headers: list[bytes]) -> Iterator[dict]:
+        """The entries, from what the ranges before have: line feeds, entries and headers."""
+        state = State()
+        for x in headers:
+            for _ in parse(x, state):
+                pass
+        return parse(self.data, state, self.at, self.limit, self.base, lines + self.skipped + 1, index)
+
+
+def ranges_of(files: DataFrame, size: int = RANGE) -> DataFrame:
+    """(path, start, end, lines, n, headers) of mounted files (path, length): ranges of bytes and what stands before each.
+
+    Only files of several ranges are read for that, in one pass; sums of ranges are taken by file.
+    """
+    some = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long"))).alias("start"))
+    some = some.withColumn("end", F.least(F.col("start") + size, "length"))
+    one, many = (some.filter(when).select("path", "start", "end") for when in (F.col("length") <= size, F.col("length") > size))
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = [{"path": path, **e} for e in parse(bytes(content))]
-                for k in range(0, len(rows), 5_000):
-                    yield pd.DataFrame(rows[k : k + 5_000], columns=_COLUMNS)
+            for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end"))):
+                try:
+                    lines, n, headers = Part.read(local(path), start, end).survey()
+                except OSError:  # a row of unreadable()
+                    continue
+                yield pa.RecordBatch.from_pylist([{"path": path, "start": start, "end": end, "lines": lines, "n": n, "headers": headers}], pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("lines", pa.int64()), ("n", pa.int64()), ("headers", pa.list_(pa.binary()))]))
+
+    kind = "path string, start long, end long, lines long, n long, headers array<binary>"
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    of = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("long")).alias(c)
+    surveyed = many.repartition("path", "start").mapInArrow(survey, kind)
+    placed = surveyed.select("path", "start", "end", of("lines"), of("n"), F.flatten(F.collect_list("headers").over(before)).alias("headers"))
+    zero = F.lit(0).cast("long")
+    return one.select("path", "start", "end", zero.alias("lines"), zero.alias("n"), F.array().cast("array<binary>").alias("headers")).union(placed)
+
+
+def parse_ranges(ranges: DataFrame) -> DataFrame:
+    """Entries of ranges (see ``ranges_of``), each parsed where its row is. Files that can't be read have none; see ``unreadable``."""
+
+    def of_row(row: dict) -> Iterator[tuple[str, dict]]:
+        try:
+            part = Part.read(local(row["path"]), row["start"], row["end"])
+        except OSError:
+            return
+        for e in part.entries(row["lines"], row["n"], row["headers"]):
+            yield row["path"], e
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(pair for batch in batches for row in batch.to_pylist() for pair in of_row(row))
 
-    return files.select("path", "content").mapInPandas(run, schema.ENTRY)
+    return ranges.mapInArrow(run, schema.ENTRY)
 
 
-#: Bytes of a file from which its entries are dealt over tasks after parsing.
-LARGE_FILE = 16 << 20
+def local(path: str) -> str:
+    """The path of a mounted file, with or without ``file:``."""
+    return re.sub(r"^file:(?://)?", "", path)
 
 
 def _files(spark: SparkSession, roots: tuple[str, ...], names: str) -> DataFrame:
@@ -212,31 +327,87 @@ def _files(spark: SparkSession, roots: tuple[str, ...], names: str) -> DataFrame
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(list(roots))
 
 
+def read_texts(spark: SparkSession, *roots: str, names: tuple[str, ...]) -> DataFrame:
+    """(path, toml) of files of the given names below roots in stores that only Spark reads. Spark lists no hidden files, so only visible names are found."""
+    last = ",".join(sorted({n.rpartition("/")[2] for n in names}))
+    return _files(spark, roots, "{" + last + "}").select("path", F.decode("content", "UTF-8").alias("toml"))
+
+
+_MOUNTED = "startswith(path, '/') or startswith(path, 'file:')"
+#: Bytes that a row can hold; a longer file in a store that only Spark reads is a read-error.
+MOST_BYTES = (1 << 31) - 64
+
+
 def list_files(spark: SparkSession, *roots: str) -> DataFrame:
-    """(path, length) of all *.po files below the roots, or of the roots that are such files; hidden ones are skipped. Nothing is read."""
-    return _files(spark, roots, "*.po").select("path", "length")
+    """(path, length) of all *.po files below the roots, or of the roots that are such files. Nothing is read but ignore files.
 
+    Mounted roots are walked by tasks (see ``listing.walk``). In other stores Spark's lister is used, which
+    has no ignore files and skips names that begin with a dot or an underscore.
+    """
+    mounted, others = [r for r in roots if is_mounted(r)], [r for r in roots if not is_mounted(r)]
+    out = walk(spark, *map(local, mounted)).select("path", "length")
+    return out.union(_files(spark, tuple(others), "*.po").select("path", "length")).distinct() if others else out
 
-def read_files(spark: SparkSession, *roots: str) -> DataFrame:
-    """(path, content) of the files that can be read."""
-    return _files(spark, roots, "*.po").select("path", "content")
 
+def read_catalogues(spark: SparkSession, *roots: str, size: int = RANGE) -> DataFrame:
+    """Entries of all *.po files below the roots."""
+    return read_listed(list_files(spark, *roots), roots, size)
 
-def read_texts(spark: SparkSession, *roots: str, names: tuple[str, ...]) -> DataFrame:
-    """(path, toml) of files of the given names below the roots. Spark lists no hidden files, so only visible names are found."""
-    last = ",".join(sorted({n.rpartition("/")[2] for n in names}))
-    return _files(spark, roots, "{" + last + "}").select("path", F.decode("content", "UTF-8").alias("toml"))
+
+def read_listed(files: DataFrame, roots: tuple[str, ...] = (), size: int = RANGE) -> DataFrame:
+    """Entries of files (path, length) that ``list_files`` gave for ``roots``: mounted ones by ranges of bytes, those of other stores whole."""
+    spark = files.sparkSession
+    spread = spark.sparkContext.defaultParallelism * 4
+    entries = parse_ranges(ranges_of(files.filter(_MOUNTED), size).repartition(spread, "path", "start"))
+    others = tuple(r for r in roots if not is_mounted(r))
+    if not others:
+        return entries
+    found = _files(spark, others, "*.po").filter(F.col("length") < MOST_BYTES).select("path", "content").join(files.select("path"), "path", "left_semi")
+    return entries.union(parse_files(found))
 
 
-def read_catalogues(spark: SparkSession, *roots: str) -> DataFrame:
-    """Entries of all *.po files below the roots. Those of large files are dealt anew, so that one file doesn't hold up the rules; the others stay where they are."""
-    files = _files(spark, roots, "*.po")
-    small, large = files.filter(F.col("length") < LARGE_FILE), files.filter(F.col("length") >= LARGE_FILE)
-    return parse_files(small).union(parse_files(large).repartition("path", "entry_idx"))
+def read_contents(files: DataFrame) -> DataFrame:
+    """(path, content) of mounted files (path, length), which tasks open; those that can't be read or held in a row are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with open(local(path), "rb") as f:
+                        content = f.read()
+                except OSError:
+                    continue
+                yield pa.RecordBatch.from_pylist([{"path": path, "content": content}], pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return files.filter(F.col("length") < MOST_BYTES).select("path").mapInArrow(run, "path string, content binary")
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """(path, error) of files (path, length) that can't be opened and read."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                try:
+                    with open(local(path), "rb") as f:
+                        f.read(1)
+                        f.seek(max(0, (length or 0) - 1))
+                        f.read(1)
+                except OSError as e:
+                    bad.append({"path": path, "error": f"{e.strerror} (os error {e.errno})"})
+            yield pa.RecordBatch.from_pylist(bad, pa.schema([("path", pa.string()), ("error", pa.string())]))
+
+    long = files.filter(f"not ({_MOUNTED})").filter(F.col("length") >= MOST_BYTES).select("path", F.lit("the file is too long for a row").alias("error"))
+    return files.filter(_MOUNTED).select("path", "length").mapInArrow(probe, "path string, error string").union(long)
 
 
 class CatalogueSource(DataSource):
-    """``spark.read.format("po").load(path)`` after ``spark.dataSource.register(CatalogueSource)``; for folders that every executor sees."""
+    """``spark.read.format("po").load(path)`` after ``spark.dataSource.register(CatalogueSource)``; for folders that every executor mounts.
+
+    Files are read by ranges of bytes (option ``range``). A range's task skims what stands before it
+    in the file, some hundred times as fast as parsing; ``read_catalogues`` does that once a file.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -246,24 +417,22 @@ class CatalogueSource(DataSource):
         return schema.ENTRY
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ARG002
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options.get("range", RANGE)))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str) -> None:
-        self.root = root
+    def __init__(self, root: str, size: int) -> None:
+        self.root, self.size = local(root), size
 
     def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
-
-        root = Path(self.root)
-        found = ([root] if root.suffix == ".po" else []) if root.is_file() else sorted(p for p in root.rglob("*.po") if not any(x.startswith(".") for x in p.relative_to(root).parts))
-        return [InputPartition(str(p)) for p in found]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            content = f.read()
-        for e in parse(content):
-            row = {"path": partition.value, **e}
-            values = [row[c] for c in _COLUMNS]
-            yield tuple(tuple(v.values()) if isinstance(v, dict) else [tuple(m.values()) for m in v] if c == "msgstr" else v for c, v in zip(_COLUMNS, values))
+        from .listing import walk_here
+
+        return [InputPartition((path, start)) for path, length in walk_here(self.root) for start in range(0, max(length, 1), self.size)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        path, start = partition.value
+        length, lines, n, headers = os.path.getsize(path), 0, 0, []
+        for k in range(0, start, self.size):
+            found = Part.read(path, k, min(k + self.size, length)).survey()
+            lines, n, headers = lines + found[0], n + found[1], headers + found[2]
+        yield from _batches((path, e) for e in Part.read(path, start, min(start + self.size, length)).entries(lines, n, headers))

@@ -4,15 +4,17 @@ from pyspark.sql import functions as F
 from test_rules import catalogue, entries
 
 from polyglint.operators.fixes import fix_summary, fix_translations, obsolete_entries
-from polyglint.operators.rewrite import block, replacements, rewritten, splice, write_files
+from polyglint.operators.rewrite import block, replacements, rewritten, splice
 from polyglint.operators.rules import Options
 from polyglint.operators.stats import as_json, by_status, stats
 from polyglint.plans import report
 from polyglint.plans.check import check
 from polyglint.plans.files import check_files, missing_dictionaries, settings
+from polyglint.shared import cut
 from polyglint.sources.config import load, nearest
-from polyglint.sources.po import parse, read_catalogues
+from polyglint.sources.po import list_files, parse, read_catalogues, read_contents
 from polyglint.sources.words import dictionary, word_list
+from polyglint.sources.writer import write_contents
 
 
 def test_folders(spark, tmp_path):
@@ -95,11 +97,11 @@ def test_rewrite(spark, tmp_path):
     old = '\n# note\n#~ msgid "old"\n#~ msgstr "vieux  x"\n'
     (tmp_path / "x.po").write_bytes(catalogue(" two\nlines ", "deux\nlignes") + b'\nmsgid "kept"\nmsgstr "autre"\n' + old.encode())
     entries_ = read_catalogues(spark, str(tmp_path))
-    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    files = read_contents(list_files(spark, str(tmp_path)))
     found = check(entries_, Options(select=("whitespace-start", "whitespace-end", "double-spaces", "obsolete"), obsolete=True))
     assert obsolete_entries(found).count() == 1
-    new = rewritten(files, replacements(entries_, found))
-    (written,) = write_files(new).collect()
+    new = cut(rewritten(files, replacements(entries_, found)))
+    (written,) = write_contents(new).collect()
     assert written.n == 2 and written.error is None
     header, first, kept = parse((tmp_path / "x.po").read_bytes())
     assert header["is_header"] and first["msgstr"][0]["value"] == " deux\nlignes " and kept["msgstr"][0]["value"] == "autre"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.wrap import message_lines
 from .operators.rules import HEADER_FIELDS, Options
 from .plans.check import check
-from .queries import PAIRS_SQL, doc_of_path, entries
+from .queries import PAIRS_SQL, doc_of_path, documents, entries
 from .shared import cut, shared_dir
 from .sources.listing import kept, rules_of
 from .sources.po import parse_files, read_catalogues
@@ -33,15 +33,9 @@ _FIELDS = (
 _HEADER_ROWS = "SELECT doc_id, coalesce(lang, 'fr') AS lang, length(coalesce(text, '')) AS n FROM documents"
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs.createOrReplaceTempView("documents")
-    return docs
-
-
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is said of headers that are rendered into catalogues by the lengths of texts, and parsed."""
-    _documents(spark, sf_dir)
+    documents(spark, sf_dir)
     fields = " || ".join(f"CASE WHEN {when} THEN '{name}: ' || ({value}) || chr(92) || 'n' ELSE '' END" for name, when, value in _FIELDS)
     files = spark.sql(f"""SELECT 'f/' || doc_id || '.po' AS path, encode('msgid ""' || chr(10) || 'msgstr "' || {fields} || '"' || chr(10), 'UTF-8') AS content FROM ({_HEADER_ROWS}) AS d""")
     return check(parse_files(files), Options(select=("header",)), marks=False).select(doc_of_path(), "severity", "message")
@@ -67,7 +61,7 @@ _PATH = """'/s' || length(coalesce(text, '')) % 6 || CASE CAST(length(coalesce(t
 
 def listed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which paths of an inventory, one for each document, are left by ignore files and the rule for hidden names."""
-    _documents(spark, sf_dir)
+    documents(spark, sf_dir)
     rules = rules_of(spark.createDataFrame(_IGNORE, "folder string, kind string, text string"))
     return kept(spark.sql(f"SELECT DISTINCT {_PATH} AS path FROM documents"), rules, spark.createDataFrame([("",), ("/s5",)], "folder string"))
 
@@ -81,7 +75,7 @@ def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
             lines = [message_lines("msgstr", v) for v in batch.column("value").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, lines), pa.int64()), pa.array(["\n".join(x) for x in lines], pa.string())], names=["doc_id", "n_lines", "lines"])
 
-    rows = _documents(spark, sf_dir).select("doc_id", text.alias("value")).mapInArrow(run, "doc_id long, n_lines long, lines string")
+    rows = documents(spark, sf_dir).select("doc_id", text.alias("value")).mapInArrow(run, "doc_id long, n_lines long, lines string")
     return rows.select("doc_id", "n_lines", F.md5("lines").alias("lines"))
 
 

@@ -112,16 +112,21 @@ def accelerator_kind(marker: str) -> str:
     return name
 
 
-def _for_dialect(dialect: Column, build: Callable[[Dialect], str]) -> Column:
-    out = F.lit(build(_PLAIN))
+def by_dialect(dialect: Column, build: Callable[[Dialect], Column]) -> Column:
+    """``build`` for the row's dialect. Patterns inside are literals: Spark compiles one that isn't whenever it differs from the last row's."""
+    out = build(_PLAIN)
     for name, d in FORMATS.items():
         out = F.when(dialect == name, build(d)).otherwise(out)
     return out
 
 
-def _pattern(dialect: Column, kind: str) -> Column:
+def _pattern(d: Dialect, kind: str) -> str:
     """Group 1: what stands before a token, group 2: the token. Matches follow each other without gaps."""
-    return _for_dialect(dialect, lambda d: r"(?U)\G((?:{})*+)({})".format(*_KINDS[kind](d)))
+    return r"(?U)\G((?:{})*+)({})".format(*_KINDS[kind](d))
+
+
+def _extract(s: Column, dialect: Column, kind: str, group: int) -> Column:
+    return by_dialect(dialect, lambda d: F.regexp_extract_all(s, F.lit(_pattern(d, kind)), F.lit(group)))
 
 
 def none(kind: str) -> Column:
@@ -210,8 +215,7 @@ def char_positions(s: Column, chars: str) -> Column:
 
 def located(s: Column, dialect: Column, kind: str) -> Column:
     """Tokens of a kind with their code-point spans: structs (s, start, end)."""
-    pattern = _pattern(dialect, kind)
-    return let([F.regexp_extract_all(s, pattern, F.lit(1)), F.regexp_extract_all(s, pattern, F.lit(2))], _laid)
+    return let([_extract(s, dialect, kind, 1), _extract(s, dialect, kind, 2)], _laid)
 
 
 def not_blank(s: Column) -> Column:
@@ -237,29 +241,28 @@ def trailing_space(s: Column) -> Column:
 
 def format_specs(s: Column, dialect: str) -> Column:
     """The format specifications of one dialect, in order."""
-    return F.regexp_extract_all(s, _pattern(F.lit(dialect), "format"), F.lit(2))
+    return F.regexp_extract_all(s, F.lit(_pattern(FORMATS[dialect], "format")), F.lit(2))
 
 
 def without_formats(s: Column, dialect: Column) -> Column:
     """The text without format specifications; a doubled marker leaves one."""
-    pattern = _for_dialect(dialect, lambda d: f"{d.one}|{d.spec}")
-    return F.when(dialect.isNull(), s).otherwise(F.regexp_replace(s, pattern, F.lit("$1")))
+    return by_dialect(dialect, lambda d: s if d is _PLAIN else F.regexp_replace(s, F.lit(f"{d.one}|{d.spec}"), F.lit("$1")))
 
 
 def _opened(before: Column, dialect: Column) -> Column:
     """Whether an apostrophe stands before a word."""
-    return before.contains("'") & F.when(dialect.isNull(), F.lit(True)).otherwise(F.regexp_replace(before, _for_dialect(dialect, lambda d: d.spec), F.lit("")).contains("'"))
+    return before.contains("'") & by_dialect(dialect, lambda d: F.lit(True) if d is _PLAIN else F.regexp_replace(before, F.lit(d.spec), F.lit("")).contains("'"))
 
 
 def _uncut(s: Column, dialect: Column, build: Callable[[Column, Column], Column]) -> Column:
-    pattern = _pattern(dialect, "word")
-    return let([F.regexp_extract_all(s, pattern, F.lit(1)), F.regexp_extract_all(s, pattern, F.lit(2))], build)
+    return let([_extract(s, dialect, "word", 1), _extract(s, dialect, "word", 2)], build)
 
 
 def words(s: Column, dialect: Column) -> Column:
     """Words; a format specification ends one, and a word after an apostrophe doesn't keep one at its end."""
     cut = lambda before, w: F.when(w.endswith("'") & _opened(before, dialect), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-    return _uncut(s, dialect, lambda before, own: F.zip_with(before, own, cut))
+    # Only where a word may end with an apostrophe must what stands before it be known.
+    return F.when(s.rlike(rf"'(?![{ALNUM}ʼ’-])"), _uncut(s, dialect, lambda before, own: F.zip_with(before, own, cut))).otherwise(_extract(s, dialect, "word", 2))
 
 
 def gaps(s: Column, dialect: Column) -> Column:
@@ -282,11 +285,11 @@ def is_acronym(r: Column) -> Column:
 
 
 def acronyms(s: Column, dialect: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(s, _pattern(dialect, "acronym"), F.lit(2)), is_acronym)))
+    return F.array_sort(F.array_distinct(F.filter(_extract(s, dialect, "acronym", 2), is_acronym)))
 
 
 def tokens(s: Column, dialect: Column, kind: str = "token", group: int = 2) -> Column:
-    return F.regexp_extract_all(s, _pattern(dialect, kind), F.lit(group))
+    return _extract(s, dialect, kind, group)
 
 
 def unquoted(t: Column) -> Column:
@@ -325,6 +328,7 @@ ALIKE: dict[str, tuple[str, str, Callable[[Column], Column] | None, Callable[[Co
 def alike(s: Column, dialect: Column, what: str) -> Column:
     """The texts of the tokens of ``ALIKE``."""
     kind, sign, strip, test = ALIKE[what]
+    # Most texts lack the sign, and are not cut into tokens at all.
     out = tokens(s, dialect, kind)
     out = F.transform(out, strip) if strip else out
     out = F.filter(out, test) if test else out

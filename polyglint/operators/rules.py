@@ -245,9 +245,16 @@ def _(p: Pair) -> Column:
         gone = lambda k: edit(F.get(w, k - 1)["end"], F.get(w, k)["end"], F.lit(""))
         return each(again, "info", lambda k: F.concat(F.lit("word '"), F.get(w, k)["s"], F.lit("' is repeated")), tgt=span, edits=gone)
 
-    # Places are worked out for texts that have equal neighbours.
-    some = T.let([T.words(p.tgt, p.dialect)], lambda w: F.exists(numbers(w), lambda k: F.get(w, k) == F.get(w, k - 1)))
-    return F.when(some, T.let([T.gaps(p.tgt, p.dialect), T.located_words(p.tgt, p.dialect)], pairs)).otherwise(T.none(FINDING))
+    def plain(gaps: Column, w: Column) -> Column:
+        # A word that lost its apostrophe is not next to the gap after it.
+        again = F.filter(numbers(w), lambda k: (F.get(w, k) == F.get(w, k - 1)) & F.get(gaps, k).rlike(r"(?U)^\s+\z"))
+        return each(again, "info", lambda k: F.concat(F.lit("word '"), F.get(w, k), F.lit("' is repeated")))
+
+    # A text needs a word, white space and the same word; the few that have them are cut into words. A specification may end inside a run of letters.
+    some = p.tgt.rlike(rf"(?U)(?<![{T.ALNUM}ʼ])([{T.ALNUM}ʼ][{T.ALNUM}ʼ'’-]*+)\s+\1(?![{T.ALNUM}ʼ’-])") | (p.dialect.isNotNull() & p.tgt.rlike("[%{']"))
+    if p.with_marks:
+        return F.when(some, T.let([T.gaps(p.tgt, p.dialect), T.located_words(p.tgt, p.dialect)], pairs)).otherwise(T.none(FINDING))
+    return F.when(some, T.let([T.gaps(p.tgt, p.dialect), T.words(p.tgt, p.dialect)], plain)).otherwise(T.none(FINDING))
 
 
 def _same_tokens(what: str, differing: bool = False, strip: bool = True) -> Callable[[Pair], Column]:
@@ -601,6 +608,8 @@ def _(p: Pair) -> Column:
     message = lambda c: F.concat(F.lit("extra control character U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"), F.lit(" ("), name(c), F.lit(")"))
 
     def one(c: Column) -> Column:
+        if not p.with_marks:
+            return F.struct(F.when(c == "\u0000", "error").otherwise("warning").alias("severity"), message(c).alias("message"), T.none(T.MARK).alias("src_marks"), T.none(T.MARK).alias("tgt_marks"), T.none(T.EDIT).alias("edits"))
         at = F.transform(F.split(p.tgt, ""), lambda x, i: F.when(x == c, F.struct(i.alias("start"), (i + 1).alias("end"))))
         own = F.filter(at, lambda m: m.isNotNull())
         edits = F.transform(own, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit("").alias("replacement")))
@@ -647,6 +656,8 @@ def _line_edges(which: str) -> Callable[[Pair], Column]:
                 return F.struct(F.lit("info").alias("severity"), message.alias("message"), T.none(T.MARK).alias("src_marks"), T.none(T.MARK).alias("tgt_marks"), edit(start, start + F.length(y), x).alias("edits"))
 
             def found_in(differ: Column) -> Column:
+                if not p.with_marks:
+                    return each(differ, "info", lambda k: F.concat(F.lit(f"inconsistent {which} whitespace ('"), space(F.get(a, k)), F.lit("' / '"), space(F.get(b, k)), F.lit("')")))
                 ends = T.running(F.transform(b, lambda t: F.length(t) + 1))
                 return F.when(F.size(differ) > 0, T.let([ends], lambda ends: F.transform(differ, lambda k: one(k, ends)))).otherwise(T.none(FINDING))
 

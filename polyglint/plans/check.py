@@ -23,6 +23,12 @@ def barrier(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__row", F.monotonically_increasing_id()).filter("__row >= 0")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, if they come in fewer partitions: rules cost far more than moving texts once. A larger table stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def gate(entries: DataFrame, options: Options, rules: list[Rule]) -> DataFrame:
     """Entries that rules see: an entry state is skipped unless its option or its rule is on."""
     names = {r.name for r in rules}

@@ -19,7 +19,7 @@ from .operators.fixes import fix_translations
 from .operators.rewrite import replacements, rewritten
 from .operators.rules import Options
 from .plans import report
-from .plans.check import barrier, check
+from .plans.check import barrier, check, spread
 from .sources.po import parse_files
 
 _ZERO_WIDTH = "\u200b"
@@ -45,9 +45,16 @@ _DIALECT_TEXTS = {
 }
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, which SQL sees by its name."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs.createOrReplaceTempView("documents")
+    return docs
+
+
 def entries(spark: SparkSession, sf_dir: str, dialect: str | None = "C") -> DataFrame:
     """The catalogue of PAIRS_SQL as entries (schema.ENTRY); texts of another dialect than C get specifications of it."""
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+    documents(spark, sf_dir)
     rows = barrier(barrier(spark.sql(_SOURCES_SQL)).selectExpr("*", f"{_TARGET} AS tgt"))
     if dialect in _DIALECT_TEXTS:
         more = _DIALECT_TEXTS[dialect]
@@ -392,7 +399,7 @@ def fix_unsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogues(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
     """(path, content): each pair of PAIRS_SQL as a catalogue file of its own; flags come from the lengths of the texts. With ``broken``, some have bytes that are no UTF-8."""
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+    documents(spark, sf_dir)
     rows = barrier(barrier(spark.sql(_SOURCES_SQL)).selectExpr("*", f"{_TARGET} AS tgt"))
     length, line = F.length("src"), lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts), F.lit("\n"))
     escaped = lambda c: reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")), F.col(c))

@@ -118,8 +118,11 @@ def judged(names: DataFrame, rules: DataFrame, repositories: DataFrame) -> DataF
     fits = (F.col("is_folder") | ~F.col("folders_only")) & F.rlike(below, F.col("pattern"))
     fitting = above.join(rules, "folder").filter(fits).join(nearest, "path", "left").filter((F.col("rank") == KINDS[".ignore"]) | (F.length("folder") >= F.col("repository")))
     last = fitting.groupBy("path").agg(F.max_by("negated", F.struct("rank", F.length("folder"), "line")).alias("negated"))
-    hidden = F.element_at(F.split("path", "/"), -1).startswith(".")
-    return names.join(last, "path", "left").filter(F.coalesce("negated", ~hidden)).drop("negated")
+    return names.join(last, "path", "left").filter(F.coalesce("negated", ~_is_hidden())).drop("negated")
+
+
+def _is_hidden() -> Column:
+    return F.element_at(F.split("path", "/"), -1).startswith(".")
 
 
 def kept(paths: DataFrame, rules: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -186,16 +189,19 @@ def _list(folders: DataFrame, scan) -> DataFrame:
 def walk(spark: SparkSession, *roots: str) -> DataFrame:
     """(path, length) of *.po files below mounted roots, or of roots that are such files (whatever ignore files say of them)."""
     asked = sorted({os.path.abspath(r) for r in roots})
-    found = _list(spark.createDataFrame([(r,) for r in asked], "path string").repartition(max(1, len(asked))), _start)
+    found = _list(spark.createDataFrame([(r,) for r in asked], "path string").coalesce(1), _start)
     files, seen = [found.filter("kind = 'file'").select("path", "length")], [found]
     level = found.filter("kind = 'folder'").select("path").distinct()
-    width = spark.sparkContext.defaultParallelism * 4
-    while not level.isEmpty():
-        found = _list(level.repartition(width), _scan)
+    most = spark.sparkContext.defaultParallelism * 4
+    while n := level.count():
+        found = _list(level.repartition(min(most, n)), _scan)
         seen.append(found)
-        everything = reduce(DataFrame.union, (x.filter("text is not null or kind = 'repository'") for x in seen))
+        patterns = reduce(DataFrame.union, (x.filter("text is not null") for x in seen))
         names = found.filter("kind in ('file', 'folder')").select("path", "length", (F.col("kind") == "folder").alias("is_folder"))
-        good = cut(judged(names, rules_of(everything.filter("text is not null")), everything.filter("kind = 'repository'")))
+        if patterns.isEmpty():
+            good = names.filter(~_is_hidden())
+        else:
+            good = cut(judged(names, rules_of(patterns), reduce(DataFrame.union, (x.filter("kind = 'repository'") for x in seen))))
         files.append(good.filter("not is_folder").select("path", "length"))
         level = good.filter("is_folder").select("path")
     return reduce(DataFrame.union, files).distinct()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..functions.text import DIALECT_OF_FLAG
 from ..functions.wrap import PAGE_WIDTH, message_lines
 from .po import CatalogueSource, local
 
@@ -48,10 +49,13 @@ def entry_text(e: dict, page: int = PAGE_WIDTH) -> str:
     old, out = "#~ " if e["obsolete"] else "", []
     if e["noqa_rules"] and not any((k or "").startswith("noqa:") for k in e["keywords"]):
         out.append("# noqa:" + ";".join(e["noqa_rules"]))
-    elif e["noqa"] and "noqa" not in e["keywords"]:
+    if e["noqa"] and "noqa" not in e["keywords"]:
         out.append("# noqa")
-    if e["keywords"]:
-        out.append("#, " + ", ".join(e["keywords"]))
+    kind = next((flag for flag, name in DIALECT_OF_FLAG.items() if name == e["format_language"]), None)
+    flags = {"fuzzy": e["fuzzy"], "no-wrap": e["nowrap"], kind: kind and not any((k or "").endswith("-format") for k in e["keywords"])}
+    words = [*e["keywords"], *(k for k, on in flags.items() if on and k not in e["keywords"])]
+    if words:
+        out.append("#, " + ", ".join(words))
     page = 0 if e["nowrap"] else page
     for c in ("msgctxt", "msgid", "msgid_plural"):
         if e[c] is not None:

@@ -101,7 +101,11 @@ def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
     return rf"{spec}|{one}|{name}(?!\(\))|[^A-Za-z0-9_{d.marks}]++|[{d.marks}]", rf"{name}\(\)"
 
 
-def accelerator_kind(marker: str) -> str:
+#: Stands for a marker that a row has.
+ROW_MARKER = "\ue000"
+
+
+def accelerator_kind(marker: str = ROW_MARKER) -> str:
     """The kind of token that is one accelerator marker: before a letter or digit, and not doubled."""
     m, name = "\\" + marker, "accelerator " + marker
 
@@ -125,8 +129,9 @@ def _pattern(d: Dialect, kind: str) -> str:
     return r"(?U)\G((?:{})*+)({})".format(*_KINDS[kind](d))
 
 
-def _extract(s: Column, dialect: Column, kind: str, group: int) -> Column:
-    return by_dialect(dialect, lambda d: F.regexp_extract_all(s, F.lit(_pattern(d, kind)), F.lit(group)))
+def _extract(s: Column, dialect: Column, kind: str, group: int, marker: Column | None = None) -> Column:
+    pattern = lambda d: F.lit(_pattern(d, kind)) if marker is None else F.replace(F.lit(_pattern(d, kind)), F.lit(ROW_MARKER), marker)
+    return by_dialect(dialect, lambda d: F.regexp_extract_all(s, pattern(d), F.lit(group)))
 
 
 def none(kind: str) -> Column:
@@ -213,9 +218,9 @@ def char_positions(s: Column, chars: str) -> Column:
     return F.filter(at, lambda m: m.isNotNull())
 
 
-def located(s: Column, dialect: Column, kind: str) -> Column:
+def located(s: Column, dialect: Column, kind: str, marker: Column | None = None) -> Column:
     """Tokens of a kind with their code-point spans: structs (s, start, end)."""
-    return let([_extract(s, dialect, kind, 1), _extract(s, dialect, kind, 2)], _laid)
+    return let([_extract(s, dialect, kind, 1, marker), _extract(s, dialect, kind, 2, marker)], _laid)
 
 
 def not_blank(s: Column) -> Column:
@@ -288,8 +293,8 @@ def acronyms(s: Column, dialect: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(_extract(s, dialect, "acronym", 2), is_acronym)))
 
 
-def tokens(s: Column, dialect: Column, kind: str = "token", group: int = 2) -> Column:
-    return _extract(s, dialect, kind, group)
+def tokens(s: Column, dialect: Column, kind: str = "token", group: int = 2, marker: Column | None = None) -> Column:
+    return _extract(s, dialect, kind, group, marker)
 
 
 def unquoted(t: Column) -> Column:

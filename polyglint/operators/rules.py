@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import Column
@@ -53,6 +53,32 @@ class Options:
             raise ValueError("accelerator must be one character")
 
 
+#: The options as a struct of columns.
+OPTIONS = "struct<" + ",".join(f"{f.name}:{'array<string>' if f.type.startswith('tuple') else {'bool': 'boolean', 'int': 'int'}.get(f.type, 'string')}" for f in fields(Options)) + ">"
+
+
+class RowOptions:
+    """Options that each row has of its own, in a struct column (``OPTIONS``); lists of words are lower-cased."""
+
+    def __init__(self, struct: Column) -> None:
+        self._struct = struct
+
+    def __getattr__(self, name: str) -> Column:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self._struct[name]
+
+
+def is_listed(word: Column, words: tuple[str, ...] | Column) -> Column:
+    """Whether a list has a word, case aside."""
+    return F.array_contains(words, F.lower(word)) if isinstance(words, Column) else F.lower(word).isin([w.lower() for w in words])
+
+
+def given(value: tuple | bool | Column) -> bool:
+    """Whether an option may be set: one that a row has may be."""
+    return isinstance(value, Column) or bool(value)
+
+
 @dataclass(frozen=True)
 class Pair:
     """The columns that a rule may use."""
@@ -60,7 +86,7 @@ class Pair:
     src: Column
     tgt: Column
     row: Callable[[str], Column]
-    options: Options
+    options: Options | RowOptions
     with_marks: bool = True  # counts of findings need no marks and edits
 
     @property
@@ -127,11 +153,11 @@ def edit(start: Column, end: Column, replacement: Column) -> Column:
     return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), replacement.alias("replacement")))
 
 
-def missing_or_extra(a: Column, b: Column, what: str) -> Column:
+def missing_or_extra(a: Column, b: Column, what: str | Column) -> Column:
     return F.concat(F.when(a > b, "missing ").otherwise("extra "), F.lit(what), F.lit(" ("), a.cast("string"), F.lit(" / "), b.cast("string"), F.lit(")"))
 
 
-def compared(p: Pair, counts: tuple[Column, Column], severity: str, what: str, src: Callable[[], Column], tgt: Callable[[], Column], edits: Column | None = None) -> Column:
+def compared(p: Pair, counts: tuple[Column, Column], severity: str, what: str | Column, src: Callable[[], Column], tgt: Callable[[], Column], edits: Column | None = None) -> Column:
     """A finding if the counts of both texts differ. They are bound once, and marks are built for findings only."""
     marks = (lambda f: f()) if p.with_marks else (lambda f: None)
     return T.let(list(counts), lambda a, b: found(a != b, severity, missing_or_extra(a, b, what), marks(src), marks(tgt), edits))
@@ -153,17 +179,19 @@ def _of(words: Callable[[], Column], w: Column) -> Column:
 
 @rule("accelerators")
 def _(p: Pair) -> Column:
-    kind = T.accelerator_kind(p.options.accelerator)
-    n = lambda s: F.size(T.tokens(s, p.dialect, kind))
-    spans = lambda s: T.marks(T.located(s, p.dialect, kind))
-    return compared(p, (n(p.src), n(p.tgt)), "warning", f"accelerators '{p.options.accelerator}'", lambda: spans(p.src), lambda: spans(p.tgt))
+    marker = p.options.accelerator
+    kind, own = (T.accelerator_kind(), marker) if isinstance(marker, Column) else (T.accelerator_kind(marker), None)
+    n = lambda s: F.size(T.tokens(s, p.dialect, kind, marker=own))
+    spans = lambda s: T.marks(T.located(s, p.dialect, kind, own))
+    what = F.concat(F.lit("accelerators '"), marker if isinstance(marker, Column) else F.lit(marker), F.lit("'"))
+    return compared(p, (n(p.src), n(p.tgt)), "warning", what, lambda: spans(p.src), lambda: spans(p.tgt))
 
 
 @rule("acronyms", default=False)
 def _(p: Pair) -> Column:
     kept = F.array_except(T.acronyms(p.src, p.dialect), T.acronyms(p.tgt, p.dialect))
-    if p.options.force_trans:
-        kept = F.filter(kept, lambda a: ~F.lower(a).isin([w.lower() for w in p.options.force_trans]))
+    if given(p.options.force_trans):
+        kept = F.filter(kept, lambda a: ~is_listed(a, p.options.force_trans))
     where = (lambda a: _of(lambda: T.located(p.src, p.dialect, "acronym"), a)) if p.with_marks else None
     return each(F.array_sort(kept), "warning", lambda a: F.concat(F.lit("acronym '"), a, F.lit("' must not be translated")), where)
 
@@ -312,10 +340,9 @@ def _(p: Pair) -> Column:
 
 @rule("force-trans", default=False)
 def _(p: Pair) -> Column:
-    listed = [w.lower() for w in p.options.force_trans]
-    if not listed:
+    if not given(p.options.force_trans):
         return T.none(FINDING)
-    own = F.array_distinct(F.filter(T.words(p.src, p.dialect), lambda w: F.lower(w).isin(listed)))
+    own = F.array_distinct(F.filter(T.words(p.src, p.dialect), lambda w: is_listed(w, p.options.force_trans)))
     kept = F.array_intersect(T.words(p.tgt, p.dialect), own)
     where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in (p.src, p.tgt)]
     return each(kept, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must be translated")), *where)
@@ -426,8 +453,7 @@ def _(p: Pair) -> Column:
 
 @rule("no-trans", default=False)
 def _(p: Pair) -> Column:
-    listed = [w.lower() for w in p.options.no_trans]
-    if not listed:
+    if not given(p.options.no_trans):
         return T.none(FINDING)
     n = lambda words, w: F.size(F.filter(words, lambda x: x == w))
 
@@ -437,7 +463,7 @@ def _(p: Pair) -> Column:
         where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in (p.src, p.tgt)]
         return each(bad, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must not be translated ("), n(a, w), F.lit(" in source, "), n(b, w), F.lit(" in translation)")), *where)
 
-    only = lambda s: F.filter(T.words(s, p.dialect), lambda w: F.lower(w).isin(listed))
+    only = lambda s: F.filter(T.words(s, p.dialect), lambda w: is_listed(w, p.options.no_trans))
     return T.let([only(p.src), only(p.tgt)], build)
 
 
@@ -471,7 +497,9 @@ def _normal_punctuation(p: Pair, run: Column) -> Column:
     out = F.regexp_replace(run, r"(?U)\s+", "")
     out = F.translate(out, "\uff1a\uff1b\u061b\u3002\u0964\u0965\u17d4\u104b\u0589\uff0c\u060c\u3001\uff01\uff1f\u061f", ":;;......,,,!??")
     out = F.when(p.row("language_code") == "el", F.translate(out, "?", ";")).otherwise(out)
-    return F.replace(out, F.lit("..."), F.lit("\u2026")) if p.options.punc_ignore_ellipsis else out
+    alike = F.replace(out, F.lit("..."), F.lit("\u2026"))
+    ignored = p.options.punc_ignore_ellipsis
+    return F.when(ignored, alike).otherwise(out) if isinstance(ignored, Column) else alike if ignored else out
 
 
 def _punctuation(p: Pair, edge: Callable[[Column], Column], build: Callable[..., Column]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.rules import FINDING, RULES, Options, Pair, Rule, select_rules
+from ..operators.rules import FINDING, RULES, Options, Pair, RowOptions, Rule, select_rules
 
 #: Languages that may have a dictionary.
 MAX_LANGUAGES = 1_000
@@ -29,17 +29,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def gate(entries: DataFrame, options: Options, rules: list[Rule]) -> DataFrame:
+def gate(entries: DataFrame, options: Options | RowOptions, rules: list[Rule]) -> DataFrame:
     """Entries that rules see: an entry state is skipped unless its option or its rule is on."""
     names = {r.name for r in rules}
-    keep = F.col("is_header")
-    body = F.lit(True)
-    if "untranslated" not in names:
-        body &= F.col("is_translated")
+    on = lambda name: F.array_contains("rules", name) if isinstance(options, RowOptions) else F.lit(name in names)
+    body = on("untranslated") | F.col("is_translated")
     for state in ("fuzzy", "noqa", "obsolete"):
-        if not getattr(options, state) and state not in names:
-            body &= ~F.col(state)
-    return entries.filter(keep | body)
+        asked = getattr(options, state)
+        body &= (asked if isinstance(options, RowOptions) else F.lit(asked)) | on(state) | ~F.col(state)
+    return entries.filter(F.col("is_header") | body)
 
 
 def pairs(entries: DataFrame) -> DataFrame:
@@ -50,9 +48,10 @@ def pairs(entries: DataFrame) -> DataFrame:
     return rows.withColumns({"pair_idx": F.col("part.idx"), "src": src, "tgt": F.col("part.value"), "pair_line": F.col("part.line_number"), "pair_start": F.col("part.byte_start"), "pair_end": F.col("part.byte_end")}).drop("part")
 
 
-def _applies(r: Rule, names: set[str]) -> Column:
-    """Whether a rule looks at a row: its hook, and what noqa says."""
+def _applies(r: Rule, by_row: bool) -> Column:
+    """Whether a rule looks at a row: its hook, what noqa says, and whether the row's options have it."""
     allowed = F.lit(True) if r.name == "noqa" else ~(F.col("noqa") | F.array_contains("noqa_rules", r.name))
+    allowed = allowed & F.array_contains("rules", r.name) if by_row else allowed
     first = F.col("pair_idx") == 0
     if r.hook == "header":
         return allowed & F.col("is_header") & first
@@ -78,8 +77,10 @@ def resolve_language(language: Column, listed: list[str]) -> Column:
     return F.when(language.isin(listed), language).when(short.isin(listed), short)
 
 
-def checked_language(language: Column, options: Options) -> Column:
+def checked_language(language: Column, options: Options | RowOptions) -> Column:
     """The language, or null where the options leave it out."""
+    if isinstance(options, RowOptions):
+        return F.when((F.size(options.langs) == 0) | F.array_contains(options.langs, language), language)
     return F.when(language.isin(list(options.langs)), language) if options.langs else language
 
 
@@ -91,9 +92,20 @@ def _misspelled(rows: DataFrame, dictionaries: DataFrame, personal: DataFrame |
     words are shuffled; distinct words are looked up, so a word of any number of texts is looked
     up once per language. Texts are joined with the words found, of the few rows that have any.
     """
-    text, language = {"ctxt": (F.col("msgctxt.value"), F.lit(options.lang_id)), "id": (F.col("src"), F.lit(options.lang_id)), "str": (F.col("tgt"), F.col("language"))}[where]
+    by_row = isinstance(options, RowOptions)
+    of_source = options.lang_id if by_row else F.lit(options.lang_id)
+    text, language = {"ctxt": (F.col("msgctxt.value"), of_source), "id": (F.col("src"), of_source), "str": (F.col("tgt"), F.col("language"))}[where]
     language, keys = checked_language(language, options), ["path", "entry_idx", "pair_idx"]
-    own = resolve_language(language, list_languages(personal)) if personal is not None else F.lit(None).cast("string")
+    if by_row:
+        rows = rows.filter(F.array_contains("rules", f"spelling-{where}"))
+    own = F.lit(None).cast("string")
+    if personal is not None and "own_languages" in rows.columns:
+        # Personal words of a row's folder are named by folder and language.
+        short = F.substring_index(language, "_", 1)
+        own = F.when(F.array_contains("own_languages", language), language).when(F.array_contains("own_languages", short), short)
+        own = F.concat(options.path_words, F.lit("\n"), own)
+    elif personal is not None:
+        own = resolve_language(language, list_languages(personal))
     found = F.filter(F.array_distinct(T.words(F.coalesce(text, F.lit("")), F.col("format_language"))), lambda w: ~w.rlike("[0-9]") & ~w.rlike(r"^[A-Z]{2,}\z"))
     words = rows.select(*keys, resolve_language(language, list_languages(dictionaries)).alias("listed"), own.alias("own"), found.alias("words")).filter("listed is not null")
     words = words.select(*keys, "listed", "own", F.explode("words").alias("word"))
@@ -116,7 +128,20 @@ def check(entries: DataFrame, options: Options | None = None, dictionaries: Data
     Without ``marks`` findings have no marks, and edits are not to be relied on: for counts.
     """
     options = options or Options()
-    rules = [r for r in select_rules(options.select, options.ignore) if r.hook != "file"]
+    return _check(entries, options, select_rules(options.select, options.ignore), dictionaries, marks, personal)
+
+
+def check_by_row(entries: DataFrame, names: set[str], dictionaries: DataFrame | None = None, marks: bool = True, personal: DataFrame | None = None) -> DataFrame:
+    """As ``check``, for entries with options of their own: columns ``options`` (see rules.OPTIONS) and ``rules`` (the selected ones, all of them in ``names``).
+
+    With ``personal``, entries may have ``own_languages``: those that their folder of personal
+    words (option ``path_words``) has; ``personal`` then names its lists folder, line feed, language.
+    """
+    return _check(entries, RowOptions(F.col("options")), [RULES[n] for n in sorted(names)], dictionaries, marks, personal)
+
+
+def _check(entries: DataFrame, options: Options | RowOptions, rules: list[Rule], dictionaries: DataFrame | None, marks: bool, personal: DataFrame | None) -> DataFrame:
+    rules = [r for r in rules if r.hook != "file"]
     if dictionaries is None:
         rules = [r for r in rules if not r.name.startswith("spelling-")]
     rows = barrier(pairs(gate(entries, options, rules)))
@@ -132,20 +157,22 @@ def _labelled(r: Rule) -> Callable[[Column], Column]:
     return lambda f: F.struct(F.lit(r.name).alias("rule"), F.lit(r.safe).cast("boolean").alias("safe"), f.alias("finding"))
 
 
-def run_rules(rows: DataFrame, rules: list[Rule], options: Options, marks: bool = True) -> DataFrame:
+def run_rules(rows: DataFrame, rules: list[Rule], options: Options | RowOptions, marks: bool = True) -> DataFrame:
     pair = Pair(F.col("src"), F.col("tgt"), F.col, options, marks)
-    names = {r.name for r in rules}
+    by_row = isinstance(options, RowOptions)
     if not rules:
         return rows.select(*_columns(F.lit(None).cast(f"struct<rule:string,safe:boolean,finding:{FINDING}>"))).limit(0)
     groups = [rules[k : k + FAMILY] for k in range(0, len(rules), FAMILY)]
     for k, group in enumerate(groups):
         parts = []
         for r in group:
-            result = F.when(_applies(r, names), r.build(pair)).otherwise(T.none(FINDING)).cast(f"array<{FINDING}>")
+            result = F.when(_applies(r, by_row), r.build(pair)).otherwise(T.none(FINDING)).cast(f"array<{FINDING}>")
             parts.append(F.transform(result, _labelled(r)))
         rows = rows.withColumn(f"__found_{k}", reduce(F.concat, parts) if len(parts) > 1 else parts[0])
     everything = F.concat(*[F.col(f"__found_{k}") for k in range(len(groups))])
-    out = barrier(rows.withColumn("__all", everything)).withColumn("__one", F.explode("__all")).select(*_columns(F.col("__one")))
+    out = barrier(rows.withColumn("__all", everything)).withColumn("__one", F.explode("__all")).select(*_columns(F.col("__one")), *([options.severity.alias("__severity")] if by_row else []))
+    if by_row:
+        return out.filter((F.size("__severity") == 0) | F.array_contains("__severity", F.col("severity"))).drop("__severity")
     return out.filter(F.col("severity").isin(*options.severity)) if options.severity else out
 
 
@@ -157,7 +184,7 @@ def _columns(one: Column) -> list[Column]:
     ]
 
 
-def problem(rows: DataFrame, rule: str, severity: str, message: Column) -> DataFrame:
+def problem(rows: DataFrame, rule: str | Column, severity: str | Column, message: Column) -> DataFrame:
     """A diagnostic of a file as a whole for each row with a path."""
     empty = {"entry_idx": F.lit(-1), "pair_idx": F.lit(0), "rule": F.lit(rule), "severity": F.lit(severity), "message": message, "line_number": F.lit(0), "src": F.lit(""), "tgt": F.lit("")}
     empty |= {"src_marks": T.none(T.MARK), "tgt_marks": T.none(T.MARK), "edits": T.none(T.EDIT), "safe": F.lit(None).cast("boolean"), "byte_start": F.lit(0).cast("long"), "byte_end": F.lit(0).cast("long")}

@@ -5,6 +5,7 @@ Problems with files and settings are rows like any diagnostic, so one bad file e
 
 from __future__ import annotations
 
+import dataclasses
 import tomllib
 from collections.abc import Iterator
 from functools import reduce
@@ -13,16 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rules import Options, select_rules
+from ..operators.rules import OPTIONS, Options, RowOptions, select_rules
 from ..shared import cut
 from ..sources import config, po
 from ..sources.listing import is_mounted
-from ..sources.words import personal_words, word_list
-from .check import check, checked_language, list_languages, problem, resolve_language
-
-#: Different configurations below the roots; each is a plan of its own.
-MAX_CONFIGS = 200
-
+from ..sources.words import languages_of, listed_words
+from .check import check_by_row, checked_language, list_languages, problem, resolve_language
 
 def folders(path: Column) -> Column:
     """The folders above a path, the nearest first."""
@@ -43,35 +40,24 @@ def nearest_configs(files: DataFrame, configs: DataFrame, names: tuple[str, ...]
     return files.select("path").join(near, "path", "left").select("path", "found.config_path", "found.toml")
 
 
-def missing_dictionaries(entries: DataFrame, dictionaries: DataFrame, options: Options) -> DataFrame:
-    """A warning per file whose spelling can't be checked because no word list serves its language."""
-    names = {r.name for r in select_rules(options.select, options.ignore)}
-    listed, headers = list_languages(dictionaries), entries.filter("is_header").select("path", F.col("language").alias("wanted")).distinct()
-    say = lambda c: F.concat(F.lit("dictionary not found for language '"), c, F.lit(f"' (path: {options.path_dicts}), spelling rule ignored"))
-    parts = []
-    if names & {"spelling-ctxt", "spelling-id"}:
-        own = headers.select("path", checked_language(F.lit(options.lang_id), options).alias("wanted")).distinct()
-        parts.append(("spelling-ctxt-id", own))
-    if "spelling-str" in names:
-        parts.append(("spelling-str", headers.select("path", checked_language(F.col("wanted"), options).alias("wanted"))))
-    lacking = [problem(rows.filter(F.col("wanted").isNotNull() & resolve_language(F.col("wanted"), listed).isNull()), rule, "warning", say(F.col("wanted"))) for rule, rows in parts]
-    return reduce(DataFrame.union, lacking, problem(headers.limit(0), "spelling-str", "warning", F.lit("")))
-
-
-def listed_words(spark: SparkSession, options: Options) -> tuple[Options, list[tuple[str, str]]]:
-    """Options with the words of their list files, and (rule, message) for files that can't be read."""
-    given, problems = {}, []
-    names = {r.name for r in select_rules(options.select, options.ignore)}
-    for rule, field in (("force-trans", "force_trans"), ("no-trans", "no_trans")):
-        path = getattr(options, f"{field}_file")
-        if path is None or rule not in names:
-            continue
-        try:
-            given[field] = (*getattr(options, field), *(r[0] for r in word_list(spark, path).sort("word").toLocalIterator()))  # a configuration's list
-        except Exception as e:  # noqa: BLE001  whatever the file system says
-            why = str(e).splitlines()[0][:200]
-            problems.append((rule, f"words file not found for rule '{rule}' (path: {path}): {why}, {rule} rule ignored"))
-    return Options(**{**config.as_dict(options), **given}), problems
+def missing_dictionaries(entries: DataFrame, dictionaries: DataFrame, options: Options | None = None) -> DataFrame:
+    """A warning per file whose spelling can't be checked because no word list serves its language.
+
+    Without ``options``, entries have their own (see ``check.check_by_row``).
+    """
+    own = RowOptions(F.col("options")) if options is None else options
+    value = lambda v: v if options is None else F.lit(v)
+    names = None if options is None else {r.name for r in select_rules(options.select, options.ignore)}
+    on = lambda *rules: F.arrays_overlap("rules", F.array(*map(F.lit, rules))) if names is None else F.lit(bool(names & set(rules)))
+    listed = list_languages(dictionaries)
+    headers = entries.filter("is_header")
+    asked = [("spelling-ctxt-id", on("spelling-ctxt", "spelling-id"), checked_language(value(own.lang_id), own)), ("spelling-str", on("spelling-str"), checked_language(F.col("language"), own))]
+    lacking = []
+    for rule, selected, language in asked:
+        rows = headers.filter(selected).select("path", language.alias("wanted"), value(own.path_dicts).alias("folder")).distinct()
+        rows = rows.filter(F.col("wanted").isNotNull() & resolve_language(F.col("wanted"), listed).isNull())
+        lacking.append(problem(rows, rule, "warning", F.concat(F.lit("dictionary not found for language '"), "wanted", F.lit("' (path: "), "folder", F.lit("), spelling rule ignored"))))
+    return reduce(DataFrame.union, lacking)
 
 
 def read_configs(files: DataFrame, names: tuple[str, ...] = config.NAMES) -> DataFrame:
@@ -93,59 +79,106 @@ def read_configs(files: DataFrame, names: tuple[str, ...] = config.NAMES) -> Dat
     return above.filter(F.col("folder").startswith("/") | F.col("folder").startswith("file:") | (F.col("folder") == "")).mapInArrow(run, "path string, toml string")
 
 
-def check_files(spark: SparkSession, *roots: str, dictionaries: DataFrame | None = None, personal: DataFrame | None = None, names: tuple[str, ...] = config.NAMES, **overrides) -> DataFrame:
-    """Diagnostics of all catalogues below the roots, each under the configuration of its nearest folder.
+_LOADED = f"config string, options {OPTIONS}, rules array<string>, json string, own_languages array<string>, problems array<struct<rule:string,severity:string,message:string>>"
+
+
+def load_configs(configs: DataFrame, **overrides) -> DataFrame:
+    """Configurations (config_path, toml) as a dimension: config, options (rules.OPTIONS), rules, json, own_languages, problems.
 
-    Files of one configuration are one plan; there are at most ``MAX_CONFIGS``. Unreadable files,
-    invalid configurations and unknown rules give rows (read-error, config-error, rules-error),
-    as do word lists and dictionaries that are missing.
+    A row each, whatever their number; files of words that they name are read by the same task. Of an invalid one
+    only ``problems`` is there.
     """
+    fields = [f.name for f in dataclasses.fields(Options)]
+
+    def load(where: str | None, toml: str | None) -> dict:
+        row = {"config": where or "", "problems": []}
+        try:
+            options = config.load(toml or "", base=where and where.rpartition("/")[0], **overrides)
+        except (ValueError, TypeError, tomllib.TOMLDecodeError) as e:
+            row["problems"].append({"rule": "config-error", "severity": "error", "message": f"invalid config file (path: {where}): {e}"})
+            return row
+        try:
+            rules = [r.name for r in select_rules(options.select, options.ignore)]
+        except ValueError as e:
+            row["problems"].append({"rule": "rules-error", "severity": "error", "message": str(e)})
+            return row
+        values = config.as_dict(options)
+        for rule, field in (("force-trans", "force_trans"), ("no-trans", "no_trans")):
+            values[field] = [w.lower() for w in values[field]]
+            path = values[f"{field}_file"]
+            if path is not None and rule in rules:
+                try:
+                    values[field] += listed_words(po.local(path))
+                except OSError as e:
+                    row["problems"].append({"rule": rule, "severity": "warning", "message": f"words file not found for rule '{rule}' (path: {path}): {e.strerror}, {rule} rule ignored"})
+        return row | {"options": {k: list(v) if isinstance(v, tuple) else v for k, v in values.items()}, "rules": rules, "json": config.as_json(options), "own_languages": languages_of(options.path_words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {f.name: pa.list_(pa.string()) if f.type.startswith("tuple") else {"bool": pa.bool_(), "int": pa.int32()}.get(f.type, pa.string()) for f in dataclasses.fields(Options)}
+        strings = pa.list_(pa.string())
+        arrow = pa.schema([("config", pa.string()), ("options", pa.struct([(n, kinds[n]) for n in fields])), ("rules", strings), ("json", pa.string()), ("own_languages", strings), ("problems", pa.list_(pa.struct([(n, pa.string()) for n in ("rule", "severity", "message")])))])
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([load(r["config_path"], r["toml"]) for r in batch.to_pylist()], arrow)
+
+    return configs.select("config_path", "toml").mapInArrow(run, _LOADED)
+
+
+def _personal(configs: DataFrame) -> DataFrame:
+    """(language, word) of the folders of personal words that options name; a language is named folder, line feed, language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                for language in languages_of(folder):
+                    with open(f"{po.local(folder)}/{language}.dic", encoding="utf-8", errors="replace") as f:
+                        words = [w for line in f if (w := line.rstrip("\r\n"))]
+                    yield pa.RecordBatch.from_pylist([{"language": f"{folder}\n{language}", "word": w} for w in words], pa.schema([("language", pa.string()), ("word", pa.string())]))
+
+    return configs.select(F.col("options.path_words").alias("folder")).filter("folder is not null").distinct().mapInArrow(run, "language string, word string")
+
+
+def _configured(spark: SparkSession, roots: tuple[str, ...], names: tuple[str, ...], overrides: dict) -> tuple[DataFrame, DataFrame]:
+    """(files with their config, configurations), both written."""
     files = cut(po.list_files(spark, *roots))
     configs = read_configs(files, names)
     stores = [r for r in roots if not is_mounted(r)]
     configs = configs.union(po.read_texts(spark, *stores, names=names)) if stores else configs
-    of_file = cut(nearest_configs(files, configs, names))
-    distinct = of_file.select("config_path", "toml").distinct().limit(MAX_CONFIGS + 1).collect()
-    if len(distinct) > MAX_CONFIGS:
-        raise ValueError(f"more than {MAX_CONFIGS} configurations below {', '.join(roots)}")
+    of_file = cut(files.join(nearest_configs(files, configs, names), "path").withColumn("config", F.coalesce("config_path", F.lit(""))))
+    return of_file, cut(load_configs(of_file.select("config_path", "toml").distinct(), **overrides))
+
+
+def check_files(spark: SparkSession, *roots: str, dictionaries: DataFrame | None = None, personal: DataFrame | None = None, names: tuple[str, ...] = config.NAMES, **overrides) -> DataFrame:
+    """Diagnostics of all catalogues below the roots, each under the configuration of its nearest folder.
+
+    Options are a dimension: whatever the number of configurations, files are read once, in one plan.
+    Unreadable files, invalid configurations and unknown rules give rows (read-error, config-error,
+    rules-error), as do word lists and dictionaries that are missing.
+    """
+    files, configs = _configured(spark, roots, names, overrides)
     bad = cut(po.unreadable(files))
+    told = files.join(configs.select("config", F.explode("problems").alias("p")), "config").select("path", "p.*")
     out = [problem(bad, "read-error", "error", F.col("error"))]
-    for where, toml in distinct:
-        own = of_file.filter(F.col("config_path").eqNullSafe(F.lit(where))).select("path")
-        try:
-            options = config.load(toml or "", base=where and where.rpartition("/")[0], **overrides)
-        except (ValueError, TypeError, tomllib.TOMLDecodeError) as e:
-            out.append(problem(own, "config-error", "error", F.lit(f"invalid config file (path: {where}): {e}")))
-            continue
-        try:
-            select_rules(options.select, options.ignore)
-        except ValueError as e:
-            out.append(problem(own, "rules-error", "error", F.lit(str(e))))
-            continue
-        options, problems = listed_words(spark, options)
-        out += [problem(own, rule, "warning", F.lit(message)) for rule, message in problems]
-        entries = po.read_listed(files.join(own, "path", "left_semi").join(bad, "path", "left_anti"))
-        spelling = dictionaries is not None and any(r.name.startswith("spelling-") for r in select_rules(options.select, options.ignore))
-        words = personal_words(spark, options.path_words) if spelling and personal is None and options.path_words else personal
-        out.append(check(entries, options, dictionaries, personal=words))
-        if dictionaries is not None:
-            out.append(missing_dictionaries(entries, dictionaries, options))
+    out.append(problem(told, F.col("rule"), F.col("severity"), F.col("message")))
+    good = configs.filter("options is not null")
+    selected = {r[0] for r in good.select(F.explode("rules")).distinct().collect()}  # rules there are
+    if not selected:
+        return reduce(DataFrame.union, out)
+    entries = po.read_listed(files.join(bad, "path", "left_anti").join(good.select("config"), "config", "left_semi"), roots, carry="config")
+    entries = entries.join(good.select("config", "options", "rules", "own_languages"), "config")
+    if personal is None:
+        personal = _personal(good)
+    else:
+        entries = entries.drop("own_languages")
+    out.append(check_by_row(entries, selected, dictionaries, personal=personal))
+    if dictionaries is not None:
+        out.append(missing_dictionaries(entries, dictionaries))
     return reduce(DataFrame.union, out)
 
 
 def settings(spark: SparkSession, *roots: str, names: tuple[str, ...] = config.NAMES, **overrides) -> DataFrame:
     """path, config_path, settings (JSON), rules of every file: what ``check_files`` would use; null where the configuration is invalid."""
-    files = cut(po.list_files(spark, *roots))
-    of_file = nearest_configs(files, read_configs(files, names), names)
-    known = []
-    for where, toml in of_file.select("config_path", "toml").distinct().limit(MAX_CONFIGS).collect():
-        try:
-            options = config.load(toml or "", base=where and where.rpartition("/")[0], **overrides)
-            known.append((where, config.as_json(options), [r.name for r in select_rules(options.select, options.ignore)]))
-        except (ValueError, TypeError):
-            known.append((where, None, None))
-    table = F.broadcast(spark.createDataFrame(known, "known string, settings string, rules array<string>"))  # at most MAX_CONFIGS rows
-    return of_file.join(table, F.col("config_path").eqNullSafe(F.col("known")), "left").select("path", "config_path", "settings", "rules")
+    files, configs = _configured(spark, roots, names, overrides)
+    return files.join(configs.select("config", F.col("json").alias("settings"), "rules"), "config", "left").select("path", "config_path", "settings", "rules")
 
 
-__all__ = ["check_files", "listed_words", "missing_dictionaries", "nearest_configs", "settings"]
+__all__ = ["check_files", "load_configs", "missing_dictionaries", "nearest_configs", "settings"]

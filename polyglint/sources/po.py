@@ -199,24 +199,24 @@ _ARROW = pa.schema([
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
-def _batches(entries: Iterator[tuple[str, dict]]) -> Iterator[pa.RecordBatch]:
-    """Entries of any number of files, gathered."""
+def _batches(entries: Iterator[tuple[dict, dict]], schema_: pa.Schema = _ARROW) -> Iterator[pa.RecordBatch]:
+    """Entries of any number of files, gathered; with each, what else its row has."""
     rows, size = [], 0
-    for path, e in entries:
-        rows.append({"path": path, **e})
+    for more, e in entries:
+        rows.append(more | e)
         size += e["byte_end"] - e["byte_start"]
         if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            yield pa.RecordBatch.from_pylist(rows, schema_)
             rows, size = [], 0
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+        yield pa.RecordBatch.from_pylist(rows, schema_)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """Entries of (path, content) rows: files read before, or buffers that were never on disk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches((path, e) for batch in batches for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) for e in parse(content or b""))
+        yield from _batches(({"path": path}, e) for batch in batches for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()) for e in parse(content or b""))
 
     return files.select("path", "content").mapInArrow(run, schema.ENTRY)
 
@@ -300,21 +300,26 @@ def ranges_of(files: DataFrame, size: int = RANGE) -> DataFrame:
     return one.select("path", "start", "end", zero.alias("lines"), zero.alias("n"), F.array().cast("array<binary>").alias("headers")).union(placed)
 
 
-def parse_ranges(ranges: DataFrame) -> DataFrame:
-    """Entries of ranges (see ``ranges_of``), each parsed where its row is. Files that can't be read have none; see ``unreadable``."""
+def parse_ranges(ranges: DataFrame, carry: str | None = None) -> DataFrame:
+    """Entries of ranges (see ``ranges_of``), each parsed where its row is. Files that can't be read have none; see ``unreadable``.
 
-    def of_row(row: dict) -> Iterator[tuple[str, dict]]:
+    ``carry``: a column of strings that the entries of a range keep.
+    """
+    arrow = _ARROW.append(pa.field(carry, pa.string())) if carry else _ARROW
+
+    def of_row(row: dict) -> Iterator[tuple[dict, dict]]:
         try:
             part = Part.read(local(row["path"]), row["start"], row["end"])
         except OSError:
             return
+        more = {"path": row["path"]} | ({carry: row[carry]} if carry else {})
         for e in part.entries(row["lines"], row["n"], row["headers"]):
-            yield row["path"], e
+            yield more, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(pair for batch in batches for row in batch.to_pylist() for pair in of_row(row))
+        yield from _batches((pair for batch in batches for row in batch.to_pylist() for pair in of_row(row)), arrow)
 
-    return ranges.mapInArrow(run, schema.ENTRY)
+    return ranges.mapInArrow(run, schema.ENTRY + (f", {carry} string" if carry else ""))
 
 
 def local(path: str) -> str:
@@ -354,16 +359,22 @@ def read_catalogues(spark: SparkSession, *roots: str, size: int = RANGE) -> Data
     return read_listed(list_files(spark, *roots), roots, size)
 
 
-def read_listed(files: DataFrame, roots: tuple[str, ...] = (), size: int = RANGE) -> DataFrame:
-    """Entries of files (path, length) that ``list_files`` gave for ``roots``: mounted ones by ranges of bytes, those of other stores whole."""
+def read_listed(files: DataFrame, roots: tuple[str, ...] = (), size: int = RANGE, carry: str | None = None) -> DataFrame:
+    """Entries of files (path, length) that ``list_files`` gave for ``roots``: mounted ones by ranges of bytes, those of other stores whole.
+
+    ``carry``: a column of ``files`` (strings) that entries keep.
+    """
     spark = files.sparkSession
-    spread = spark.sparkContext.defaultParallelism * 4
-    entries = parse_ranges(ranges_of(files.filter(_MOUNTED), size).repartition(spread, "path", "start"))
+    more = [carry] if carry else []
+    ranges = ranges_of(files.filter(_MOUNTED), size)
+    ranges = ranges.join(files.select("path", carry), "path") if carry else ranges  # paths only
+    entries = parse_ranges(ranges.repartition(spark.sparkContext.defaultParallelism * 4, "path", "start"), carry)
     others = tuple(r for r in roots if not is_mounted(r))
     if not others:
         return entries
     found = _files(spark, others, "*.po").filter(F.col("length") < MOST_BYTES).select("path", "content").join(files.select("path"), "path", "left_semi")
-    return entries.union(parse_files(found))
+    far = parse_files(found)
+    return entries.union(far.join(files.select("path", *more), "path").select(entries.columns) if carry else far)
 
 
 def read_contents(files: DataFrame) -> DataFrame:
@@ -435,4 +446,4 @@ class _Reader(DataSourceReader):
         for k in range(0, start, self.size):
             found = Part.read(path, k, min(k + self.size, length)).survey()
             lines, n, headers = lines + found[0], n + found[1], headers + found[2]
-        yield from _batches((path, e) for e in Part.read(path, start, min(start + self.size, length)).entries(lines, n, headers))
+        yield from _batches(({"path": path}, e) for e in Part.read(path, start, min(start + self.size, length)).entries(lines, n, headers))

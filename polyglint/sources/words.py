@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,19 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(line).alias("word")).filter("word <> '' and not startswith(word, '#')").distinct()
 
 
+def listed_words(path: str) -> list[str]:
+    """As ``word_list``, of one mounted file that a configuration names."""
+    with open(path, encoding="utf-8", errors="replace") as f:
+        words = (line.strip() for line in f)
+        return sorted({w.lower() for w in words if w and not w.startswith("#")})
+
+
+def languages_of(folder: str | None) -> list[str]:
+    """The languages of a mounted folder's word lists ``<language>.dic``."""
+    path = re.sub(r"^file:(?://)?", "", folder or "")
+    return sorted(n.removesuffix(".dic") for n in os.listdir(path) if n.endswith(".dic")) if path and os.path.isdir(path) else []
+
+
 def dictionary(spark: SparkSession, language: str, dic_path: str, aff_path: str | None = None) -> DataFrame:
     """(language, word) of a Hunspell word list, with prefixes and suffixes of its affix file applied.
 

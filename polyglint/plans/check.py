@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.rules import FINDING, RULES, Options, Pair, RowOptions, Rule, select_rules
+from ..sources.affixes import Lexicon
 
 #: Languages that may have a dictionary.
 MAX_LANGUAGES = 1_000
@@ -63,9 +64,9 @@ def _applies(r: Rule, by_row: bool) -> Column:
     return allowed & ~F.col("is_header") & (full | F.lit(r.name == "untranslated"))
 
 
-def list_languages(dictionaries: DataFrame) -> list[str]:
+def list_languages(dictionaries: DataFrame | Lexicon) -> list[str]:
     """The languages of a table of (language, word): configuration, so they are few."""
-    found = [r[0] for r in dictionaries.select("language").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    found = [r[0] for r in (dictionaries.languages if isinstance(dictionaries, Lexicon) else dictionaries).select("language").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages have a dictionary")
     return sorted(x for x in found if x)
@@ -110,8 +111,11 @@ def _misspelled(rows: DataFrame, dictionaries: DataFrame, personal: DataFrame |
     words = rows.select(*keys, resolve_language(language, list_languages(dictionaries)).alias("listed"), own.alias("own"), found.alias("words")).filter("listed is not null")
     words = words.select(*keys, "listed", "own", F.explode("words").alias("word"))
     bad = words.select(F.col("listed").alias("bad_listed"), F.col("own").alias("bad_own"), F.col("word").alias("bad_word")).distinct().withColumn("low", F.lower("bad_word"))
+    if isinstance(dictionaries, Lexicon):
+        known = dictionaries.known(bad.select(F.col("bad_listed").alias("language"), F.col("bad_word").alias("word")).distinct())
+        bad = bad.join(known, (F.col("bad_listed") == F.col("language")) & (F.col("bad_word") == F.col("word")), "left_anti")
     for name, lists in (("bad_listed", dictionaries), ("bad_own", personal)):
-        if lists is not None:
+        if lists is not None and not isinstance(lists, Lexicon):
             known = lists.select(F.col("language").alias("known_language"), F.lower("word").alias("known")).distinct()
             bad = bad.join(known, (F.col(name) == F.col("known_language")) & (F.col("low") == F.col("known")), "left_anti")
     same = (F.col("listed") == F.col("bad_listed")) & F.col("own").eqNullSafe(F.col("bad_own")) & (F.col("word") == F.col("bad_word"))
@@ -122,7 +126,7 @@ def _misspelled(rows: DataFrame, dictionaries: DataFrame, personal: DataFrame |
 def check(entries: DataFrame, options: Options | None = None, dictionaries: DataFrame | None = None, marks: bool = True, personal: DataFrame | None = None) -> DataFrame:
     """Diagnostics of entries (see schema.ENTRY), one row each, unsorted; DIAGNOSTIC_COLUMNS.
 
-    ``dictionaries`` and ``personal`` words are tables of (language, word); without the first, spelling rules are left out.
+    ``dictionaries`` and ``personal`` words are tables of (language, word), the first also a ``Lexicon``; without it, spelling rules are left out.
 
     A rule runs over whole texts in the JVM. The plan has no shuffle unless a spelling rule is on.
     Without ``marks`` findings have no marks, and edits are not to be relied on: for counts.

@@ -9,14 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import text as T
+from .functions.positions import editor_ranges
 from .functions.wrap import message_lines
+from .operators.ranges import overlapping, within
 from .operators.rules import HEADER_FIELDS, Options
-from .plans.check import check
-from .queries import PAIRS_SQL, doc_of_path, documents, entries
+from .plans.check import barrier, check
+from .queries import ALL_STATES, PAIRS_SQL, WORDS_RE, doc_of_path, documents, entries, words_sql
 from .shared import cut, shared_dir
+from .sources.affixes import Lexicon
 from .sources.listing import kept, rules_of
 from .sources.po import parse_files, read_catalogues
-from .sources.writer import write_entries
+from .sources.writer import escaped, write_entries
 
 #: What a rendered header has, by the length of the document's text: (field, when, value), in SQL that both engines read.
 _FIELDS = (
@@ -79,7 +83,45 @@ def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", F.md5("lines").alias("lines"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"rule_header": headers, "parsed_ranges": parsed_ranges, "listed_paths": listed_paths, "wrapped": wrapped}
+#: Ranges from two tools: places by the lengths of texts, in SQL that both engines read.
+_INNER = "SELECT coalesce(source, 'none') AS path, doc_id, CAST((doc_id * 7919 + length(coalesce(text, ''))) % 60000 AS BIGINT) AS \"start\", CAST((doc_id * 7919 + length(coalesce(text, ''))) % 60000 + doc_id % 90 AS BIGINT) AS \"end\" FROM documents"
+_OUTER = "SELECT coalesce(source, 'none') AS path, CAST(doc_id * 31 % 60000 AS BIGINT) AS \"start\", CAST(doc_id * 31 % 60000 + length(coalesce(text, '')) AS BIGINT) AS \"end\" FROM documents WHERE length(coalesce(text, '')) % 5 = 0"
+
+
+def ranges_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges that lie inside no range which is deleted, and whether they overlap others that are left."""
+    documents(spark, sf_dir)
+    inner, outer = (spark.sql(q.replace('"', "`")) for q in (_INNER, _OUTER))
+    left = cut(within(inner, outer, "left_anti"))
+    return left.join(overlapping(left).select("doc_id").withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", "path", "start", "end", F.coalesce("hit", F.lit(False)).alias("overlaps"))
+
+
+def editor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an editor underlines tabs and pipes in buffers of one entry each: columns in UTF-16 units; a character beyond the first plane stands before some texts."""
+    rows = entries(spark, sf_dir).withColumn("path", F.col("entry_idx").cast("string"))
+    odd = F.when(F.col("entry_idx") % 3 == 0, "\U0001f600 ").otherwise("")
+    rows = barrier(rows.withColumn("msgstr", F.transform("msgstr", lambda m: m.withField("value", F.when(m["value"] != "", F.concat(odd, m["value"])).otherwise("")))))
+    found = check(rows, Options(select=("pipes", "tabs"), **ALL_STATES))
+    buffers = rows.select("path", F.concat(F.lit('msgstr "'), escaped(F.get("msgstr", F.lit(0))["value"]), F.lit('"')).alias("text"))
+    return editor_ranges(found, buffers).select(F.col("entry_idx").cast("long").alias("doc_id"), "rule", "range.*")
+
+
+def misspelled_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations with words that are neither among those of documents with an even id nor one of these with an s behind it."""
+    rows = entries(spark, sf_dir)
+    words = rows.filter("entry_idx % 2 = 0 and language is not null").select("language", F.explode(T.matches(F.col("msgid.value"), T.WORD)).alias("word"))
+    stems = cut(words.select("language", F.lower("word").alias("stem"), F.array(F.lit("S")).alias("flags")).distinct())
+    languages = stems.select("language").distinct()
+    rules = languages.select("language", F.lit("SFX").alias("kind"), F.lit("S").alias("flag"), F.lit(True).alias("both"), F.lit("").alias("strip"), F.lit("s").alias("affix"), F.lit(".\\z").alias("pattern"), F.array().cast("array<string>").alias("more"))
+    none = F.lit(None).cast("string")
+    traits = languages.select("language", *(none.alias(c) for c in ("needs_affix", "forbidden", "only_compound", "compound", "first", "middle", "last")), F.lit(3).alias("least"))
+    found = check(rows, Options(select=("spelling-str",), **ALL_STATES), Lexicon(stems, rules, traits), marks=False)
+    return found.select(F.col("entry_idx").cast("long").alias("doc_id"), "rule", "severity", "message")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "rule_header": headers, "parsed_ranges": parsed_ranges, "listed_paths": listed_paths, "wrapped": wrapped, "ranges_left": ranges_left, "editor_columns": editor_columns, "rule_spelling_forms": misspelled_forms,
+}
 
 
 def _headers_sql() -> str:
@@ -101,6 +143,21 @@ SELECT path FROM q WHERE NOT contains(path, '/.h/') AND NOT starts_with(path, '/
   WHEN starts_with(path, '/s3/') AND regexp_full_match(name, 'e.\\.po') THEN false WHEN starts_with(path, '/s3/') AND ends_with(name, '.tmp.po') THEN true WHEN starts_with(path, '/s4/') AND regexp_full_match(name, 'd.*\\.po') THEN true
   WHEN regexp_full_match(name, 'd[^0-4]\\.po') THEN false WHEN starts_with(name, 'k') AND regexp_matches(path, '/s[0-9]/build/') THEN NOT ends_with(name, '.tmp.po')
   WHEN ends_with(name, '.tmp.po') THEN false ELSE true END"""
+def _editor_sql() -> str:
+    parts = []
+    for rule, sign in (("pipes", "|"), ("tabs", "\t")):
+        char = f"chr({ord(sign)})"
+        n = lambda c: f"(length({c}) - length(replace({c}, {char}, '')))"  # noqa: B023, E731
+        # A value with an escape, as a tab is, isn't in the line as it is: all of the line is underlined.
+        shown = "length(replace(replace(replace(replace(replace(t, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't'))"
+        odd = "CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END"
+        exact = f"{n('t')} > 0 AND {shown} = length(t)"
+        first, last = f"(8 + strpos(t, {char}) - 1 + {odd})", f"(8 + length(t) - strpos(reverse(t), {char}) + 1 + {odd})"
+        parts.append(f"SELECT doc_id, '{rule}' AS rule, 0::INTEGER AS start_row, CASE WHEN {exact} THEN {first} ELSE 0 END::INTEGER AS start_column, 0::INTEGER AS end_row, CASE WHEN {exact} THEN {last} ELSE {shown} + 9 + {odd} END::INTEGER AS end_column FROM p WHERE {n('src')} <> {n('t')}" + (" AND doc_id % 31 <> 0" if rule == "tabs" else ""))
+    return f"WITH p AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN chr(128512) || ' ' ELSE '' END || tgt AS t FROM ({PAIRS_SQL}) AS x WHERE NOT noqa AND tgt <> '') " + " UNION ALL ".join(parts)
+
+
+_EDITOR_SQL = _editor_sql()
 #: Greedy lines of 77 columns; the space at the end of a line counts.
 _WRAPPED_SQL = """WITH v AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')) AS v FROM documents),
 w AS (SELECT doc_id, v, string_split(v, ' ') AS w FROM v),
@@ -115,4 +172,12 @@ ORACLE_SQL: dict[str, str] = {
         md5(src) AS source, CASE WHEN doc_id % 5 = 0 THEN md5(src) END AS plural, md5(tgt) AS translation FROM ({PAIRS_SQL}) AS x""",
     "listed_paths": _LISTED_SQL,
     "wrapped": _WRAPPED_SQL,
+    "ranges_left": f"""WITH i AS ({_INNER}), o AS ({_OUTER}), l AS (SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = i.path AND o."start" <= i."start" AND i."end" <= o."end"))
+        SELECT doc_id, path, "start", "end", EXISTS (SELECT 1 FROM l m WHERE m.path = l.path AND m."start" < l."end" AND l."start" < m."end" AND NOT (m."start" = l."start" AND m."end" = l."end")) AS overlaps FROM l""",
+    "editor_columns": _EDITOR_SQL,
+    "rule_spelling_forms": f"""WITH p AS (SELECT * FROM ({PAIRS_SQL}) AS x WHERE NOT noqa AND tgt <> ''), listed AS (SELECT DISTINCT language, lower(unnest(regexp_extract_all(src, '{WORDS_RE}'))) AS word FROM ({PAIRS_SQL}) AS x WHERE doc_id % 2 = 0 AND language IS NOT NULL),
+        w AS (SELECT DISTINCT doc_id, language, unnest({words_sql('tgt')}) AS word FROM p),
+        s AS (SELECT *, lower(word) AS low, word = lower(word) OR word = upper(word) OR word = upper(substr(word, 1, 1)) || lower(substr(word, 2)) AS plain FROM w WHERE NOT regexp_matches(word, '[0-9]') AND NOT regexp_full_match(word, '[A-Z]{{2,}}') AND language IN (SELECT language FROM listed)),
+        bad AS (SELECT doc_id, s.word FROM s WHERE NOT plain OR (NOT EXISTS (SELECT 1 FROM listed l WHERE l.language = s.language AND l.word = s.low) AND NOT (ends_with(low, 's') AND length(low) > 1 AND EXISTS (SELECT 1 FROM listed l WHERE l.language = s.language AND l.word = substr(s.low, 1, length(s.low) - 1)))))
+        SELECT doc_id, 'spelling-str' AS rule, 'info' AS severity, 'misspelled words in translation: ' || string_agg(word, ', ' ORDER BY word) AS message FROM bad GROUP BY doc_id""",
 }

@@ -18,6 +18,7 @@ from ..shared import cut
 from ..sources import encodings, po
 from ..sources.writer import write_contents
 from .fixes import fix_translations, obsolete_entries
+from .ranges import within
 from .rules import Options
 
 
@@ -26,11 +27,19 @@ def replacements(entries: DataFrame, diagnostics: DataFrame, unsafe: bool = Fals
 
     A translation inside an entry that goes is left alone.
     """
-    gone = obsolete_entries(diagnostics)
-    of_entry = entries.select("path", "entry_idx", "byte_start", "byte_end", F.col("encoding_name").alias("encoding"))
-    deleted = of_entry.join(gone, ["path", "entry_idx"], "left_semi").select("path", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), F.lit(None).cast("string").alias("value"), "encoding")
-    fixed = fix_translations(diagnostics, unsafe).join(gone, ["path", "entry_idx"], "left_anti").select("path", "entry_idx", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), F.col("fixed").alias("value"))
-    return fixed.join(of_entry.select("path", "entry_idx", "encoding"), ["path", "entry_idx"]).select("path", "start", "end", "value", "encoding").union(deleted)
+    gone = entries.join(obsolete_entries(diagnostics), ["path", "entry_idx"], "left_semi").select("path", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"))
+    fixed = fix_translations(diagnostics, unsafe).select("path", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), F.col("fixed").alias("value"))
+    return placed(entries, fixed, gone)
+
+
+def placed(entries: DataFrame, fixed: DataFrame, gone: DataFrame) -> DataFrame:
+    """As ``replacements``, from ranges that any tool may have found: new values of translations (path, start, end, value), and what goes (path, start, end).
+
+    A value goes where a translation of the entries stands exactly; others, and those inside a range that goes, are left out.
+    """
+    texts = entries.select("path", F.explode("msgstr").alias("m"), F.col("encoding_name").alias("encoding")).select("path", F.col("m.byte_start").alias("start"), F.col("m.byte_end").alias("end"), "encoding")
+    changed = within(fixed, gone, "left_anti").join(texts, ["path", "start", "end"]).select("path", "start", "end", "value", "encoding")
+    return changed.union(gone.distinct().select("path", "start", "end", F.lit(None).cast("string"), F.lit(encodings.UTF_8)))
 
 
 def block(original: bytes, value: str, encoding: str, page: int = PAGE_WIDTH) -> bytes:

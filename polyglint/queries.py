@@ -110,7 +110,7 @@ def _occurrences(c: str, what: str) -> str:
 
 _WS = r"[\t\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ANY_WS = _WS.replace("[", r"[\n", 1)
-_WORDS = r"[\p{L}\p{N}ʼ][\p{L}\p{N}ʼ''’-]*"
+WORDS_RE = r"[\p{L}\p{N}ʼ][\p{L}\p{N}ʼ''’-]*"
 
 
 def _trim(c: str) -> str:
@@ -206,9 +206,9 @@ def _plain(c: str) -> str:
     return f"CASE WHEN flag = 'c-format' THEN regexp_replace({c}, '{_SPEC}', chr(1), 'g') ELSE {c} END"
 
 
-def _words(c: str) -> str:
+def words_sql(c: str) -> str:
     """Words; one after an apostrophe doesn't keep one at its end."""
-    group = lambda n: f"regexp_extract_all({_plain(c)}, '([^\\p{{L}}\\p{{N}}ʼ]*)({_WORDS})', {n})"
+    group = lambda n: f"regexp_extract_all({_plain(c)}, '([^\\p{{L}}\\p{{N}}ʼ]*)({WORDS_RE})', {n})"
     return f"list_transform(list_zip({group(1)}, {group(2)}), lambda z: CASE WHEN contains(z[1], chr(39)) AND ends_with(z[2], chr(39)) THEN substr(z[2], 1, length(z[2]) - 1) ELSE z[2] END)"
 
 
@@ -231,7 +231,7 @@ def _formats_sql() -> str:
 
 
 def _double_words_sql() -> str:
-    base = _BASE + f", w AS (SELECT doc_id, regexp_extract_all({_plain('tgt')}, '{_WORDS}') AS w, regexp_split_to_array({_plain('tgt')}, '{_WORDS}') AS g FROM p), k AS (SELECT doc_id, w[i] AS x, w[i + 1] AS y, g[i + 1] AS gap FROM (SELECT doc_id, w, g, unnest(range(1, len(w))) AS i FROM w))"
+    base = _BASE + f", w AS (SELECT doc_id, regexp_extract_all({_plain('tgt')}, '{WORDS_RE}') AS w, regexp_split_to_array({_plain('tgt')}, '{WORDS_RE}') AS g FROM p), k AS (SELECT doc_id, w[i] AS x, w[i + 1] AS y, g[i + 1] AS gap FROM (SELECT doc_id, w, g, unnest(range(1, len(w))) AS i FROM w))"
     return _sql("double-words", "info", "'word ''' || x || ''' is repeated'", f"x = y AND regexp_full_match(gap, '{_ANY_WS}+')", base, "k")
 
 
@@ -256,7 +256,7 @@ def _space_id_sql() -> str:
 
 def _listed_sql(rule: str) -> str:
     listed = FORCED if rule == "force-trans" else KEPT
-    base = _BASE + f", w AS (SELECT doc_id, {_words('src')} AS a, {_words('tgt')} AS b FROM p), u AS (SELECT doc_id, a, b, unnest(list_distinct(list_filter(a, lambda t: lower(t) IN {_in(listed)}))) AS x FROM w)"
+    base = _BASE + f", w AS (SELECT doc_id, {words_sql('src')} AS a, {words_sql('tgt')} AS b FROM p), u AS (SELECT doc_id, a, b, unnest(list_distinct(list_filter(a, lambda t: lower(t) IN {_in(listed)}))) AS x FROM w)"
     if rule == "force-trans":
         return _sql(rule, "warning", "'word ''' || x || ''' must be translated'", "list_contains(b, x)", base, "u")
     base += ", n AS (SELECT doc_id, x, len(list_filter(a, lambda t: t = x)) AS p, len(list_filter(b, lambda t: t = x)) AS q FROM u)"
@@ -451,7 +451,7 @@ QUERIES |= {"stats_entries": stats_entries, "stats_words": stats_words, "diagnos
 _STATE = "CASE WHEN fuzzy THEN 'fuzzy' WHEN obsolete THEN 'obsolete' WHEN tgt <> '' THEN 'translated' ELSE 'untranslated' END"
 _PERCENT = ", ".join(f"{s} * 100 // total AS {s}_percent" for s in st.STATES)
 _STRIP = "CASE WHEN flag = 'c-format' THEN regexp_replace({c}, '(%)%|%[-+ #.$0-9]*(?:hh?|ll?|[qLjzZt])?[A-Za-z]?', '\\1', 'g') ELSE {c} END"
-_W = lambda c: f"len(regexp_extract_all({_STRIP.format(c=c)}, '{_WORDS}'))"
+_W = lambda c: f"len(regexp_extract_all({_STRIP.format(c=c)}, '{WORDS_RE}'))"
 _C = lambda c: f"len(regexp_extract_all({_STRIP.format(c=c)}, '[\\p{{L}}\\p{{N}}-]'))"
 # The check has a force list, whose words are no acronyms to keep.
 _CHECKED = _RULE_SQL | {"acronyms": _sql("acronyms", "warning", "''", f"NOT list_contains(b, x) AND lower(x) NOT IN {_in(FORCED)}", _BASE + f", u AS (SELECT doc_id, unnest({_acronyms('src')}) AS x, {_acronyms('tgt')} AS b FROM p)", "u")}
@@ -514,11 +514,11 @@ def _states_sql() -> str:
 
 
 def _sources_sql() -> str:
-    words = lambda some: f"SELECT DISTINCT lower(unnest(regexp_extract_all(src, '{_WORDS}'))) AS word FROM ({PAIRS_SQL}) AS x WHERE {some}"
+    words = lambda some: f"SELECT DISTINCT lower(unnest(regexp_extract_all(src, '{WORDS_RE}'))) AS word FROM ({PAIRS_SQL}) AS x WHERE {some}"
     base = _BASE + f", known AS ({words('doc_id % 2 = 0')} UNION {words('doc_id IN (1, 3, 5)')})"
     parts = []
     for rule, text, what, where in (("spelling-id", "src", "source", "true"), ("spelling-ctxt", "substr(src, 1, 60)", "context", "doc_id % 4 = 1")):
-        bad = f"{base}, w AS (SELECT DISTINCT doc_id, unnest({_words(text)}) AS word FROM p WHERE {where}), bad AS (SELECT doc_id, word FROM w WHERE NOT regexp_matches(word, '[0-9]') AND NOT regexp_full_match(word, '[A-Z]{{2,}}') AND lower(word) NOT IN (SELECT word FROM known))"
+        bad = f"{base}, w AS (SELECT DISTINCT doc_id, unnest({words_sql(text)}) AS word FROM p WHERE {where}), bad AS (SELECT doc_id, word FROM w WHERE NOT regexp_matches(word, '[0-9]') AND NOT regexp_full_match(word, '[A-Z]{{2,}}') AND lower(word) NOT IN (SELECT word FROM known))"
         parts.append(f"{bad} SELECT doc_id, '{rule}' AS rule, 'info' AS severity, 'misspelled words in {what}: ' || string_agg(word, ', ' ORDER BY word) AS message FROM bad GROUP BY doc_id")
     return _union(*parts)
 
@@ -546,8 +546,8 @@ ORACLE_SQL |= {
     "diagnostics_by_rule": f"SELECT rule, count(*) AS n FROM ({_SEEN}) GROUP BY rule",
     "diagnostics_by_file": f"SELECT g.path, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'error') AS error FROM (SELECT DISTINCT path FROM ({PAIRS_SQL}) AS x) AS g LEFT JOIN ({_SEEN}) AS f ON f.path = g.path GROUP BY g.path",
     "fix_safe": f"SELECT doc_id, fixed FROM (SELECT *, {_EDGE_FIX} AS fixed FROM ({PAIRS_SQL}) AS x WHERE NOT noqa AND tgt <> '' AND NOT {_blank('src')} AND NOT {_blank('tgt')}) WHERE fixed <> tgt",
-    "rule_spelling": f"""{_BASE}, listed AS (SELECT DISTINCT language, lower(unnest(regexp_extract_all(src, '{_WORDS}'))) AS word FROM ({PAIRS_SQL}) AS x WHERE doc_id % 2 = 0 AND language IS NOT NULL),
-w AS (SELECT DISTINCT doc_id, language, unnest({_words('tgt')}) AS word FROM p),
+    "rule_spelling": f"""{_BASE}, listed AS (SELECT DISTINCT language, lower(unnest(regexp_extract_all(src, '{WORDS_RE}'))) AS word FROM ({PAIRS_SQL}) AS x WHERE doc_id % 2 = 0 AND language IS NOT NULL),
+w AS (SELECT DISTINCT doc_id, language, unnest({words_sql('tgt')}) AS word FROM p),
 bad AS (SELECT doc_id, w.word FROM w WHERE NOT regexp_matches(word, '[0-9]') AND NOT regexp_full_match(word, '[A-Z]{{2,}}') AND language IN (SELECT language FROM listed) AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.language = w.language AND l.word = lower(w.word)))
 SELECT doc_id, 'spelling-str' AS rule, 'info' AS severity, 'misspelled words in translation: ' || string_agg(word, ', ' ORDER BY word) AS message FROM bad GROUP BY doc_id""",
 }

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .. import schema
 from . import encodings
@@ -431,6 +431,42 @@ class CatalogueSource(DataSource):
         return _Reader(self.options["path"], int(self.options.get("range", RANGE)))
 
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ARG002, N802  name of the interface
+        return _StreamReader(self.options["path"], int(self.options.get("range", RANGE)))
+
+
+class _StreamReader(DataSourceStreamReader):
+    """New and changed files, in the order of their time of change and path; an offset is the last of them.
+
+    A file should get its name when it is whole, and no time of change before that of files already read.
+    """
+
+    def __init__(self, root: str, size: int) -> None:
+        self.root, self.size = local(root), size
+
+    def _listed(self) -> list[tuple[int, str, int]]:
+        from .listing import walk_here
+
+        return sorted((os.stat(path).st_mtime_ns, path, length) for path, length in walk_here(self.root))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"time": 0, "path": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        found = self._listed()
+        return {"time": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        after, last = ((o["time"], o["path"]) for o in (start, end))
+        return [InputPartition((path, at)) for time, path, length in self._listed() if after < (time, path) <= last for at in range(0, max(length, 1), self.size)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        return _Reader(self.root, self.size).read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class _Reader(DataSourceReader):
     def __init__(self, root: str, size: int) -> None:
         self.root, self.size = local(root), size

@@ -192,6 +192,11 @@ def repeated(df: DataFrame, key: str, *order: str, parts: bool = False) -> DataF
     return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(stream, df.schema)
 
 
+def in_sample(key: str, rate: Column | float) -> Column:
+    """Whether a row is drawn at a rate, by a hash of a column: one of 2 ** 40 slots, so that small rates hold as well."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < rate * float(1 << 40)
+
+
 def sample_of(rows: DataFrame, key: str, expected: int) -> DataFrame:
     """About ``expected`` rows, drawn by a hash of a column."""
     rate = expected / max(1, rows.count())

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, ship
+from .common import in_sample, materialise, ship
 
 SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 4_000, 500
 WORDS, GRAMS, LONGEST = 20_000, 10_000, 4
@@ -61,7 +61,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, words: i
     if not languages:
         return {"languages": [], "tables": []}
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, float(rates[k]))])[F.col("lang")]
-    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    drawn = labelled.filter(in_sample("doc_id", rate))
     counted = materialise(drawn.select("lang", F.explode(_letters(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")), "lang-words")
     tables = [counted.withColumn("size", F.lit(0))]
     padded = F.concat(F.lit("_"), "term", F.lit("_"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import in_sample, ship, stable
 
 HEAD, SAMPLE_DOCS = 50_000, 4_000
 BLOCK_CHARS, BLOCK_DOCS = 24_000_000, 1 << 15
@@ -90,7 +90,7 @@ def _head(rows: DataFrame, path: str, head: int, sample_docs: int) -> dict[str,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pieces(path).count(words))], names=["pretoken", "n"])
 
     rate = sample_docs / max(1, rows.count())
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)).select("text")
+    sample = rows.filter(in_sample("doc_id", rate)).select("text")
     top = sample.mapInArrow(split, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "pretoken").limit(head)
     return {r[0]: r[1] for r in top.select("pretoken").mapInArrow(count, "pretoken string, n long").collect()}
 
@@ -98,7 +98,7 @@ def _head(rows: DataFrame, path: str, head: int, sample_docs: int) -> dict[str,
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; ``path`` is a tokenizer file."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = stable(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     known = docs.sparkSession.sparkContext.broadcast(_head(rows, path, head, sample_docs))
 

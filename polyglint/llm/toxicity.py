@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import in_sample, materialise, ship
 from .language_id import sample_rates
 
 SAMPLE, PART_ROWS, EPOCHS, MAX_WEIGHTS = 40_000, 5_000, 3, 200_000
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, part_rows: i
     if not rates:
         return np.zeros(0, np.int64), np.zeros(0)
     rate = F.create_map(*[F.lit(x) for k, v in rates.items() for x in (k, float(v))])[F.col("label")]
-    drawn = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    drawn = labels.filter(in_sample("doc_id", rate))
     shards = max(1, round(drawn.count() / part_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about ``sample`` rows
 

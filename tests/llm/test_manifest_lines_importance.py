@@ -211,3 +211,9 @@ def test_numbered(spark):
     got = common.numbered(rows, [F.col("x").desc(), F.col("id")]).collect()
     assert [r.id for r in sorted(got, key=lambda r: r.number)] == sorted(range(1000), key=lambda k: (-(k % 7), k)) and sorted(r.number for r in got) == list(range(1000))
     assert common.numbered(rows.limit(0), [F.col("id")]).count() == 0
+
+
+def test_samples_of_any_rate(spark):
+    rows = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert [rows.filter(common.in_sample("doc_id", rate)).count() for rate in (1.0, 2.0**-39)] == [200_000, 0]
+    assert abs(rows.filter(common.in_sample("doc_id", 0.01)).count() - 2000) < 300

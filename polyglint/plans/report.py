@@ -22,6 +22,10 @@ def rule_counts(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("rule").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule")
 
 
+def severity_counts(diagnostics: DataFrame) -> DataFrame:
+    return diagnostics.groupBy("severity").agg(F.count("*").alias("n"))
+
+
 def file_counts(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """path, info, warning, error for every file, clean ones too."""
     n = lambda s: F.count_if(F.col("severity") == s).alias(s)
@@ -92,6 +96,6 @@ def write_sarif(diagnostics: DataFrame, path: str, tool: str = "polyglint") -> N
 
 def summary(diagnostics: DataFrame) -> dict[str, int]:
     """Findings by severity; ``exit_code`` is 1 if there are any."""
-    counts = {s: n for s, n in diagnostics.groupBy("severity").count().collect()}
+    counts = {s: n for s, n in severity_counts(diagnostics).collect()}  # a row a severity
     out = {s: counts.get(s, 0) for s in _LEVELS}
     return out | {"exit_code": int(any(out.values()))}

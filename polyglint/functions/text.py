@@ -23,8 +23,10 @@ WORD = rf"[{ALNUM}ʼ][{ALNUM}ʼ'’-]*"
 #: White space other than a line feed, at the ends of a string.
 LEADING, TRAILING = r"^(?U)[\s&&[^\n]]*", r"(?U)[\s&&[^\n]]*\z"
 
-#: Levels of nested braces that a format specification is read to.
+#: Levels of nested braces that the patterns read; texts that may have more are flattened first (see ``flat``).
 NESTING = 24
+#: What stands for braces inside a specification in flattened texts.
+_INNER = "\ue001\ue002"
 
 
 def _nested(inside: str, first: str = "") -> str:
@@ -134,6 +136,39 @@ def _extract(s: Column, dialect: Column, kind: str, group: int, marker: Column |
     return by_dialect(dialect, lambda d: F.regexp_extract_all(s, pattern(d), F.lit(group)))
 
 
+def flat(s: Column, dialect: Column) -> Column:
+    """Null, or the text with other signs for the braces inside a specification, where it may have more levels than patterns read.
+
+    Braces are matched by a running depth over braces and quotes, at any depth; lengths stay, so places do.
+    """
+    java, end = dialect == "Java", F.lit(None).cast("string")
+
+    def walk(t: Column, last: Column) -> Column:
+        def step(a: Column, k: Column) -> Column:
+            x, after = F.get(t, k), F.coalesce(F.get(t, k + 1), end)
+            deep, quote = a["depth"] > 0, java & (x == "'")
+            begins = F.when(java, after.rlike("^[0-9]")).otherwise(after != "{")
+            opens = (x == "{") & ~a["quoted"] & ~a["doubled"] & (deep | F.coalesce(begins, F.lit(False)))
+            closes = (x == "}") & ~a["quoted"] & deep
+            # Outside a specification a quote needs its partner.
+            quoted = F.when(~quote, a["quoted"]).when(a["quoted"], False).otherwise(deep | (k < last))
+            doubled = ~java & (x == "{") & ~deep & ~a["doubled"] & F.coalesce(after == "{", F.lit(False))
+            inner = F.when(a["quoted"] | (x == "{"), deep).otherwise(a["depth"] > 1)
+            out = F.array_append(a["out"], F.when(inner, F.translate(x, "{}", _INNER)).otherwise(x))
+            return F.struct((a["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"), quoted.alias("quoted"), doubled.alias("doubled"), out.alias("out"))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("doubled"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), start, step, lambda a: F.array_join(a["out"], ""))
+
+    parts = F.regexp_extract_all(s, F.lit("[{}']|[^{}']+"), F.lit(0))
+    walked = let([parts], lambda t: let([t, F.size(t) - F.array_position(F.reverse(t), "'").cast("int")], walk))
+    return F.when(dialect.isin("Java", "Python brace") & (F.length(s) - F.length(F.replace(s, F.lit("{"))) > NESTING), walked)
+
+
+def unflat(s: Column) -> Column:
+    return F.translate(s, _INNER, "{}")
+
+
 def none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 

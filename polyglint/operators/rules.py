@@ -93,6 +93,11 @@ class Pair:
     def dialect(self) -> Column:
         return self.row("format_language")
 
+    @property
+    def texts(self) -> tuple[Column, Column]:
+        """Both texts as tokens are read from them: flattened where their specifications are deep."""
+        return F.coalesce(self.row("src_flat"), self.src), F.coalesce(self.row("tgt_flat"), self.tgt)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -184,15 +189,17 @@ def _(p: Pair) -> Column:
     n = lambda s: F.size(T.tokens(s, p.dialect, kind, marker=own))
     spans = lambda s: T.marks(T.located(s, p.dialect, kind, own))
     what = F.concat(F.lit("accelerators '"), marker if isinstance(marker, Column) else F.lit(marker), F.lit("'"))
-    return compared(p, (n(p.src), n(p.tgt)), "warning", what, lambda: spans(p.src), lambda: spans(p.tgt))
+    src, tgt = p.texts
+    return compared(p, (n(src), n(tgt)), "warning", what, lambda: spans(src), lambda: spans(tgt))
 
 
 @rule("acronyms", default=False)
 def _(p: Pair) -> Column:
-    kept = F.array_except(T.acronyms(p.src, p.dialect), T.acronyms(p.tgt, p.dialect))
+    src, tgt = p.texts
+    kept = F.array_except(T.acronyms(src, p.dialect), T.acronyms(tgt, p.dialect))
     if given(p.options.force_trans):
         kept = F.filter(kept, lambda a: ~is_listed(a, p.options.force_trans))
-    where = (lambda a: _of(lambda: T.located(p.src, p.dialect, "acronym"), a)) if p.with_marks else None
+    where = (lambda a: _of(lambda: T.located(src, p.dialect, "acronym"), a)) if p.with_marks else None
     return each(F.array_sort(kept), "warning", lambda a: F.concat(F.lit("acronym '"), a, F.lit("' must not be translated")), where)
 
 
@@ -280,9 +287,10 @@ def _(p: Pair) -> Column:
 
     # A text needs a word, white space and the same word; the few that have them are cut into words. A specification may end inside a run of letters.
     some = p.tgt.rlike(rf"(?U)(?<![{T.ALNUM}ʼ])([{T.ALNUM}ʼ][{T.ALNUM}ʼ'’-]*+)\s+\1(?![{T.ALNUM}ʼ’-])") | (p.dialect.isNotNull() & p.tgt.rlike("[%{']"))
+    _, tgt = p.texts
     if p.with_marks:
-        return F.when(some, T.let([T.gaps(p.tgt, p.dialect), T.located_words(p.tgt, p.dialect)], pairs)).otherwise(T.none(FINDING))
-    return F.when(some, T.let([T.gaps(p.tgt, p.dialect), T.words(p.tgt, p.dialect)], plain)).otherwise(T.none(FINDING))
+        return F.when(some, T.let([T.gaps(tgt, p.dialect), T.located_words(tgt, p.dialect)], pairs)).otherwise(T.none(FINDING))
+    return F.when(some, T.let([T.gaps(tgt, p.dialect), T.words(tgt, p.dialect)], plain)).otherwise(T.none(FINDING))
 
 
 def _same_tokens(what: str, differing: bool = False, strip: bool = True) -> Callable[[Pair], Column]:
@@ -295,7 +303,7 @@ def _same_tokens(what: str, differing: bool = False, strip: bool = True) -> Call
             count = kind == "count"
             only = lambda mine, keys, others: T.marks(F.filter(mine, lambda t, k: count | ~F.array_contains(others, F.get(keys, k))) if differing else mine)
             places = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda k: F.get(a, k) != F.get(b, k))
-            edits = F.when(~count, F.transform(places, lambda k: F.struct(F.get(y, k)["start"].alias("start"), F.get(y, k)["end"].alias("end"), F.get(x, k)["s"].alias("replacement"))))
+            edits = F.when(~count, F.transform(places, lambda k: F.struct(F.get(y, k)["start"].alias("start"), F.get(y, k)["end"].alias("end"), T.unflat(F.get(x, k)["s"]).alias("replacement"))))
             message = F.when(count, missing_or_extra(F.size(a), F.size(b), what)).otherwise(f"different {what}")
             return found(F.lit(True), "warning", message, only(x, a, b), only(y, b, a), F.coalesce(edits, T.none(T.EDIT)))
 
@@ -304,10 +312,10 @@ def _same_tokens(what: str, differing: bool = False, strip: bool = True) -> Call
             kind = F.when(F.size(a) != F.size(b), "count").when(~same, "different")
             if not p.with_marks:
                 return F.when(kind.isNotNull(), found(F.lit(True), "warning", F.when(kind == "count", missing_or_extra(F.size(a), F.size(b), what)).otherwise(f"different {what}"))).otherwise(T.none(FINDING))
-            places = [T.located_alike(s, p.dialect, what) for s in (p.src, p.tgt)]
+            places = [T.located_alike(s, p.dialect, what) for s in p.texts]
             return F.when(kind.isNotNull(), T.let([kind, a, b, *places], one)).otherwise(T.none(FINDING))
 
-        return T.let([F.transform(T.alike(s, p.dialect, what), key) for s in (p.src, p.tgt)], compare)
+        return T.let([F.transform(T.alike(s, p.dialect, what), key) for s in p.texts], compare)
 
     return build
 
@@ -342,9 +350,10 @@ def _(p: Pair) -> Column:
 def _(p: Pair) -> Column:
     if not given(p.options.force_trans):
         return T.none(FINDING)
-    own = F.array_distinct(F.filter(T.words(p.src, p.dialect), lambda w: is_listed(w, p.options.force_trans)))
-    kept = F.array_intersect(T.words(p.tgt, p.dialect), own)
-    where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in (p.src, p.tgt)]
+    src, tgt = p.texts
+    own = F.array_distinct(F.filter(T.words(src, p.dialect), lambda w: is_listed(w, p.options.force_trans)))
+    kept = F.array_intersect(T.words(tgt, p.dialect), own)
+    where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in (src, tgt)]
     return each(kept, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must be translated")), *where)
 
 
@@ -359,11 +368,12 @@ def specs_key(s: Column, dialect: str) -> Column:
 
 @rule("formats")
 def _(p: Pair) -> Column:
-    differ = lambda d: (p.dialect == d) & (specs_key(p.src, d) != specs_key(p.tgt, d))
+    src, tgt = p.texts
+    differ = lambda d: (p.dialect == d) & (specs_key(src, d) != specs_key(tgt, d))
     some = F.when(differ("C"), "C")
     for d in list(T.FORMATS)[1:]:
         some = some.when(differ(d), d)
-    marks = [T.marks(T.located(s, p.dialect, "format")) if p.with_marks else None for s in (p.src, p.tgt)]
+    marks = [T.marks(T.located(s, p.dialect, "format")) if p.with_marks else None for s in (src, tgt)]
     return T.let([some], lambda d: found(d.isNotNull(), "error", F.concat(F.lit("inconsistent format strings ("), d, F.lit(")")), *marks))
 
 
@@ -460,11 +470,11 @@ def _(p: Pair) -> Column:
     def build(a: Column, b: Column) -> Column:
         own = F.array_sort(F.array_distinct(a))
         bad = F.filter(own, lambda w: n(a, w) != n(b, w))
-        where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in (p.src, p.tgt)]
+        where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in p.texts]
         return each(bad, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must not be translated ("), n(a, w), F.lit(" in source, "), n(b, w), F.lit(" in translation)")), *where)
 
     only = lambda s: F.filter(T.words(s, p.dialect), lambda w: is_listed(w, p.options.no_trans))
-    return T.let([only(p.src), only(p.tgt)], build)
+    return T.let([only(s) for s in p.texts], build)
 
 
 @rule("noqa", default=False, check=False, hook="entry")
@@ -576,7 +586,7 @@ def _spelling(where: str) -> Callable[[Pair], Column]:
         """The words are looked up by a join before; see plans.check."""
         bad = p.row(f"misspelled_{where}")
         label = {"ctxt": "context", "id": "source", "str": "translation"}[where]
-        text = {"ctxt": F.coalesce(p.row("msgctxt.value"), F.lit("")), "id": p.src, "str": p.tgt}[where]
+        text = {"ctxt": F.coalesce(p.row("msgctxt.value"), F.lit("")), "id": p.texts[0], "str": p.texts[1]}[where]
         spans = T.marks(F.filter(T.located_words(text, p.dialect), lambda t: F.array_contains(bad, t["s"]))) if p.with_marks else None
         marks = (None, spans) if where == "str" else (spans, None)
         return found(F.size(bad) > 0, "info", F.concat(F.lit(f"misspelled words in {label}: "), F.array_join(F.array_sort(bad), ", ")), *marks)

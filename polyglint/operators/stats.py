@@ -31,7 +31,7 @@ def stats(entries: DataFrame, words: bool = False, total: bool = True) -> DataFr
     if words:
         src, tgt = F.col("msgid.value"), F.coalesce(F.get("msgstr", F.lit(0))["value"], F.lit(""))
         # Bound once: a text is stripped of its formats for both counts together.
-        both = lambda s: T.let([T.without_formats(s, F.col("format_language"))], lambda x: F.struct(T.count(x, T.WORD).alias("words"), F.length(F.regexp_replace(x, rf"[^{T.ALNUM}-]+", "")).alias("chars")))
+        both = lambda s: T.let([T.without_formats(F.coalesce(T.flat(s, F.col("format_language")), s), F.col("format_language"))], lambda x: F.struct(T.count(x, T.WORD).alias("words"), F.length(F.regexp_replace(x, rf"[^{T.ALNUM}-]+", "")).alias("chars")))
         rows = rows.select("path", "state", both(src).alias("src"), both(tgt).alias("tgt"))
         rows = rows.withColumns({f"{side}_{unit}": F.col(f"{side}.{unit}") for side in ("src", "tgt") for unit in ("words", "chars")})
         for side in ("src", "tgt"):

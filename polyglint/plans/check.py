@@ -46,7 +46,7 @@ def pairs(entries: DataFrame) -> DataFrame:
     one = F.explode(F.when(F.size("msgstr") > 0, F.col("msgstr")).otherwise(F.array(F.struct(F.lit(0).alias("idx"), F.col("line_number"), F.lit("").alias("value"), F.col("byte_start"), F.col("byte_end"))).cast(entries.schema["msgstr"].dataType)))
     rows = barrier(entries).withColumn("part", one)
     src = F.when((F.col("part.idx") > 0) & F.col("msgid_plural").isNotNull(), F.col("msgid_plural.value")).otherwise(F.col("msgid.value"))
-    return rows.withColumns({"pair_idx": F.col("part.idx"), "src": src, "tgt": F.col("part.value"), "pair_line": F.col("part.line_number"), "pair_start": F.col("part.byte_start"), "pair_end": F.col("part.byte_end")}).drop("part")
+    return rows.withColumns({"pair_idx": F.col("part.idx"), "src": src, "tgt": F.col("part.value"), "pair_line": F.col("part.line_number"), "pair_start": F.col("part.byte_start"), "pair_end": F.col("part.byte_end"), **{f"{n}_flat": T.flat(c, F.col("format_language")) for n, c in (("src", src), ("tgt", F.col("part.value")))}}).drop("part")
 
 
 def _applies(r: Rule, by_row: bool) -> Column:
@@ -95,7 +95,7 @@ def _misspelled(rows: DataFrame, dictionaries: DataFrame, personal: DataFrame |
     """
     by_row = isinstance(options, RowOptions)
     of_source = options.lang_id if by_row else F.lit(options.lang_id)
-    text, language = {"ctxt": (F.col("msgctxt.value"), of_source), "id": (F.col("src"), of_source), "str": (F.col("tgt"), F.col("language"))}[where]
+    text, language = {"ctxt": (F.col("msgctxt.value"), of_source), "id": (F.coalesce("src_flat", "src"), of_source), "str": (F.coalesce("tgt_flat", "tgt"), F.col("language"))}[where]
     language, keys = checked_language(language, options), ["path", "entry_idx", "pair_idx"]
     if by_row:
         rows = rows.filter(F.array_contains("rules", f"spelling-{where}"))

@@ -64,7 +64,7 @@ def entries(spark: SparkSession, sf_dir: str, dialect: str | None = "C") -> Data
     fields = {
         "path": F.col("path"), "entry_idx": F.col("doc_id").cast("int"), "line_number": F.lit(1), "keywords": F.array().cast(strings), "fuzzy": F.col("fuzzy"), "obsolete": F.col("obsolete"), "noqa": F.col("noqa"),
         "nowrap": F.lit(False), "encoding_error": F.col("doc_id") % 29 == 0, "noqa_rules": F.when(F.col("doc_id") % 31 == 0, F.array(F.lit("tabs"))).otherwise(F.array().cast(strings)),
-        "format_language": F.when(F.col("flag") == "c-format", "C") if dialect == "C" else F.lit(dialect).cast("string"), "msgctxt": F.when(F.col("doc_id") % 4 == 1, message(F.substring("src", 1, 60))), "msgid": message(F.col("src")),
+        "format_language": F.when(F.col("flag") == "c-format", "C") if dialect == "C" else F.lit(dialect).cast("string"), "msgctxt": F.when(F.col("doc_id") % 4 == 1, message(F.col("src"))), "msgid": message(F.col("src")),
         "msgid_plural": F.when(F.col("doc_id") % 5 == 0, message(F.col("src"))), "msgstr": F.array(F.struct(F.lit(0).alias("idx"), F.lit(1).alias("line_number"), F.col("tgt").alias("value"), F.lit(0).cast("long").alias("byte_start"), F.lit(0).cast("long").alias("byte_end"))),
         "byte_start": F.lit(0).cast("long"), "byte_end": F.lit(0).cast("long"), "is_header": F.lit(False), "is_translated": F.col("tgt") != "", "language": F.col("language"), "language_code": F.col("language"),
         "country": F.lit(None).cast("string"), "encoding_name": F.lit("UTF-8"), "nplurals": (F.col("doc_id") % 3).cast("int"),
@@ -517,7 +517,7 @@ def _sources_sql() -> str:
     words = lambda some: f"SELECT DISTINCT lower(unnest(regexp_extract_all(src, '{WORDS_RE}'))) AS word FROM ({PAIRS_SQL}) AS x WHERE {some}"
     base = _BASE + f", known AS ({words('doc_id % 2 = 0')} UNION {words('doc_id IN (1, 3, 5)')})"
     parts = []
-    for rule, text, what, where in (("spelling-id", "src", "source", "true"), ("spelling-ctxt", "substr(src, 1, 60)", "context", "doc_id % 4 = 1")):
+    for rule, text, what, where in (("spelling-id", "src", "source", "true"), ("spelling-ctxt", "src", "context", "doc_id % 4 = 1")):
         bad = f"{base}, w AS (SELECT DISTINCT doc_id, unnest({words_sql(text)}) AS word FROM p WHERE {where}), bad AS (SELECT doc_id, word FROM w WHERE NOT regexp_matches(word, '[0-9]') AND NOT regexp_full_match(word, '[A-Z]{{2,}}') AND lower(word) NOT IN (SELECT word FROM known))"
         parts.append(f"{bad} SELECT doc_id, '{rule}' AS rule, 'info' AS severity, 'misspelled words in {what}: ' || string_agg(word, ', ' ORDER BY word) AS message FROM bad GROUP BY doc_id")
     return _union(*parts)

@@ -130,6 +130,33 @@ def test_edited_passages_are_found_in_a_large_group(spark, tmp_path):
     assert min(recall.values()) >= 0.9 and got <= {(k, k + 1) for k in range(0, 800, 2)}, recall
 
 
+def test_inserted_and_deleted_words_in_large_groups(spark, tmp_path):
+    """Recall of passages of 52 to 90 words with one word more, less or changed, around each of ten lines that many documents hold."""
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.getrandbits(50):x}" for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, pairs = [], {}
+    for number in range(10):
+        line = fresh(30)
+        for k in range(60):
+            size = r.choice([52, 56, 60, 70, 90])
+            passage = fresh((size - 30) // 2) + line + fresh(size - 30 - (size - 30) // 2)
+            edited, at = list(passage), r.randrange(5, size - 5)
+            edited[at : at + (k % 3 > 0)] = [] if k % 3 == 2 else fresh(1)
+            a, b = shingles(passage), shingles(edited)
+            assert len(a & b) / len(a | b) >= 0.75
+            pairs[len(texts), len(texts) + 1] = number, k % 3
+            texts += [fresh(20) + passage + fresh(20), fresh(25) + edited + fresh(25)]
+    order = r.sample(range(len(texts)), len(texts))
+    spark.createDataFrame([(k, " ".join(texts[k])) for k in order], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = substring_dedup.repeated_passages(spark.read.parquet(str(tmp_path / "d"))).select("doc_id", "match_doc_id").collect()
+    got = {(min(x), max(x)) for x in found}
+    for which in (0, 1):
+        recall = {g: np.mean([p in got for p, v in pairs.items() if v[which] == g]) for g in {v[which] for v in pairs.values()}}
+        assert min(recall.values()) >= 0.9, recall
+    assert got <= set(pairs)
+
+
 def test_repeated_rows_have_repeated_passages(spark, tmp_path):
     spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (None, PASSAGE)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     got = substring_dedup.repeated_passages(spark.read.parquet(str(tmp_path / "d"))).collect()

@@ -4,7 +4,8 @@ Payload digests are computed where the rows are; only headers (id, digest) are s
 find equal payloads. The largest id of equal payloads keeps its body as ``response``; the
 others become ``revisit`` records that refer to it. Archives are written by Spark's text
 writer with the record separator of the format, so its commit protocol holds when a task is
-repeated, and the result is one WARC file per task (more if a file would get too long).
+repeated, and the result is a few WARC files per task: long records stand in files of their own, so
+that a file is bounded by its bytes however unlike the lengths of payloads are.
 
 Cases: a null payload counts as empty; a null id is written as an empty one and sorts before
 all others; repeated rows are records of their own, the last in table order being the
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship, shared_path, sized_join, stable
 
-#: Readers take a file at a time: it holds at most this many records, and about this many bytes at the mean length of a payload.
+#: Readers take a file at a time: it holds at most this many records, and payloads of this many bytes or a single one.
 RECORDS_PER_FILE, BYTES_PER_FILE = 2_000, 64 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _SEPARATOR = "\r\n\r\n"
@@ -50,8 +51,6 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     # Headers only are shuffled, and combined before that: a payload of any number of copies is one row per map task.
     originals = rows.filter(F.col("bytes") >= min_bytes).groupBy("digest", "check", "bytes").agg(F.count("*").alias("n"), F.max(F.struct("id", "pos")).alias("first"))
     originals = materialise(originals.filter("n > 1").select("digest", "check", "bytes", "first"), "warc-originals")
-    mean = rows.agg(F.avg("bytes")).first()[0] or 0.0
-    records = max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / max(mean, 1.0))))
     rows = sized_join(rows, originals, ["digest", "check", "bytes"], "left")
     name = lambda id_, pos: F.concat(F.lit("<urn:record:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), pos.cast("string"), F.lit(">"))
     revisit = F.coalesce(F.col("first.pos") != F.col("pos"), F.lit(False))
@@ -70,7 +69,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("\r\n"),
     )
     record = F.concat(header, F.lit(_HTTP), F.when(revisit, "").otherwise(F.col("body")))
-    rows.select(record.alias("value")).write.option("lineSep", _SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    rows = rows.select(record.alias("value"), file_of(F.when(revisit, 0).otherwise(F.col("bytes")), F.monotonically_increasing_id()).alias("size"))
+    rows.write.partitionBy("size").option("lineSep", _SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+
+def file_of(size: Column, number: Column) -> Column:
+    """Which of a task's files a record belongs to, by its bytes and its number in the task.
+
+    Records of which ``RECORDS_PER_FILE`` fit in a file are together. Of longer ones, those of at most 2 ** k bytes
+    share a file if their numbers are among the same ``BYTES_PER_FILE`` / 2 ** k that follow each other.
+    """
+    k = F.ceil(F.log2(F.greatest(size, F.lit(1))))
+    fit = F.greatest(F.floor(BYTES_PER_FILE / F.pow(F.lit(2.0), k)), F.lit(1))
+    place = F.floor(number.bitwiseAND((1 << 33) - 1) / fit)  # the lower bits number the rows of a task
+    return F.when(size <= BYTES_PER_FILE // RECORDS_PER_FILE, "0").otherwise(F.concat_ws("-", k, place))
 
 
 def _records(content: bytes) -> Iterator[tuple]:
@@ -111,7 +123,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
     return files.select("content").mapInArrow(parse, _SCHEMA)
 
 

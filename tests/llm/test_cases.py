@@ -202,6 +202,20 @@ def test_long_payloads(spark):
     assert got == {"1": ("revisit", 3_000_000), "2": ("response", 3_000_000), "3": ("response", 2_000_000)}
 
 
+def test_archives_of_unlike_payloads_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """One partition, a few payloads a thousand times the mean: no file is longer than its bound or its one record."""
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 1 << 17)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 100)
+    r = random.Random(3)
+    sizes = {k: r.choice([10, 10, 10, 2_000, 30_000, 300_000]) for k in range(300)}
+    pages = spark.createDataFrame([(k, "u", f"{k:09}" + "x" * n) for k, n in sizes.items()], "page_id long, url string, html string").coalesce(1)
+    got = {int(key): (t, n) for key, t, n in warc.archive(pages, str(tmp_path / "w")).select(warc.record_key(F.col("record_id")), "record_type", "payload_bytes").collect()}
+    assert got == {k: ("response", n + 9) for k, n in sizes.items()}
+    for path in (tmp_path / "w").rglob("part-*"):
+        lengths = [len(row[5]) for row in warc._records(path.read_bytes())]
+        assert len(lengths) <= 100 and (sum(lengths) <= 1 << 17 or len(lengths) == 1), (path, lengths)
+
+
 def test_empty_pipeline(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.positions import editor_ranges
 from .functions.wrap import message_lines
-from .operators.ranges import overlapping, within
+from .operators.ranges import meeting, within
 from .operators.rules import HEADER_FIELDS, Options
 from .plans.check import barrier, check
 from .queries import ALL_STATES, PAIRS_SQL, WORDS_RE, doc_of_path, documents, entries, words_sql
@@ -93,7 +93,8 @@ def ranges_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents(spark, sf_dir)
     inner, outer = (spark.sql(q.replace('"', "`")) for q in (_INNER, _OUTER))
     left = cut(within(inner, outer, "left_anti"))
-    return left.join(overlapping(left).select("doc_id").withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", "path", "start", "end", F.coalesce("hit", F.lit(False)).alias("overlaps"))
+    met = meeting(left, empty=True).withColumn("hit", F.lit(True))
+    return left.join(met, ["path", "start", "end"], "left").select("doc_id", "path", "start", "end", F.coalesce("hit", F.lit(False)).alias("overlaps"))
 
 
 def editor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

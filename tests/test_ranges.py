@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_rules import catalogue, entries
 
 from polyglint.functions.positions import byte_offset, editor_ranges, utf16_offset
-from polyglint.operators.ranges import overlapping, within
+from polyglint.operators.ranges import meeting, overlapping, within
 from polyglint.operators.rewrite import placed
 from polyglint.operators.rules import Options
 from polyglint.plans.check import check
@@ -25,6 +25,27 @@ def test_ranges(spark):
         assert sorted(y.k for y in overlapping(table(inner), size).collect()) == [k for k, x in enumerate(inner) if meets(x)]
 
 
+def test_empty_ranges_inside_others(spark):
+    r = random.Random(5)
+    some = {("ab"[r.randrange(2)], a, a + r.randrange(4)) for a in (r.randrange(90) for _ in range(60))} | {("c", 0, 0), ("c", 0, 3), ("c", 3, 3), ("c", 16, 16), ("c", 9, 40), ("c", 40, 40)}
+    meets = lambda x: any(y[0] == x[0] and y != x and y[1] < x[2] and x[1] < y[2] for y in some)
+    for size in (8, 16, 1 << 14):
+        found = meeting(spark.createDataFrame([*some, *some, (None, 1, 9), (None, 2, 3)], "path string, start long, end long"), size, empty=True)
+        assert sorted(map(tuple, found.collect())) == sorted(x for x in some if meets(x))
+
+
+def test_ranges_left_of_repeated_and_empty_ranges(spark, tmp_path):
+    import duckdb
+
+    from polyglint import file_queries
+
+    rows = [(k % 900, "x" * (k * 37 % 400), f"src{k % 2}") for k in range(1200)]
+    spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(file_queries.ORACLE_SQL["ranges_left"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert any(s == e and hit for _, _, s, e, hit in want)
+    assert sorted(map(tuple, file_queries.ranges_left(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_fixes_of_other_tools(spark):
     parsed = entries(spark, catalogue("a", "b") + b'\nmsgid "c"\nmsgstr "d"\n')
     spans = {m.value: (m.byte_start, m.byte_end) for e in parsed.collect() for m in e.msgstr}

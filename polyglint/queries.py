@@ -20,6 +20,7 @@ from .operators.rewrite import replacements, rewritten
 from .operators.rules import Options
 from .plans import report
 from .plans.check import barrier, check, spread
+from .shared import cut
 from .sources.po import parse_files
 
 _ZERO_WIDTH = "\u200b"
@@ -348,7 +349,7 @@ def misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translations with words that no document of their language with an even id has."""
     rows = entries(spark, sf_dir)
     even = rows.filter("entry_idx % 2 = 0 and language is not null")
-    words = even.select("language", F.explode(T.matches(F.col("msgid.value"), T.WORD)).alias("word")).distinct()
+    words = cut(even.select("language", F.explode(T.matches(F.col("msgid.value"), T.WORD)).alias("word")).distinct())
     found = check(rows, Options(select=("spelling-str",), **ALL_STATES), dictionaries=words, marks=False)
     return found.select(F.col("entry_idx").cast("long").alias("doc_id"), "rule", "severity", "message")
 
@@ -356,7 +357,7 @@ def misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def misspelled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts and sources with words that no document with an even id has, but for personal words, those of documents 1, 3 and 5."""
     rows = entries(spark, sf_dir)
-    of = lambda some: rows.filter(some).select(F.lit("en").alias("language"), F.explode(T.matches(F.col("msgid.value"), T.WORD)).alias("word")).distinct()
+    of = lambda some: cut(rows.filter(some).select(F.lit("en").alias("language"), F.explode(T.matches(F.col("msgid.value"), T.WORD)).alias("word")).distinct())
     options = Options(select=("spelling-ctxt", "spelling-id"), lang_id="en_GB", langs=("en_GB",), **ALL_STATES)
     found = check(rows, options, dictionaries=of("entry_idx % 2 = 0"), personal=of("entry_idx in (1, 3, 5)"), marks=False)
     return found.select(F.col("entry_idx").cast("long").alias("doc_id"), "rule", "severity", "message")

@@ -18,7 +18,7 @@ from .plans.check import barrier, check
 from .plans.files import check_files
 from .queries import ALL_STATES, PAIRS_SQL, WORDS_RE, entries, words_sql
 from .queries import ORACLE_SQL as RULES_SQL
-from .shared import shared_dir
+from .shared import cut, shared_dir
 from .sources.po import local
 from .sources.writer import write_entries
 
@@ -75,7 +75,7 @@ def stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def misspelled_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that translations have and no source of an even document of their language, each once."""
     rows = entries(spark, sf_dir)
-    words = rows.filter("entry_idx % 2 = 0 and language is not null").select("language", F.explode(T.matches(F.col("msgid.value"), T.WORD)).alias("word")).distinct()
+    words = cut(rows.filter("entry_idx % 2 = 0 and language is not null").select("language", F.explode(T.matches(F.col("msgid.value"), T.WORD)).alias("word")).distinct())
     return report.misspelled_words(check(rows, Options(select=("spelling-str",), **ALL_STATES), dictionaries=words, marks=False))
 
 

@@ -223,7 +223,18 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 #: Bytes of a file that one task parses.
 RANGE = 16 << 20
-_EMPTY_ID = re.compile(rb'^(?:#~ )?msgid(?!_plural)[^"\n]*(?:"|"")?[^"\n]*$', re.MULTILINE)
+#: A source without text, whose next line doesn't begin with any that surely stays one when it is decoded.
+_EMPTY_ID = re.compile(rb'msgid(?!_plural)[^"\n]*+(?:""?+)?+[^"\n]*+(?:\Z|(?=\n)(?!\n(?:#~ )?"[A-Za-z0-9 ][^\n]*"))')
+
+
+def _may_be_header(data: bytes, start: int, stop: int) -> bool:
+    at = start
+    while (at := data.find(b"msgid", at, stop)) >= 0:
+        line = at - 3 if data[at - 3 : at] == b"#~ " and at - 3 >= start else at
+        if (line == start or data[line - 1 : line] == b"\n") and _EMPTY_ID.match(data, at, stop):
+            return True
+        at += 5
+    return False
 
 
 @dataclass
@@ -261,7 +272,7 @@ class Part:
     def survey(self) -> tuple[int, int, list[bytes]]:
         """Line feeds, entries, and the headers among them as they stand in the file."""
         blocks = [(a, b) for _, a, b, _ in _blocks(self.data, self.at, self.limit)]
-        some = (self.data[a:b] for a, b in blocks if _EMPTY_ID.search(self.data, a, b))
+        some = (self.data[a:b] for a, b in blocks if _may_be_header(self.data, a, b))
         return self.lines, len(blocks), [x for x in some if next(parse(x))["is_header"]]
 
     def entries(self, lines: int, index: int, headers: list[bytes]) -> Iterator[dict]:
@@ -294,7 +305,8 @@ def ranges_of(files: DataFrame, size: int = RANGE) -> DataFrame:
     kind = "path string, start long, end long, lines long, n long, headers array<binary>"
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     of = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("long")).alias(c)
-    surveyed = many.repartition("path", "start").mapInArrow(survey, kind)
+    # Rows are small and each stands for much reading: adaptive execution, which goes by bytes, would put them into one task.
+    surveyed = many.repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path", "start").mapInArrow(survey, kind)
     placed = surveyed.select("path", "start", "end", of("lines"), of("n"), F.flatten(F.collect_list("headers").over(before)).alias("headers"))
     zero = F.lit(0).cast("long")
     return one.select("path", "start", "end", zero.alias("lines"), zero.alias("n"), F.array().cast("array<binary>").alias("headers")).union(placed)

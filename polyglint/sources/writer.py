@@ -145,7 +145,9 @@ def write_entries(entries: DataFrame, folder: str, page: int = PAGE_WIDTH) -> No
     """Entries as catalogues below a mounted folder, one for each path (relative), in UTF-8; entries without a header get one."""
     spark = entries.sparkSession
     spark.dataSource.register(WritableCatalogues)
-    entries.repartition("path").sortWithinPartitions("path", "entry_idx").write.format("po").option("width", page).mode("append").save(folder)
+    # Wrapping costs far more than moving texts: tasks are not to be put together by their bytes.
+    tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    entries.repartition(tasks, "path").sortWithinPartitions("path", "entry_idx").write.format("po").option("width", page).mode("append").save(folder)
 
 
 class _ContentWriter(_Files):

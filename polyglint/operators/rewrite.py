@@ -25,13 +25,20 @@ from .rules import Options
 def replacements(entries: DataFrame, diagnostics: DataFrame, unsafe: bool = False) -> DataFrame:
     """(path, start, end, value, encoding): translations that change, and entries (value null) that go.
 
-    A translation inside an entry that goes is left alone.
+    A translation inside an entry that goes is left alone. Entries are read once, without their texts; those of files
+    without ``fixable`` findings are not needed.
     """
+    entries = cut(entries.select("path", "entry_idx", "byte_start", "byte_end", "encoding_name", F.transform("msgstr", lambda m: F.struct(m["byte_start"].alias("byte_start"), m["byte_end"].alias("byte_end"))).alias("msgstr")))
     gone = entries.join(obsolete_entries(diagnostics), ["path", "entry_idx"], "left_semi").select("path", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"))
     fixed = fix_translations(diagnostics, unsafe).select("path", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), F.col("fixed").alias("value"))
     return placed(entries, fixed, gone)
 
 
+def fixable(diagnostics: DataFrame) -> DataFrame:
+    """(path) of files that may change, each once."""
+    return diagnostics.filter((F.size("edits") > 0) | (F.col("rule") == "obsolete")).select("path").distinct()
+
+
 def placed(entries: DataFrame, fixed: DataFrame, gone: DataFrame) -> DataFrame:
     """As ``replacements``, from ranges that any tool may have found: new values of translations (path, start, end, value), and what goes (path, start, end).
 
@@ -93,9 +100,9 @@ def fix_files(spark: SparkSession, *roots: str, options: Options | None = None,
     files = cut(po.list_files(spark, *roots))
     bad = cut(po.unreadable(files))
     files = files.join(bad, "path", "left_anti")
-    entries = po.read_listed(files)
-    before = cut(check(entries, options, **more))
-    changes = cut(replacements(entries, before, options.unsafe_fixes))
+    before = cut(check(po.read_listed(files), options, **more))
+    some = po.read_listed(files.join(fixable(before), "path", "left_semi"))
+    changes = cut(replacements(some, before, options.unsafe_fixes))
     new = cut(rewritten(po.read_contents(files.join(changes.select("path"), "path", "left_semi")), changes, options.width))
     written = cut(write_contents(new))
     done, failed = written.filter("error is null").select("path"), written.filter("error is not null")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import stats as st
 from .operators.fixes import fix_translations
-from .operators.rewrite import replacements, rewritten
+from .operators.rewrite import fixable, replacements, rewritten
 from .operators.rules import Options
 from .plans import report
 from .plans.check import barrier, check, spread
@@ -429,9 +429,9 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered catalogues rewritten with safe edits of white space, without obsolete entries, and read again: entries, and the translation."""
     files = catalogues(spark, sf_dir, broken=False)
-    entries = parse_files(files)
-    found = check(entries, Options(select=("whitespace-start", "whitespace-end", "obsolete"), **ALL_STATES))
-    again = parse_files(rewritten(files, replacements(entries, found)))
+    found = cut(check(parse_files(files), Options(select=("whitespace-start", "whitespace-end", "obsolete"), **ALL_STATES)))
+    some = cut(files.join(fixable(found), "path", "left_semi"))
+    again = parse_files(rewritten(some, cut(replacements(parse_files(some), found))))
     left = again.groupBy("path").agg(F.count_if(~F.col("is_header")).alias("n_entries"), F.max(F.when(~F.col("is_header"), F.md5(F.get("msgstr", F.lit(0))["value"]))).alias("translation"))
     return left.select(doc_of_path(), "n_entries", "translation")
 

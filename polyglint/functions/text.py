@@ -16,9 +16,14 @@ EDIT = "struct<start:int,end:int,replacement:string>"
 DOUBLE_QUOTES = "\"\u00ab\u00bb\u201c\u201d\u201e\u201f\uff02"
 PUNCTUATION = ":;.,!?\uff1a\uff1b\u061b\u3002\u0964\u0965\u17d4\u104b\u0589\uff0c\u060c\u3001\uff01\uff1f\u061f\u2026"
 CONTROL = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\u00AD\u200B-\u200F\u2028\u2029\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFFF9-\uFFFB\uFFFD\uFEFF"
+#: All other characters, the most frequent ones first: a text is told to have no control characters by few comparisons.
+NO_CONTROL = r"\x20-\x7E\xA0-\u00AC\u00AE-\u200A\t\n\r\u2010-\u2027\u202F-\u205F\u2065\u206A-\uFEFE\uFF00-\uFFF8\uFFFC\uFFFE-\x{10FFFF}"
 NBSP = "\u00a0"
 
 ALNUM = r"\p{IsAlphabetic}\p{N}"
+#: Characters one by one, which the JVM's patterns hold as bits: classes of ranges and properties are far slower, so runs of these are read first.
+_BITS = "".join(rf"\x{c:02x}" for c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_SHOWN = "".join(rf"\x{c:02x}" for c in (*range(0x20, 0x7F), 9, 10, 13))
 WORD = rf"[{ALNUM}ʼ][{ALNUM}ʼ'’-]*"
 #: White space other than a line feed, at the ends of a string.
 LEADING, TRAILING = r"^(?U)[\s&&[^\n]]*", r"(?U)[\s&&[^\n]]*\z"
@@ -76,12 +81,12 @@ def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
 @_kind("word")
 def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
     more = rf"[{ALNUM}ʼ’-]|{one}|'" if d is FORMATS["Java"] else rf"[{ALNUM}ʼ'’-]"
-    return rf"{spec}|{one}|[^{ALNUM}ʼ{d.marks}]++|[{d.marks}]", rf"[{ALNUM}ʼ](?:{more})*+"
+    return rf"{spec}|{one}|[ \n,.]++|[^{ALNUM}ʼ{d.marks}]++|[{d.marks}]", rf"(?:[{_BITS}]|[{ALNUM}ʼ])(?:[{_BITS}]++|{more})*+"
 
 
 @_kind("acronym")
 def _(d: Dialect, spec: str, one: str) -> tuple[str, str]:
-    return rf"{spec}|{one}|[^{ALNUM}{d.marks}]++|[{d.marks}]", rf"[{ALNUM}]++"
+    return rf"{spec}|{one}|[ \n,.]++|[^{ALNUM}{d.marks}]++|[{d.marks}]", rf"(?:[{_BITS}]++|[{ALNUM}])++"
 
 
 @_kind("token")
@@ -185,8 +190,17 @@ def count(s: Column, pattern: str) -> Column:
 
 
 def occurrences(s: Column, text: str) -> Column:
-    """How often a text occurs."""
-    return F.floor((F.length(s) - F.length(F.replace(s, F.lit(text), F.lit("")))) / len(text)).cast("int")
+    """How often a text occurs. Bytes are counted, which needs no pass over the text."""
+    return F.floor((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(text), F.lit("")))) / len(text.encode())).cast("int")
+
+
+#: Characters that rules count.
+SIGNS = "()[]{}<>|\\\t\r\n"
+
+
+def signs(s: Column) -> Column:
+    """What is left of a text without other characters than ``SIGNS``: one pass for all rules that count some."""
+    return F.regexp_replace(s, r"[^()\[\]{}<>|\\\t\r\n]+", "")
 
 
 def matches(s: Column, pattern: str) -> Column:
@@ -258,12 +272,21 @@ def located(s: Column, dialect: Column, kind: str, marker: Column | None = None)
     return let([_extract(s, dialect, kind, 1, marker), _extract(s, dialect, kind, 2, marker)], _laid)
 
 
+def has_control(s: Column) -> Column:
+    return s.rlike(f"^(?:[{_SHOWN}]++|[{NO_CONTROL}])*+[{CONTROL}]")
+
+
 def not_blank(s: Column) -> Column:
     return s.rlike(r"(?U)\S")
 
 
+#: White space, as patterns with (?U) have it.
+_WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")
+    """Without white space at the ends, which are looked at alone."""
+    return F.btrim(s, F.lit(_WHITE))
 
 
 def leading_space(s: Column) -> Column:
@@ -280,8 +303,9 @@ def trailing_space(s: Column) -> Column:
 
 
 def format_specs(s: Column, dialect: str) -> Column:
-    """The format specifications of one dialect, in order."""
-    return F.regexp_extract_all(s, F.lit(_pattern(FORMATS[dialect], "format")), F.lit(2))
+    """The format specifications of one dialect, in order. Each has the dialect's sign, which most texts lack."""
+    sign = "%" if FORMATS[dialect].marks == "%" else "{"
+    return F.when(s.contains(sign), F.regexp_extract_all(s, F.lit(_pattern(FORMATS[dialect], "format")), F.lit(2))).otherwise(none("string"))
 
 
 def without_formats(s: Column, dialect: Column) -> Column:
@@ -325,7 +349,10 @@ def is_acronym(r: Column) -> Column:
 
 
 def acronyms(s: Column, dialect: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(_extract(s, dialect, "acronym", 2), is_acronym)))
+    # A text needs two of these side by side; many have none.
+    big = rf"[{_BITS[26 * 4:]}\x80-\x{{10FFFF}}]"
+    own = F.array_sort(F.array_distinct(F.filter(_extract(s, dialect, "acronym", 2), is_acronym)))
+    return F.when(s.rlike(f"{big}{big}"), own).otherwise(none("string"))
 
 
 def tokens(s: Column, dialect: Column, kind: str = "token", group: int = 2, marker: Column | None = None) -> Column:

@@ -71,7 +71,10 @@ class RowOptions:
 
 def is_listed(word: Column, words: tuple[str, ...] | Column) -> Column:
     """Whether a list has a word, case aside."""
-    return F.array_contains(words, F.lower(word)) if isinstance(words, Column) else F.lower(word).isin([w.lower() for w in words])
+    if isinstance(words, Column):
+        return F.array_contains(words, F.lower(word))
+    # A lower-cased word has no fewer characters.
+    return (F.length(word) <= max(map(len, words), default=0)) & F.lower(word).isin([w.lower() for w in words])
 
 
 def given(value: tuple | bool | Column) -> bool:
@@ -88,6 +91,7 @@ class Pair:
     row: Callable[[str], Column]
     options: Options | RowOptions
     with_marks: bool = True  # counts of findings need no marks and edits
+    shared: frozenset[str] = frozenset()  # what rows have for all rules: see SHARED
 
     @property
     def dialect(self) -> Column:
@@ -98,6 +102,22 @@ class Pair:
         """Both texts as tokens are read from them: flattened where their specifications are deep."""
         return F.coalesce(self.row("src_flat"), self.src), F.coalesce(self.row("tgt_flat"), self.tgt)
 
+    @property
+    def signs(self) -> tuple[Column, Column]:
+        """Texts that have all the characters of both texts that rules count."""
+        return (self.row("src_signs"), self.row("tgt_signs")) if "signs" in self.shared else (self.src, self.tgt)
+
+    @property
+    def words(self) -> tuple[Column, Column]:
+        return (self.row("src_words"), self.row("tgt_words")) if "words" in self.shared else tuple(T.words(s, self.dialect) for s in self.texts)
+
+
+#: What several rules read of a text: computed once if more than one of them is selected.
+SHARED: dict[str, tuple[frozenset[str], Callable[[Column, Column], Column]]] = {
+    "signs": (frozenset(("brackets", "escapes", "newlines", "pipes", "tabs")), lambda s, dialect: T.signs(s)),
+    "words": (frozenset(("double-words", "force-trans", "no-trans")), T.words),
+}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -174,7 +194,8 @@ def counted(p: Pair, severity: str, what: str, text: str | None = None, chars: s
         n, spans = lambda s: T.occurrences(s, text), lambda s: T.positions(s, re.escape(text))
     else:
         n, spans = (lambda s: T.occurrences(s, text)) if text else (lambda s: T.count(s, f"[{chars}]")), lambda s: T.char_positions(s, text or chars)
-    return compared(p, (n(p.src), n(p.tgt)), severity, what, lambda: spans(p.src), lambda: spans(p.tgt), edits)
+    src, tgt = p.signs if text and text in T.SIGNS else (p.src, p.tgt)
+    return compared(p, (n(src), n(tgt)), severity, what, lambda: spans(p.src), lambda: spans(p.tgt), edits)
 
 
 def _of(words: Callable[[], Column], w: Column) -> Column:
@@ -186,7 +207,7 @@ def _of(words: Callable[[], Column], w: Column) -> Column:
 def _(p: Pair) -> Column:
     marker = p.options.accelerator
     kind, own = (T.accelerator_kind(), marker) if isinstance(marker, Column) else (T.accelerator_kind(marker), None)
-    n = lambda s: F.size(T.tokens(s, p.dialect, kind, marker=own))
+    n = lambda s: F.when(s.contains(marker), F.size(T.tokens(s, p.dialect, kind, marker=own))).otherwise(0)
     spans = lambda s: T.marks(T.located(s, p.dialect, kind, own))
     what = F.concat(F.lit("accelerators '"), marker if isinstance(marker, Column) else F.lit(marker), F.lit("'"))
     src, tgt = p.texts
@@ -196,7 +217,7 @@ def _(p: Pair) -> Column:
 @rule("acronyms", default=False)
 def _(p: Pair) -> Column:
     src, tgt = p.texts
-    kept = F.array_except(T.acronyms(src, p.dialect), T.acronyms(tgt, p.dialect))
+    kept = T.let([T.acronyms(src, p.dialect)], lambda a: F.when(F.size(a) > 0, F.array_except(a, T.acronyms(tgt, p.dialect))).otherwise(a))
     if given(p.options.force_trans):
         kept = F.filter(kept, lambda a: ~is_listed(a, p.options.force_trans))
     where = (lambda a: _of(lambda: T.located(src, p.dialect, "acronym"), a)) if p.with_marks else None
@@ -212,10 +233,11 @@ def _bracket(name: str, o: str, c: str) -> Callable[[Pair], Column]:
     # "(s)" is a plural mark, no pair of brackets: another character stands for its brackets where places are worked out.
     plain = lambda s: F.regexp_replace(s, r"\(([sS])\)", "_$1_") if o == "(" else s
 
-    def counts(s: Column) -> list[Column]:
+    def counts(s: Column, signs: Column, shared: bool) -> list[Column]:
         if o != "(":
-            return [T.occurrences(s, o), T.occurrences(s, c)]
-        return T.occurrences(s, o), T.occurrences(s, c), T.occurrences(s, "(s)") + T.occurrences(s, "(S)")
+            return [T.occurrences(signs, o), T.occurrences(signs, c)]
+        plurals = T.occurrences(s, "(s)") + T.occurrences(s, "(S)")
+        return [T.occurrences(signs, o), T.occurrences(signs, c), F.when(signs.contains("()"), plurals).otherwise(0) if shared else plurals]
 
     def build(p: Pair) -> Column:
         def findings_of(a: Column, x: Column, b: Column, y: Column) -> Column:
@@ -231,7 +253,8 @@ def _bracket(name: str, o: str, c: str) -> Callable[[Pair], Column]:
                 found(apart & (x != y), "info", missing_or_extra(x, y, f"closing {name} brackets '{c}'"), *marks(c)),
             ))
 
-        bound = [*counts(p.src), *counts(p.tgt)]
+        shared = "signs" in p.shared
+        bound = [*counts(p.src, p.signs[0], shared), *counts(p.tgt, p.signs[1], shared)]
         if o == "(":
             return T.let(bound, lambda a, x, s, b, y, t: T.let([a - s, x - s, b - t, y - t], findings_of))
         return T.let(bound, findings_of)
@@ -290,7 +313,7 @@ def _(p: Pair) -> Column:
     _, tgt = p.texts
     if p.with_marks:
         return F.when(some, T.let([T.gaps(tgt, p.dialect), T.located_words(tgt, p.dialect)], pairs)).otherwise(T.none(FINDING))
-    return F.when(some, T.let([T.gaps(tgt, p.dialect), T.words(tgt, p.dialect)], plain)).otherwise(T.none(FINDING))
+    return F.when(some, T.let([T.gaps(tgt, p.dialect), p.words[1]], plain)).otherwise(T.none(FINDING))
 
 
 def _same_tokens(what: str, differing: bool = False, strip: bool = True) -> Callable[[Pair], Column]:
@@ -343,7 +366,9 @@ def _(p: Pair) -> Column:
             found((a == b) & (x != y), "error", missing_or_extra(x, y, "escape characters '\\'"), *marks(lambda s: T.char_positions(s, "\\"))),
         )
 
-    return T.let([T.occurrences(s, sign) for sign in ("\\\\", "\\") for s in (p.src, p.tgt)], build)
+    # Two in a row are two in a row of the signs, too.
+    doubled = [F.when(signs.contains("\\\\"), T.occurrences(s, "\\\\")).otherwise(0) for s, signs in zip((p.src, p.tgt), p.signs)]
+    return T.let([*doubled, *(T.occurrences(s, "\\") for s in p.signs)], build)
 
 
 @rule("force-trans", default=False)
@@ -351,8 +376,9 @@ def _(p: Pair) -> Column:
     if not given(p.options.force_trans):
         return T.none(FINDING)
     src, tgt = p.texts
-    own = F.array_distinct(F.filter(T.words(src, p.dialect), lambda w: is_listed(w, p.options.force_trans)))
-    kept = F.array_intersect(T.words(tgt, p.dialect), own)
+    mine, others = p.words
+    own = F.array_distinct(F.filter(mine, lambda w: is_listed(w, p.options.force_trans)))
+    kept = T.let([own], lambda own: F.when(F.size(own) > 0, F.array_intersect(others, own)).otherwise(own))
     where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in (src, tgt)]
     return each(kept, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must be translated")), *where)
 
@@ -441,10 +467,14 @@ def _(p: Pair) -> Column:
     return findings(*absent, *wrong)
 
 
+def _lengths(p: Pair, build: Callable[[Column, Column], Column]) -> Column:
+    """``build`` of the lengths of both texts without white space at their ends, each counted once."""
+    return T.let([F.length(T.trim(p.src)), F.length(T.trim(p.tgt))], build)
+
+
 @rule("long")
 def _(p: Pair) -> Column:
-    a, b = F.length(T.trim(p.src)), F.length(T.trim(p.tgt))
-    return found((a > 0) & (b > 0) & (a * p.options.long_factor <= b), "warning", F.concat(F.lit("translation too long ("), a, F.lit(" / "), b, F.lit(")")))
+    return _lengths(p, lambda a, b: found((a > 0) & (b > 0) & (a * p.options.long_factor <= b), "warning", F.concat(F.lit("translation too long ("), a, F.lit(" / "), b, F.lit(")"))))
 
 
 @rule("newlines", safe=True)
@@ -473,8 +503,8 @@ def _(p: Pair) -> Column:
         where = [(lambda w, s=s: _of(lambda: T.located_words(s, p.dialect), w)) if p.with_marks else None for s in p.texts]
         return each(bad, "warning", lambda w: F.concat(F.lit("word '"), w, F.lit("' must not be translated ("), n(a, w), F.lit(" in source, "), n(b, w), F.lit(" in translation)")), *where)
 
-    only = lambda s: F.filter(T.words(s, p.dialect), lambda w: is_listed(w, p.options.no_trans))
-    return T.let([only(s) for s in p.texts], build)
+    only = lambda words: F.filter(words, lambda w: is_listed(w, p.options.no_trans))
+    return T.let([only(words) for words in p.words], build)
 
 
 @rule("noqa", default=False, check=False, hook="entry")
@@ -577,8 +607,7 @@ def _(p: Pair) -> Column:
 
 @rule("short")
 def _(p: Pair) -> Column:
-    a, b = F.length(T.trim(p.src)), F.length(T.trim(p.tgt))
-    return found((a > 0) & (b > 0) & (b * p.options.short_factor <= a), "warning", F.concat(F.lit("translation too short ("), a, F.lit(" / "), b, F.lit(")")))
+    return _lengths(p, lambda a, b: found((a > 0) & (b > 0) & (b * p.options.short_factor <= a), "warning", F.concat(F.lit("translation too short ("), a, F.lit(" / "), b, F.lit(")"))))
 
 
 def _spelling(where: str) -> Callable[[Pair], Column]:
@@ -654,7 +683,7 @@ def _(p: Pair) -> Column:
         return F.struct(F.when(c == "\u0000", "error").otherwise("warning").alias("severity"), message(c).alias("message"), T.none(T.MARK).alias("src_marks"), own.alias("tgt_marks"), edits.alias("edits"))
 
     # Few texts have such a character: the others are not looked at further.
-    return F.when(p.tgt.rlike(f"[{T.CONTROL}]"), F.transform(F.array_sort(stray), one)).otherwise(T.none(FINDING))
+    return F.when(T.has_control(p.tgt), F.transform(F.array_sort(stray), one)).otherwise(T.none(FINDING))
 
 
 @rule("untranslated", default=False, check=False)
